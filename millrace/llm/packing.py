@@ -41,14 +41,14 @@ def cut_documents(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        from .subwords import encoder
+        from .subwords import encoder, in_pieces
 
-        encode, end = encoder(tokenizer), end_id.to_bytes(4, "little")
+        encode, end = encoder(tokenizer).encode, end_id.to_bytes(4, "little")
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(body) + end
+            bodies = (ids + end for texts in in_pieces(batch.column(1)) for ids in encode(texts))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), bodies, strict=True):
                 tokens, at = len(ids) // 4, 0
                 for length in piece_lengths(tokens, limit):
                     piece = ids[4 * at : 4 * (at + length)]

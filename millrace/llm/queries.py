@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, sharding, tokenfile, topk, warc
+from . import chat, lm, mixing, neardup, packing, quality, sharding, tokenfile, topk, warc
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, RANKS = "byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,14 @@ def op2_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+
+
+def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair_chats(table(spark, sf_dir, "conversations"))
 
@@ -51,7 +59,7 @@ def op10_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ring_shards, op2_norm_sorted_topk, op5_role_repair, op6_binary_packing, op7_rule_cascade, op8_weighted_mix, op9_warc_ranges, op10_repair_tokens)
+    for f in (op1_ring_shards, op2_norm_sorted_topk, op3_attention_lm, op4_chosen_path, op5_role_repair, op6_binary_packing, op7_rule_cascade, op8_weighted_mix, op9_warc_ranges, op10_repair_tokens)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -64,6 +72,18 @@ ORACLE_SQL: dict[str, str] = {
               FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op4_chosen_path": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(g) AS g FROM (
+              SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+              UNION ALL SELECT doc_id, array_to_string(w, ' ') AS g FROM d WHERE len(w) BETWEEN 1 AND 4)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        e AS MATERIALIZED (SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+              JOIN n i ON i.doc_id = p.a JOIN n j ON j.doc_id = p.b WHERE 100 * c >= 75 * (i.n + j.n - c)),
+        r AS (SELECT doc_id AS a, doc_id AS c FROM d UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a),
+        l AS (SELECT a, min(c) AS c FROM r GROUP BY a)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, l.c AS component_id, d.doc_id = l.c AS kept
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN l ON l.a = d.doc_id""",
     "op7_rule_cascade": rf"""
         WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
         g AS (SELECT id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5)),

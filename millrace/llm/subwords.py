@@ -1,71 +1,156 @@
-"""Subword ids of whole texts by a public tokenizer file, with each distinct word encoded once per worker.
+"""Subword ids of whole texts by a public tokenizer file, with each distinct word encoded once in a while per worker.
 
-Both vocabularies cut a text into pieces that never reach over the start of a white-space run, so the ids of a text
-are the ids of its units (a white-space run and the word after it), one after the other. Units repeat a lot; their ids
-are kept as little-endian bytes in a dictionary of bounded size. A text with a white-space character outside ASCII, or
-with an added token's text, is encoded whole by the tokenizer instead.
+Both vocabularies cut a text into pieces that never reach over the start of a white-space run, so the ids of a text are
+the ids of its units (a white-space run and the word after it), one after the other. Units repeat a lot; their ids are
+kept as little-endian bytes in two generations of dictionaries of bounded size. Words that are missing are gathered and
+encoded many at a time, and the ids are told apart by the marks that begin or end a word in the vocabulary. A text with a
+white-space character outside ASCII, or with an added token's text, is encoded whole.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from array import array
+from collections.abc import Iterable
 
-#: Longest unit that is kept, and number of units after which the dictionary starts anew.
-KEEP_BYTES, KEEP_UNITS = 64, 400_000
+import numpy as np
+
+#: Longest unit that is kept, units of a generation, and units that are encoded together.
+KEEP_BYTES, KEEP_UNITS, TOGETHER = 64, 400_000, 64
 
 _UNITS = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-_encoders: dict[str, Callable[[str | None], bytes]] = {}
+#: Symbols that make one piece of their own after a word of letters.
+_TRAILING = ".,;:!?#*$%&|<>()"
+_encoders: dict[str, "Encoder"] = {}
 
 
 class _Units(dict):
-    """Ids of a unit by its bytes; a unit that is missing gets encoded. ``lead`` goes before units that lack one."""
+    """Ids of units. A lookup of an unknown unit notes it in ``missing`` and gives None."""
 
-    def __init__(self, encode: Callable[[str], bytes], lead: bytes):
+    def __init__(self):
         super().__init__()
-        self.encode, self.lead = encode, lead
+        self.old: dict[bytes, bytes] = {}
+        self.missing: set[bytes] = set()
+
+    def __missing__(self, unit: bytes) -> bytes | None:
+        ids = self.old.get(unit)
+        if ids is None:
+            self.missing.add(unit)
+        else:
+            self.keep(unit, ids)
+        return ids
 
-    def __missing__(self, unit: bytes) -> bytes:
-        ids = self.encode((unit if unit[:1] == b"\n" else self.lead + unit).decode())
+    def keep(self, unit: bytes, ids: bytes) -> None:
         if len(unit) <= KEEP_BYTES:
             if len(self) >= KEEP_UNITS:
+                self.old = dict(self)
                 self.clear()
             self[unit] = ids
-        return ids
 
 
-def encoder(path: str) -> Callable[[str | None], bytes]:
-    """Function from a text (None: empty) to its ids as little-endian unsigned 32-bit integers. One per worker and file."""
+class Encoder:
+    """Texts to ids as little-endian unsigned 32-bit integers, without special tokens."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(vocabulary.values()) + 1
+        self.leads, self.ends = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
+        for token, k in vocabulary.items():
+            self.leads[k], self.ends[k] = token.startswith("Ġ"), token.endswith("</w>")
+        self.words, self.units = _Units(), _Units()  # words follow one space; units bring their own
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _together(self, words: list[bytes], marks: int) -> Iterable[bytes]:
+        """Ids of words that follow a space, each of which has as many marks; one by one if marks don't come out even."""
+        texts = ["".join(" " + w.decode() for w in words[at : at + TOGETHER]) for at in range(0, len(words), TOGETHER)]
+        ids = np.array([k for e in self.tokenizer.encode_batch(texts, add_special_tokens=False) for k in e.ids], dtype="<u4")
+        if self.leads.any():
+            starts = np.flatnonzero(self.leads[ids])
+        else:
+            starts = np.concatenate(([0], np.flatnonzero(self.ends[ids])[marks - 1 :: marks] + 1))[:-1]
+        if starts.size != len(words) or (ids.size and starts[0] != 0) or (not self.leads.any() and self.ends[ids].sum() != marks * len(words)):
+            return [self.whole(" " + w.decode()) for w in words]
+        raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * ids.size]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _encode_missing(self) -> dict[bytes, bytes]:
+        """Ids of all noted words and units, which are kept too."""
+        found: dict[bytes, bytes] = {}
+        by_marks: dict[int, list[bytes]] = {}
+        for word in self.words.missing:
+            text = word.decode()
+            core = text.rstrip(_TRAILING)
+            marks = 1 if self.leads.any() else (1 + (core != text)) * core.isalpha()
+            if word[:1] == b"\n" or not word or not marks:
+                found[word] = self.whole(text if word[:1] == b"\n" else " " + text)
+            else:
+                by_marks.setdefault(marks, []).append(word)
+        for marks, words in by_marks.items():
+            found.update(zip(words, self._together(words, marks), strict=True))
+        for word, ids in found.items():
+            self.words.keep(word, ids)
+        for unit in self.units.missing:
+            self.units.keep(unit, ids := self.whole(unit.decode()))
+            found[b" \0" + unit] = ids
+        self.words.missing.clear()
+        self.units.missing.clear()
+        return found
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text (None: empty)."""
+        out: list = []
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif (not text.isascii() or any(c in text for c in "\x1c\x1d\x1e\x1f")) and _OTHER_SPACE.search(text) or "<|" in text and any(t in text for t in self.added):
+                out.append(self.whole(text))
+            else:
+                raw = text.encode()
+                if any(x in raw for x in (b"  ", b"\n ", b" \n", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c")) or raw[:1] in (b" ", b"\n") or raw[-1:] in (b" ", b"\n"):
+                    units = _UNITS.findall(raw)
+                    out.append((units, list(map(self.units.__getitem__, units)), b" \0"))
+                else:
+                    first, _, rest = raw.replace(b"\n", b" \n").partition(b" ")
+                    lead = self.units[first]
+                    words = rest.split(b" ") if rest else []
+                    out.append((words, list(map(self.words.__getitem__, words)), b"", first, lead))
+        found = self._encode_missing() if self.words.missing or self.units.missing else {}
+        return [x if isinstance(x, bytes) else _filled(x, found) for x in out]
+
+
+def _filled(entry: tuple, found: dict[bytes, bytes]) -> bytes:
+    units, ids, prefix, *first = entry
+    at = -1
+    for _ in range(ids.count(None)):
+        at = ids.index(None, at + 1)
+        ids[at] = found[prefix + units[at]]
+    lead = b"" if not first else first[1] if first[1] is not None else found[b" \0" + first[0]]
+    return lead + b"".join(ids)
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a tokenizer file, one per worker."""
     if path not in _encoders:
-        _encoders[path] = _build(path)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
-def _build(path: str) -> Callable[[str | None], bytes]:
-    import numpy as np
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-
-    def whole(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    words, units = _Units(whole, b" "), _Units(whole, b"")
-
-    def encode(text: str | None) -> bytes:
-        if not text:
-            return b""
-        if (not text.isascii() or any(c in text for c in "\x1c\x1d\x1e\x1f")) and _OTHER_SPACE.search(text):
-            return whole(text)
-        if "<|" in text and any(t in text for t in added):
-            return whole(text)
-        raw = text.encode()
-        if any(x in raw for x in (b"  ", b"\n ", b" \n", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c")) or raw[:1] in (b" ", b"\n") or raw[-1:] in (b" ", b"\n"):
-            return b"".join(map(units.__getitem__, _UNITS.findall(raw)))
-        first, *rest = raw.replace(b"\n", b" \n").split(b" ")
-        return units[first] + b"".join(map(words.__getitem__, rest))
-
-    return encode
-
+def in_pieces(texts, piece_bytes: int = 1 << 20) -> Iterable[list[str | None]]:
+    """Texts of an Arrow column as lists of about ``piece_bytes``."""
+    out: list[str | None] = []
+    size = 0
+    for text in texts:
+        out.append(text.as_py())
+        size += len(out[-1] or "")
+        if size >= piece_bytes:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
