@@ -27,7 +27,7 @@ def brute(rows):
             b = rows[j][0]
             if a is not None and b is not None and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 up[max(find(a), find(b))] = min(find(a), find(b))
-    return sorted((d, len(s), None if d is None else find(d), True if d is None else find(d) == d) for (d, _), s in zip(rows, sets, strict=True)), up
+    return [(d, len(s), None if d is None else find(d), True if d is None else find(d) == d) for (d, _), s in zip(rows, sets, strict=True)], up
 
 
 def key(rows):
