@@ -16,7 +16,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Longest unit that is kept, units of a generation, and units that are encoded together.
-KEEP_BYTES, KEEP_UNITS, TOGETHER = 64, 400_000, 64
+KEEP_BYTES, KEEP_UNITS, TOGETHER = 64, 700_000, 256
 
 _UNITS = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
@@ -62,6 +62,7 @@ class Encoder:
         self.leads, self.ends = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
         for token, k in vocabulary.items():
             self.leads[k], self.ends[k] = token.startswith("Ġ"), token.endswith("</w>")
+        self.by_leads = self.leads.sum() > self.ends.sum()
         self.words, self.units = _Units(), _Units()  # words follow one space; units bring their own
 
     def whole(self, text: str) -> bytes:
@@ -71,11 +72,11 @@ class Encoder:
         """Ids of words that follow a space, each of which has as many marks; one by one if marks don't come out even."""
         texts = ["".join(" " + w.decode() for w in words[at : at + TOGETHER]) for at in range(0, len(words), TOGETHER)]
         ids = np.array([k for e in self.tokenizer.encode_batch(texts, add_special_tokens=False) for k in e.ids], dtype="<u4")
-        if self.leads.any():
+        if self.by_leads:
             starts = np.flatnonzero(self.leads[ids])
         else:
             starts = np.concatenate(([0], np.flatnonzero(self.ends[ids])[marks - 1 :: marks] + 1))[:-1]
-        if starts.size != len(words) or (ids.size and starts[0] != 0) or (not self.leads.any() and self.ends[ids].sum() != marks * len(words)):
+        if starts.size != len(words) or (ids.size and starts[0] != 0) or (not self.by_leads and self.ends[ids].sum() != marks * len(words)):
             return [self.whole(" " + w.decode()) for w in words]
         raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * ids.size]
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -87,7 +88,7 @@ class Encoder:
         for word in self.words.missing:
             text = word.decode()
             core = text.rstrip(_TRAILING)
-            marks = 1 if self.leads.any() else (1 + (core != text)) * core.isalpha()
+            marks = 1 if self.by_leads else (1 + (core != text)) * core.isalpha()
             if word[:1] == b"\n" or not word or not marks:
                 found[word] = self.whole(text if word[:1] == b"\n" else " " + text)
             else:
