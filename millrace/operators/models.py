@@ -194,9 +194,14 @@ def epsilon_pairs(df: DataFrame, key: str, columns: list[str], eps: float = 0.5)
         raise ValueError("the grid join is for up to 3 dimensions")
     point = df.select(F.col(key).alias("k"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
     cell = F.transform("v", lambda x: F.floor(x / eps))
+
+    def beside(cells, i: int):
+        """The cells, one place longer by each of the three neighbouring coordinates."""
+        return F.flatten(F.transform(cells, lambda p: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o: F.concat(p, F.array(cell[i] + o)))))
+
     near = F.array(F.array().cast("array<bigint>"))
     for i in range(len(columns)):
-        near = F.flatten(F.transform(near, lambda p, i=i: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o: F.concat(p, F.array(cell[i] + o)))))
+        near = beside(near, i)
     left = point.select(F.col("k").alias("a"), F.col("v").alias("av"), cell.alias("c"))
     right = point.select(F.col("k").alias("b"), F.col("v").alias("bv"), F.explode(near).alias("c"))
     return left.join(right, "c").filter((F.col("a") < F.col("b")) & (distance2(F.col("av"), F.col("bv")) <= eps * eps)).select("a", "b")

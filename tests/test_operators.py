@@ -45,7 +45,7 @@ def test_missing_and_cleaning(spark, mixed):
 
 
 def test_outliers(spark):
-    v = lambda xs: spark.createDataFrame(list(enumerate(xs)), "k long, val double")
+    v = lambda xs: spark.createDataFrame([(i, float(x)) for i, x in enumerate(xs)], "k long, val double")
     assert col(profile.iqr_outliers(v([1.0, 2, 2, 3, 2, 1, 2, 100]), "k", "val"), "value") == [100.0]
     assert col(profile.mad_outliers(v([10.0, 10, 11, 10, 10, 11, 1000]), "k", "val"), "value") == [1000.0]
     for xs in ([], [5.0], [5.0, 5.0, 5.0]):
