@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star steps (Kiveris et al. 2014)."""
+"""Connected components by smallest labels of neighbours with pointer jumping."""
 
 from __future__ import annotations
 
@@ -7,31 +7,26 @@ from pyspark.sql import functions as F
 
 from .shared import materialize
 
-#: Rounds after which something must be wrong; the method needs a number logarithmic in the size.
+#: Rounds after which something must be wrong; jumping makes their number logarithmic in a path's length.
 MAX_ROUNDS = 60
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """node and component (the smallest node that it reaches) of each node of the edges (a, b), both longs.
 
-    Each round is two grouped minima and two joins on the node; it keeps at most as many edges as there were. Large sides
-    of a join can be split by the engine, as minima are materialized before they are joined back.
+    In a round each node takes the smallest label among its neighbours and itself, and then the label of that label. Both
+    sides of each join come from exchanges that the engine can split, so a node with very many neighbours, or a label of
+    very many nodes, is dealt to many tasks.
     """
-    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    pairs, last = materialize(pairs), None
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+    both = materialize(both)
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
     for _ in range(MAX_ROUNDS):
-        now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0])
-        if now == last:
-            break
-        last = now
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")).select("n", F.least("n", "m").alias("m"))
-        large = both.filter("v > u").join(materialize(low), F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.filter("u <> v").distinct())
-        low = materialize(large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")))
-        small = large.join(low, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("n").alias("u"), F.col("m").alias("v")))
-        pairs = materialize(small.filter("u <> v").distinct())
-    else:
-        raise RuntimeError("components did not settle")
-    stars = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+        near = both.join(labels.select(F.col("node").alias("n"), "component"), F.col("b") == F.col("n")).groupBy("a").agg(F.min("component").alias("m"))
+        new = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("old"), F.least("component", "m").alias("c"))
+        above = new.select(F.col("node").alias("n"), F.col("c").alias("up"))
+        jumped = materialize(new.join(above, F.col("c") == F.col("n")).select("node", F.col("up").alias("component"), (F.col("up") < F.col("old")).alias("moved")))
+        labels = jumped.select("node", "component")
+        if jumped.filter("moved").isEmpty():
+            return labels
+    raise RuntimeError("components did not settle")

@@ -8,10 +8,10 @@ Nodes of up to ``NODE_ROWS`` documents compare all their signatures; larger node
 and branch again, unless pivots have already joined all of their documents. Nodes still large after ``DEPTH`` levels are
 compared block by block.
 
-Pairs of signatures that agree on ``MIN_AGREE`` places or more make candidate groups; a pair at the threshold falls below
-that with a probability of about one in ten million. Within a group, links are confirmed on full sets, and pairs that are
-connected already are left out. Groups beyond ``GROUP_ROWS`` are linked through pivots of high degree, and what no pivot
-connects is compared with the whole group. Nothing is capped.
+Pairs whose checks, one byte each of ``CHECKED`` minwise values, agree on ``MIN_AGREE`` places or more make candidate groups;
+a pair at the threshold falls below that with a probability of about one in ten million. Within a group, links are confirmed on full sets, and pairs that are
+connected already are left out. Groups beyond ``GROUP_ROWS`` are linked through pivots, then through those of high degree,
+and what is not connected to the largest part by then is compared with the whole group. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -27,13 +27,13 @@ from .components import connected_components
 from .shared import materialize
 
 WIDTH, PERCENT = 5, 75
-SIGNATURE, MIN_AGREE = 64, 30
+SIGNATURE, CHECKED, MIN_AGREE = 64, 256, 156
 TREES, DRAWN, DEPTH = 7, 2 / 0.75, 5
-NODE_ROWS, GROUP_ROWS, PIVOTS, ROUNDS = 1024, 256, 16, 4
+NODE_ROWS, GROUP_ROWS, PIVOTS = 4096, 256, 16
 
 _KEEP_WORDS = 500_000
 _U = np.uint64
-_SEEDS = np.random.default_rng(20180409).integers(1, 1 << 63, size=SIGNATURE, dtype=np.uint64) * _U(2) + _U(1)
+_SEEDS = np.random.default_rng(20180409).integers(1, 1 << 63, size=CHECKED, dtype=np.uint64) * _U(2) + _U(1)
 _PLACES = np.arange(SIGNATURE, dtype=np.uint64) << _U(32)
 
 
@@ -74,10 +74,13 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def signature(items: np.ndarray) -> np.ndarray:
-    """Minwise values of a non-empty set."""
-    low = np.array([(items * s).min() for s in _SEEDS]) if items.size > 20_000 else (items[None, :] * _SEEDS[:, None]).min(1)
-    return (low >> _U(32)).astype("<u4")
+def signature(items: np.ndarray) -> tuple[bytes, bytes]:
+    """Of a non-empty set: ``SIGNATURE`` minwise values, and one byte of each of ``CHECKED`` ones."""
+    if items.size > 4_000:
+        low = np.array([(items * s).min() for s in _SEEDS])
+    else:
+        low = (items[None, :] * _SEEDS[:, None]).min(1)
+    return (low[:SIGNATURE] >> _U(32)).astype("<u4").tobytes(), mix(low).astype(np.uint8).tobytes()
 
 
 def drawn(sigs: np.ndarray, nodes: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -123,6 +126,15 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(parts), dtype="<u4").reshape(len(parts), SIGNATURE)
 
 
+def _checks(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), dtype=np.uint8).reshape(len(parts), CHECKED)
+
+
+def _agree(checks: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """On how many places each row agrees with one row, or with its own row of another table."""
+    return np.count_nonzero(checks == one, axis=1)
+
+
 def _batch(schema: dict[str, pa.DataType], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, t in zip(columns, schema.values(), strict=True)], names=list(schema))
 
@@ -135,13 +147,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
     for batch in batches:
-        sizes, digests, sigs = [], [], []
+        sizes, digests, sigs, checks = [], [], [], []
         for text in batch.column(1):
             items = shingles(text.as_py())
             sizes.append(items.size)
             digests.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if items.size else None)
-            sigs.append(signature(items).tobytes() if items.size else None)
-        yield _batch({"doc_id": pa.int64(), "n_shingles": pa.int64(), "digest": pa.binary(), "sig": pa.binary()}, batch.column(0), sizes, digests, sigs)
+            sig, check = signature(items) if items.size else (None, None)
+            sigs.append(sig)
+            checks.append(check)
+        schema = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "digest": pa.binary(), "sig": pa.binary(), "chk": pa.binary()}
+        yield _batch(schema, batch.column(0), sizes, digests, sigs, checks)
 
 
 _ROW = {"node": pa.int64(), "rep": pa.int64(), "mask": pa.int64()}
@@ -170,7 +185,7 @@ _EDGE = {"a": pa.int64(), "b": pa.int64()}
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the pairs of a node (members: array of rep, sig, side) whose signatures agree enough.
+    """A spanning forest of the pairs of a node (members: array of rep, chk, side) whose checks agree enough.
 
     ``side`` is null, or says which of two blocks a member is from; then only pairs of different blocks count.
     """
@@ -178,11 +193,11 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for members in batch.column(0).to_pylist():
             members = sorted({m["rep"]: m for m in members}.values(), key=lambda m: m["rep"])
-            sigs = np.frombuffer(b"".join(m["sig"] for m in members), dtype="<u4").reshape(-1, SIGNATURE)
+            checks = _checks([m["chk"] for m in members])
             side = np.array([-1 if m["side"] is None else m["side"] for m in members])
             groups = _Groups(len(members))
             for i in range(len(members) - 1):
-                agree = (sigs[i + 1 :] == sigs[i]).sum(1) >= MIN_AGREE
+                agree = _agree(checks[i + 1 :], checks[i]) >= MIN_AGREE
                 if side[i] >= 0:
                     agree &= side[i + 1 :] != side[i]
                 for j in np.flatnonzero(agree) + i + 1:
@@ -192,7 +207,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(_EDGE, a, b)
 
 
-_SET = {"grp": pa.int64(), "rep": pa.int64(), "sig": pa.binary(), "items": pa.binary()}
+_SET = {"grp": pa.int64(), "rep": pa.int64(), "chk": pa.binary(), "items": pa.binary()}
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,21 +215,21 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = [shingles(t.as_py()) for t in batch.column(2)]
         keep = [k for k, x in enumerate(items) if x.size]
         kept = batch.take(pa.array(keep, type=pa.int64()))
-        yield _batch(_SET, kept.column(0), kept.column(1), [signature(items[k]).tobytes() for k in keep], [items[k].tobytes() for k in keep])
+        yield _batch(_SET, kept.column(0), kept.column(1), [signature(items[k])[1] for k in keep], [items[k].tobytes() for k in keep])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members (array of rep, sig, items) of whole candidate groups to (node, component), confirmed on full sets."""
+    """Members (array of rep, chk, items) of whole candidate groups to (node, component), confirmed on full sets."""
     for batch in batches:
         nodes, labels = [], []
         for members in batch.column(0).to_pylist():
             members.sort(key=lambda m: m["rep"])
-            sigs = np.frombuffer(b"".join(m["sig"] for m in members), dtype="<u4").reshape(-1, SIGNATURE)
+            checks = _checks([m["chk"] for m in members])
             sets = [np.frombuffer(m["items"], dtype=np.uint64) for m in members]
             groups = _Groups(len(members))
             pairs = []
             for i in range(len(members) - 1):
-                agree = (sigs[i + 1 :] == sigs[i]).sum(1)
+                agree = _agree(checks[i + 1 :], checks[i])
                 pairs += [(-int(agree[j]), i, i + 1 + int(j)) for j in np.flatnonzero(agree >= MIN_AGREE)]
                 if members[i]["rep"] == members[i + 1]["rep"]:
                     groups.join(i, i + 1)
@@ -227,15 +242,15 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two arrays of (rep, sig, items, label) to the confirmed links between them that join different labels."""
+    """Two arrays of (rep, chk, items, label) to the confirmed links between them that join different labels."""
     for batch in batches:
         a, b = [], []
         for members, asked in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            sigs = np.frombuffer(b"".join(m["sig"] for m in asked), dtype="<u4").reshape(-1, SIGNATURE)
+            checks = _checks([m["chk"] for m in asked])
             sets = [np.frombuffer(m["items"], dtype=np.uint64) for m in asked]
             for own in members:
                 items, seen = np.frombuffer(own["items"], dtype=np.uint64), {own["label"]}
-                for j in np.flatnonzero((sigs == np.frombuffer(own["sig"], dtype="<u4")).sum(1) >= MIN_AGREE):
+                for j in np.flatnonzero(_agree(checks, np.frombuffer(own["chk"], dtype=np.uint8)) >= MIN_AGREE):
                     other = asked[j]
                     if other["rep"] != own["rep"] and other["label"] not in seen and similar(items, sets[j]):
                         seen.add(other["label"])
@@ -249,9 +264,9 @@ def _members(*columns: str) -> Column:
 
 
 def _candidate_edges(sigs: DataFrame) -> DataFrame | None:
-    """Candidate pairs of (rep, sig): spanning forests of the agreeing pairs that meet in a node of some tree."""
-    known = sigs.select(F.col("rep").alias("_rep"), "sig")
-    rows = materialize(sigs.mapInArrow(_roots, "node long, rep long, mask long"))
+    """Candidate pairs of (rep, sig, chk): spanning forests of the agreeing pairs that meet in a node of some tree."""
+    known = sigs.select(F.col("rep").alias("_rep"), "sig", "chk")
+    rows = materialize(sigs.select("rep", "sig").mapInArrow(_roots, "node long, rep long, mask long"))
     edges: DataFrame | None = None
 
     def add(found: DataFrame) -> None:
@@ -264,29 +279,37 @@ def _candidate_edges(sigs: DataFrame) -> DataFrame | None:
         sizes = materialize(sizes.filter("pivot < top").select(F.col("node").alias("_node"), "n", "pivot"))
         live = rows.join(sizes, F.col("node") == F.col("_node")).select("node", "rep", "mask", "n", "pivot")
         large = F.col("n") > NODE_ROWS
-        small = live.filter(~large).join(known, F.col("rep") == F.col("_rep")).withColumn("side", F.lit(None).cast("int"))
-        add(small.groupBy("node").agg(_members("rep", "sig", "side")).select("members").mapInArrow(_forest, "a long, b long"))
+        small = live.filter(~large).join(known.drop("sig"), F.col("rep") == F.col("_rep")).withColumn("side", F.lit(None).cast("int"))
+        add(small.groupBy("node").agg(_members("rep", "chk", "side")).select("members").mapInArrow(_forest, "a long, b long"))
         if sizes.filter(large).isEmpty():
             return edges
         big = materialize(live.filter(large).join(known, F.col("rep") == F.col("_rep")).select("node", "rep", "mask", "pivot", "sig"))
-        pivots = known.select(F.col("_rep").alias("_p"), F.col("sig").alias("psig"))
-        add(big.select("rep", "sig", "pivot").distinct().join(pivots, F.col("pivot") == F.col("_p")).select("rep", "pivot", "sig", "psig").mapInArrow(_agreeing, "a long, b long"))
+        own, pivots = known.drop("sig"), known.select(F.col("_rep").alias("_p"), F.col("chk").alias("pchk"))
+        met = big.select("rep", "pivot").distinct().join(pivots, F.col("pivot") == F.col("_p")).join(own, F.col("rep") == F.col("_rep"))
+        add(met.select("rep", "pivot", "chk", "pchk").mapInArrow(_agreeing, "a long, b long"))
         # A node whose documents are in one candidate group has nothing left to find.
-        labels = connected_components(edges)
+        labels = _rough_labels(edges)
         open_ = big.select("node", "rep").join(labels, F.col("rep") == labels["node"], "left").select(big["node"], F.coalesce("component", "rep").alias("c"))
         open_ = materialize(open_.groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select(F.col("node").alias("_node")))
         rest = big.join(open_, F.col("node") == F.col("_node"), "left_semi")
         if level < DEPTH:
             rows = materialize(rest.select("node", "rep", "mask", "sig").mapInArrow(_children, "node long, rep long, mask long"))
         else:
-            add(_block_pairs(rest.select("node", "rep", "sig")))
+            add(_block_pairs(rest.select("node", "rep").join(known.drop("sig"), F.col("rep") == F.col("_rep")).drop("_rep")))
     return edges
 
 
+def _rough_labels(edges: DataFrame) -> DataFrame:
+    """node and component after two steps of smallest neighbours: enough to see that a node is one group, not its groups."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = materialize(both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("m")))
+    return both.join(low, F.col("b") == F.col("n")).groupBy(F.col("a").alias("node")).agg(F.min("m").alias("m")).select("node", F.least("node", "m").alias("component"))
+
+
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            agree = (_signatures(batch.column(2)) == _signatures(batch.column(3))).sum(1) >= MIN_AGREE
+            agree = _agree(_checks(batch.column(2).to_pylist()), _checks(batch.column(3).to_pylist())) >= MIN_AGREE
             yield _batch(_EDGE, batch.column(0).to_numpy()[agree], batch.column(1).to_numpy()[agree])
 
 
@@ -296,64 +319,49 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     own = rows.join(materialize(blocks), F.col("node") == F.col("_node")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    dealt = dealt.select("node", low.alias("low"), high.alias("high"), "rep", "sig", F.when(low != high, (F.col("block") == high).cast("int")).alias("side"))
-    return dealt.groupBy("node", "low", "high").agg(_members("rep", "sig", "side")).select("members").mapInArrow(_forest, "a long, b long")
+    dealt = dealt.select("node", low.alias("low"), high.alias("high"), "rep", "chk", F.when(low != high, (F.col("block") == high).cast("int")).alias("side"))
+    return dealt.groupBy("node", "low", "high").agg(_members("rep", "chk", "side")).select("members").mapInArrow(_forest, "a long, b long")
 
 
 def _chunks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (grp, rep, sig, items, label, h) gathered into arrays of about ``size`` rows of a group."""
+    """Rows (grp, rep, chk, items, label, h) gathered into arrays of about ``size`` rows of a group."""
     n = rows.groupBy(F.col("grp").alias("_g")).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_n"))
     parts = rows.join(materialize(n), F.col("grp") == F.col("_g")).withColumn("_part", F.pmod("h", F.col("_n")))
-    return materialize(parts.groupBy("grp", "_part").agg(F.collect_list(F.struct("rep", "sig", "items", "label")).alias("chunk")).drop("_part"))
+    return materialize(parts.groupBy("grp", "_part").agg(F.collect_list(F.struct("rep", "chk", "items", "label")).alias("chunk")).drop("_part"))
 
 
 def _link_large(sets: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) within groups (grp) of any size; rows are (grp, rep, sig, items)."""
+    """Confirmed links (a, b) within groups (grp) of any size; rows are (grp, rep, chk, items)."""
     sets = sets.withColumn("h", F.xxhash64("rep"))
-    links: DataFrame | None = None
-    asked_before: DataFrame | None = None
-    labels: DataFrame | None = None
-
-    def labelled() -> DataFrame:
-        if labels is None:
-            return sets.withColumn("label", F.col("rep"))
-        return sets.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
-
-    def ask(members: DataFrame, asked: DataFrame) -> None:
-        """Compare the asked rows with all members of their group, a chunk of each in one task."""
-        nonlocal links, labels
-        met = _chunks(members, 64).join(_chunks(asked, PIVOTS).withColumnsRenamed({"grp": "_grp", "chunk": "asked"}), F.col("grp") == F.col("_grp"))
-        found = materialize(met.select("chunk", "asked").mapInArrow(_against, "a long, b long"))
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links)
-
-    for _ in range(ROUNDS):
-        members = materialize(labelled())
-        # Pivots: those with the most links so far that haven't been asked, then any others outside the largest label.
-        degree = F.lit(0)
-        pool = members
-        if links is not None:
-            ends = links.select(F.explode(F.array("a", "b")).alias("_e")).groupBy("_e").agg(F.count(F.lit(1)).alias("_d"))
-            pool = pool.join(ends, F.col("rep") == F.col("_e"), "left").join(asked_before, F.col("rep") == F.col("_asked"), "left_anti")
-            degree = F.coalesce("_d", F.lit(0))
-        # The best of each part first, so that no task sorts a whole group.
-        ranked = pool.select("grp", "rep", degree.alias("d"), "h", F.pmod("h", F.lit(64)).alias("_part"))
-        best = ranked.withColumn("r", F.row_number().over(Window.partitionBy("grp", "_part").orderBy(F.desc("d"), "h"))).filter(F.col("r") <= PIVOTS)
-        best = best.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("d"), "h"))).filter(F.col("r") <= PIVOTS)
-        best = materialize(best.select(F.col("rep").alias("_asked")))
-        asked_before = best if asked_before is None else asked_before.unionByName(best)
-        ask(members, members.join(best, F.col("rep") == F.col("_asked"), "left_semi"))
-        members = labelled()
-        counts = materialize(members.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n")))
-        main = counts.groupBy(F.col("grp").alias("_mg")).agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all"))
-        outside = main.filter(F.col("all") - F.col("m.n") > GROUP_ROWS)
-        if outside.isEmpty():
-            break
+    alone = materialize(sets.withColumn("label", F.col("rep")))
+    chunks = _chunks(alone, 64)
+
+    def links(members: DataFrame, asked: DataFrame) -> DataFrame:
+        """Confirmed links between the asked rows and all members of their group, a chunk of each in one task."""
+        met = members.join(_chunks(asked, PIVOTS).withColumnsRenamed({"grp": "_grp", "chunk": "asked"}), F.col("grp") == F.col("_grp"))
+        return materialize(met.select("chunk", "asked").mapInArrow(_against, "a long, b long"))
+
+    def pivots(pool: DataFrame) -> DataFrame:
+        """Up to PIVOTS rows of each group with the greatest d; the best of each part first, so that no task sorts a whole group."""
+        parts, whole = (Window.partitionBy("grp", *part).orderBy(F.desc("d"), "h") for part in (["_part"], []))
+        best = pool.withColumn("_part", F.pmod("h", F.lit(64))).withColumn("r", F.row_number().over(parts)).filter(F.col("r") <= PIVOTS)
+        best = best.withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= PIVOTS)
+        return alone.join(materialize(best.select(F.col("rep").alias("_asked"))), F.col("rep") == F.col("_asked"), "left_semi")
+
+    # First any pivots, then those that the first ones are linked with most: a text that many copies stem from is one.
+    found = links(chunks, pivots(alone.select("grp", "rep", "h", F.lit(0).alias("d"))))
+    degree = found.select(F.explode(F.array("a", "b")).alias("_e")).groupBy("_e").agg(F.count(F.lit(1)).alias("d"))
+    found = found.unionByName(links(chunks, pivots(alone.select("grp", "rep", "h").join(degree, F.col("rep") == F.col("_e")))))
     # What is outside the largest label of its group meets the whole group.
-    main = materialize(main.select("_mg", F.col("m.label").alias("_main")))
-    members = materialize(labelled().join(main, F.col("grp") == F.col("_mg")))
-    ask(members, members.filter(F.col("label") != F.col("_main")))
-    return links
+    labels = connected_components(found)
+    members = alone.drop("label").join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
+    members = materialize(members)
+    counts = members.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy(F.col("grp").alias("_mg")).agg(F.max(F.struct("n", "label")).alias("m")).select("_mg", F.col("m.label").alias("_main"))
+    outside = members.join(materialize(main), F.col("grp") == F.col("_mg")).filter(F.col("label") != F.col("_main"))
+    rest = links(_chunks(members, 64), outside.select(*members.columns))
+    stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return stars.unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -365,11 +373,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     result; other columns are left out.
     """
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sketches = materialize(base.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, sig binary"))
+    sketches = materialize(base.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, sig binary, chk binary"))
     classes = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(F.col("digest").alias("_digest")).agg(F.min("doc_id").alias("rep"))
     rows = sketches.join(materialize(classes), (F.col("digest") == F.col("_digest")) & F.col("doc_id").isNotNull(), "left")
-    rows = materialize(rows.select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")))
-    sigs = rows.filter("doc_id = rep").select("rep", "sig")
+    rows = materialize(rows.select("doc_id", "n_shingles", "rep", *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("sig", "chk")]))
+    sigs = rows.filter("doc_id = rep").select("rep", "sig", "chk")
 
     # Rows that share an id but not a set.
     several = rows.filter("rep IS NOT NULL").groupBy(F.col("doc_id").alias("_d")).agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b")
@@ -379,10 +387,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sizes = materialize(groups.groupBy(F.col("component").alias("_c")).agg(F.count(F.lit(1)).alias("n")))
     members = groups.join(sizes, F.col("component") == F.col("_c")).select(F.col("node").alias("_rep"), F.col("component").alias("grp"), "n")
     texts = base.join(materialize(members), F.col("doc_id") == F.col("_rep")).select("grp", "doc_id", "text", "n")
-    schema = "grp long, rep long, sig binary, items binary"
+    schema = "grp long, rep long, chk binary, items binary"
 
     small = texts.filter(F.col("n") <= GROUP_ROWS).select("grp", "doc_id", "text").mapInArrow(_full_sets, schema)
-    labels = small.groupBy("grp").agg(_members("rep", "sig", "items")).select("members").mapInArrow(_confirm, "node long, component long")
+    labels = small.groupBy("grp").agg(_members("rep", "chk", "items")).select("members").mapInArrow(_confirm, "node long, component long")
     labels = labels.filter("node <> component").distinct()
     if not sizes.filter(F.col("n") > GROUP_ROWS).isEmpty():
         sets = materialize(texts.filter(F.col("n") > GROUP_ROWS).select("grp", "doc_id", "text").mapInArrow(_full_sets, schema))

@@ -30,9 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once into the shared checkpoint folder; later uses read that copy."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once into the shared checkpoint folder; later uses read that copy.
+
+    A checkpoint keeps the constraints that its plan implies; over many rounds of joins these multiply until planning is
+    what takes the time, so they are not derived here.
+    """
+    spark, derive = df.sparkSession, "spark.sql.constraintPropagation.enabled"
+    shared_dir(spark)
+    before = spark.conf.get(derive)
+    spark.conf.set(derive, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(derive, before)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
