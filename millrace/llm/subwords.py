@@ -3,7 +3,8 @@
 Both vocabularies cut a text into pieces that never reach over the start of a white-space run, so the ids of a text are
 the ids of its units (a white-space run and the word after it), one after the other. Units repeat a lot; their ids are
 kept as little-endian bytes in two generations of dictionaries of bounded size. Words that are missing are gathered and
-encoded many at a time, and the ids are told apart by the marks that begin or end a word in the vocabulary. A text with a
+encoded many at a time: words of letters, whose ids are told apart by the marks that begin or end a word in the
+vocabulary, and trailing symbols, which are pieces of their own. A text with a
 white-space character outside ASCII, or with an added token's text, is encoded whole.
 """
 
@@ -15,8 +16,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Longest unit that is kept, units of a generation, and units that are encoded together.
-KEEP_BYTES, KEEP_UNITS, TOGETHER = 64, 700_000, 256
+#: Longest unit that is kept, words and other units of a generation, and words that are encoded together.
+KEEP_BYTES, KEEP_WORDS, KEEP_UNITS, TOGETHER = 64, 600_000, 100_000, 256
 
 _UNITS = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
@@ -28,8 +29,9 @@ _encoders: dict[str, "Encoder"] = {}
 class _Units(dict):
     """Ids of units. A lookup of an unknown unit notes it in ``missing`` and gives None."""
 
-    def __init__(self):
+    def __init__(self, most: int):
         super().__init__()
+        self.most = most
         self.old: dict[bytes, bytes] = {}
         self.missing: set[bytes] = set()
 
@@ -43,7 +45,7 @@ class _Units(dict):
 
     def keep(self, unit: bytes, ids: bytes) -> None:
         if len(unit) <= KEEP_BYTES:
-            if len(self) >= KEEP_UNITS:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[unit] = ids
@@ -63,20 +65,19 @@ class Encoder:
         for token, k in vocabulary.items():
             self.leads[k], self.ends[k] = token.startswith("Ġ"), token.endswith("</w>")
         self.by_leads = self.leads.sum() > self.ends.sum()
-        self.words, self.units = _Units(), _Units()  # words follow one space; units bring their own
+        self.trailing: dict[str, bytes] = {}
+        self.words, self.units = _Units(KEEP_WORDS), _Units(KEEP_UNITS)  # words follow one space; units bring their own
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _together(self, words: list[bytes], marks: int) -> Iterable[bytes]:
-        """Ids of words that follow a space, each of which has as many marks; one by one if marks don't come out even."""
+    def _together(self, words: list[bytes]) -> Iterable[bytes]:
+        """Ids of words of letters after a space, each of which has one mark; one by one if marks don't come out even."""
         texts = ["".join(" " + w.decode() for w in words[at : at + TOGETHER]) for at in range(0, len(words), TOGETHER)]
         ids = np.array([k for e in self.tokenizer.encode_batch(texts, add_special_tokens=False) for k in e.ids], dtype="<u4")
-        if self.by_leads:
-            starts = np.flatnonzero(self.leads[ids])
-        else:
-            starts = np.concatenate(([0], np.flatnonzero(self.ends[ids])[marks - 1 :: marks] + 1))[:-1]
-        if starts.size != len(words) or (ids.size and starts[0] != 0) or (not self.by_leads and self.ends[ids].sum() != marks * len(words)):
+        marks = np.flatnonzero((self.leads if self.by_leads else self.ends)[ids])
+        starts = marks if self.by_leads else np.concatenate(([0], marks + 1))[:-1]
+        if starts.size != len(words) or (ids.size and (starts[0] != 0 or not (self.by_leads or self.ends[ids[-1]]))):
             return [self.whole(" " + w.decode()) for w in words]
         raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * ids.size]
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -84,17 +85,32 @@ class Encoder:
     def _encode_missing(self) -> dict[bytes, bytes]:
         """Ids of all noted words and units, which are kept too."""
         found: dict[bytes, bytes] = {}
-        by_marks: dict[int, list[bytes]] = {}
+        letters: set[bytes] = set()  # words of letters, with one mark each
+        built: list[tuple[bytes, bytes, str]] = []
         for word in self.words.missing:
             text = word.decode()
+            if not self.by_leads:  # this vocabulary drops white space and case
+                text = text.lstrip("\n").lower() if text.isascii() else text.lstrip("\n")
             core = text.rstrip(_TRAILING)
-            marks = 1 if self.by_leads else (1 + (core != text)) * core.isalpha()
-            if word[:1] == b"\n" or not word or not marks:
-                found[word] = self.whole(text if word[:1] == b"\n" else " " + text)
+            if not core.isalpha():
+                found[word] = self.whole(text if text[:1] == "\n" else " " + text)
+                continue
+            key = core.encode()
+            if key == word:
+                letters.add(word)
+                continue
+            built.append((word, key, text[len(core) :]))
+            ids = self.words.get(key) or self.words.old.get(key)
+            if ids is None:
+                letters.add(key)
             else:
-                by_marks.setdefault(marks, []).append(word)
-        for marks, words in by_marks.items():
-            found.update(zip(words, self._together(words, marks), strict=True))
+                found[key] = ids
+        ordered = list(letters)
+        found.update(zip(ordered, self._together(ordered), strict=True))
+        for word, key, trailing in built:
+            if trailing and trailing not in self.trailing:
+                self.trailing[trailing] = self.whole(trailing)
+            found[word] = found[key] + (self.trailing[trailing] if trailing else b"")
         for word, ids in found.items():
             self.words.keep(word, ids)
         for unit in self.units.missing:
