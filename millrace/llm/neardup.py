@@ -29,7 +29,7 @@ from .shared import materialize
 WIDTH, PERCENT = 5, 75
 SIGNATURE, CHECKED, MIN_AGREE = 64, 256, 156
 TREES, DRAWN, DEPTH = 7, 2 / 0.75, 5
-NODE_ROWS, GROUP_ROWS, PIVOTS = 4096, 256, 16
+NODE_ROWS, GROUP_ROWS, PIVOTS = 4096, 1024, 16
 
 _KEEP_WORDS = 500_000
 _U = np.uint64
