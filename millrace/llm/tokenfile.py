@@ -1,14 +1,15 @@
 """Token ids in binary shards, compressed by a Re-Pair grammar (Larsson and Moffat 1999).
 
 A shard holds the ids of whole documents in ascending order of doc_id. Rounds replace frequent pairs of neighbours by
-nonterminals; a round takes up to ``ROUND_PAIRS`` pairs at once, and later rounds may pair nonterminals. The file keeps
+nonterminals until no pair occurs twice; a round takes the pairs that occur half as often as the most frequent one or
+more, the more frequent first where they overlap, and later rounds may pair nonterminals. The file keeps
 the symbols, the rules, each rule's expansion length and the expanded length before every ``STEP`` symbols, so that any
 range of ids is decoded from the symbols around it alone.
 
-File format, little-endian: the magic ``MRTK0001``; 64-bit counts of documents, symbols, rules, marks, ids and the first
+File format, little-endian: the magic ``MRTK0002``; 64-bit counts of documents, symbols, rules, marks, ids and the first
 nonterminal; then the arrays doc_ids (int64), has_id (uint8), doc_starts (int64, one more than documents), left and right
-of each rule (uint32), expansion lengths (uint64), marks (uint64), symbols (uint16 if the first nonterminal and the rules
-come to 65,536 or less, else uint32).
+of each rule, expansion lengths, marks (uint64), symbols. Symbols, also those in rules, are as many bits wide as the last
+nonterminal, expansion lengths as the number of ids; the lowest bit comes first and each array starts at a byte.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ from pyspark.sql import functions as F
 
 from .shared import materialize, open_fs, shared_dir
 
-MAGIC = b"MRTK0001"
+MAGIC = b"MRTK0002"
 END_ID = 1
 
 #: Ids after which a writer starts another shard; text bytes meant for one writing task.
-SHARD_IDS, TASK_BYTES = 1_000_000, 8 << 20
+SHARD_IDS, TASK_BYTES = 2_000_000, 8 << 20
 
-#: Rounds, pairs a round, least count of a pair, log2 of the counting table, symbols between marks.
-ROUNDS, ROUND_PAIRS, LEAST, TABLE_BITS, STEP = 4, 128, 8, 16, 1024
+#: Least count of a pair, log2 of the counting table, symbols between marks.
+LEAST, TABLE_BITS, STEP = 2, 18, 1024
 
 
 def pair_cells(symbols: np.ndarray) -> np.ndarray:
@@ -40,53 +41,76 @@ def pair_cells(symbols: np.ndarray) -> np.ndarray:
     return (mixed * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - TABLE_BITS)
 
 
-def frequent_pairs(symbols: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Up to ``most`` frequent pairs of neighbours, most frequent first, as keys left << 32 | right.
+def frequent_pairs(symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The frequent pairs of neighbours, most frequent first, as keys left << 32 | right; their places and ranks there.
 
-    Also the places of all pairs in the cells that they fall into, and these pairs' keys. Pairs are counted by cell first;
-    only those in the fullest cells are counted one by one.
+    These are the pairs that occur ``least`` times without overlap, and half as often as the most frequent pair or more.
+    Pairs are counted by cell first; only those in the fuller cells are counted one by one.
     """
-    cells = pair_cells(symbols)
+    # Of a run of one symbol, pairs start at every second place.
+    twin = symbols[:-1] == symbols[1:]
+    starts = np.arange(twin.size)
+    begin = np.maximum.accumulate(np.where(twin, 0, starts + 1))
+    places = np.flatnonzero(~twin | ((starts - begin) % 2 == 0))
+    cells = pair_cells(symbols)[places]
     table = np.bincount(cells, minlength=1 << TABLE_BITS)
-    floor = max(least, int(np.partition(table, -most)[-most]))
-    at = np.flatnonzero((table >= floor)[cells])
-    keys = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
-    found, counts = np.unique(keys, return_counts=True)
-    order = np.lexsort((found, -counts))[:most]
-    return found[order][counts[order] >= least], at, keys
-
-
-def replace_pairs(symbols: np.ndarray, pairs: np.ndarray, at: np.ndarray, keys: np.ndarray, first: int) -> np.ndarray:
-    """The symbols with each of the pairs, from the left and without overlap, replaced by ``first`` and up."""
-    order = np.argsort(pairs)
-    ranked = pairs[order]
-    place = np.minimum(np.searchsorted(ranked, keys), ranked.size - 1)
-    hit = ranked[place] == keys
-    at, place = at[hit], place[hit]
-    new_run = np.concatenate(([True], np.diff(at) > 1))
-    begin = at[np.maximum.accumulate(np.where(new_run, np.arange(at.size), 0))]
-    even = (at - begin) % 2 == 0
-    at, place = at[even], place[even]
+    # A cell holds several pairs at times, so the fullest cell may promise too much; then the bound is lowered.
+    floor = max(least, int(table.max(initial=0)) // 2)
+    while True:
+        at = places[(table >= floor)[cells]]
+        keys = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
+        found, place, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        top = int(counts.max(initial=0))
+        bound = max(least, -(-top // 2))
+        if floor <= bound or floor == least:
+            break
+        floor = bound
+    order = np.lexsort((found, -counts))
+    order = order[: int((counts >= bound).sum())]
+    rank = np.full(found.size, -1, dtype=np.int64)
+    rank[order] = np.arange(order.size)
+    rank = rank[place]
+    return found[order], at[rank >= 0], rank[rank >= 0]
+
+
+def replace_pairs(symbols: np.ndarray, pairs: np.ndarray, at: np.ndarray, rank: np.ndarray, first: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols with pairs replaced by ``first`` and up, and the pairs that are replaced ``least`` times or more.
+
+    Of pairs that overlap, the one of the lower rank is replaced, so that the first pair is replaced wherever it occurs.
+    """
+    far = np.iinfo(np.int64).max
+    beside = np.diff(at) == 1
+    left = np.concatenate(([far], np.where(beside, rank[:-1], far)))
+    right = np.concatenate((np.where(beside, rank[1:], far), [far]))
+    won = (rank < left) & (rank < right)
+    at, rank = at[won], rank[won]
+    taken = np.bincount(rank, minlength=pairs.size) >= least
+    at, rank = at[taken[rank]], rank[taken[rank]]
+    number = np.cumsum(taken) - 1
     out = symbols.copy()
-    out[at] = (first + order[place]).astype(np.uint32)
+    out[at] = (first + number[rank]).astype(np.uint32)
     keep = np.ones(symbols.size, dtype=bool)
     keep[at + 1] = False
-    return out[keep]
+    return out[keep], pairs[taken]
 
 
-def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, most: int = ROUND_PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, rules (n x 2) and expansion lengths of the rules. ``first`` is above every id."""
-    symbols, rules = ids.astype(np.uint32), np.empty((0, 2), dtype=np.uint32)
+def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, rules (n x 2) and expansion lengths of the rules. ``first`` is above every id.
+
+    In the end no pair of symbols occurs ``least`` times without overlap.
+    """
+    symbols, rules, n = ids.astype(np.uint32), [np.empty((0, 2), dtype=np.uint32)], 0
     lengths = np.empty(0, dtype=np.uint64)
-    for _ in range(rounds):
-        pairs, at, keys = frequent_pairs(symbols, most, least) if symbols.size > 1 else (np.empty(0), None, None)
+    while symbols.size > 1:
+        pairs, at, rank = frequent_pairs(symbols, least)
         if not pairs.size:
             break
+        symbols, pairs = replace_pairs(symbols, pairs, at, rank, first + n, least)
         new = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-        symbols = replace_pairs(symbols, pairs, at, keys, first + len(rules))
-        rules = np.concatenate([rules, new])
+        rules.append(new)
+        n += len(new)
         lengths = np.concatenate([lengths, expansion(new[:, 0], first, lengths) + expansion(new[:, 1], first, lengths)])
-    return symbols, rules, lengths
+    return symbols, np.concatenate(rules), lengths
 
 
 def expansion(symbols: np.ndarray, first: int, lengths: np.ndarray) -> np.ndarray:
@@ -112,8 +136,21 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
         symbols = out
 
 
-def symbol_type(first: int, rules: int) -> str:
-    return "<u2" if first + rules <= 1 << 16 else "<u4"
+def packed(values: np.ndarray, bits: int) -> bytes:
+    """The lowest ``bits`` bits of each value, one value after the other."""
+    spread = np.ascontiguousarray(values, dtype="<u4").view("u1").reshape(-1, 4)
+    return np.packbits(np.unpackbits(spread, axis=1, bitorder="little")[:, :bits].ravel(), bitorder="little").tobytes()
+
+
+def unpacked(data: np.ndarray, bits: int, n: int) -> np.ndarray:
+    spread = np.zeros((n, 32), dtype="u1")
+    spread[:, :bits] = np.unpackbits(data, count=n * bits, bitorder="little").reshape(n, bits)
+    return np.packbits(spread, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32)
+
+
+def widths(first: int, rules: int, ids: int) -> tuple[int, int]:
+    """Bits of a symbol and of an expansion length."""
+    return max(1, (first + rules - 1).bit_length()), max(1, ids.bit_length())
 
 
 def shard_bytes(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
@@ -125,9 +162,9 @@ def shard_bytes(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     totals = np.concatenate(([0], np.cumsum(expansion(symbols, first, lengths)))).astype("<u8")
     marks = totals[:-1][::STEP] if symbols.size else totals[:1]
     head = struct.pack("<8s6q", MAGIC, len(ids), symbols.size, len(rules), marks.size, stream.size, first)
-    arrays = [np.array([x or 0 for x in doc_ids], dtype="<i8"), np.array([x is not None for x in doc_ids], dtype="u1"), starts,
-              rules[:, 0].astype("<u4"), rules[:, 1].astype("<u4"), lengths.astype("<u8"), marks, symbols.astype(symbol_type(first, len(rules)))]
-    return head + b"".join(a.tobytes() for a in arrays)
+    arrays = [np.array([x or 0 for x in doc_ids], dtype="<i8"), np.array([x is not None for x in doc_ids], dtype="u1"), starts]
+    bits, wide = widths(first, len(rules), stream.size)
+    return head + b"".join([*(a.tobytes() for a in arrays), packed(rules[:, 0], bits), packed(rules[:, 1], bits), packed(lengths, wide), marks.tobytes(), packed(symbols, bits)])
 
 
 class Shard:
@@ -148,8 +185,19 @@ class Shard:
         ids, known = take("<i8", docs), take("u1", docs)
         self.doc_ids = [int(i) if k else None for i, k in zip(ids, known, strict=True)]
         self.starts = take("<i8", docs + 1)
-        self.rules = np.stack([take("<u4", rules), take("<u4", rules)], axis=1)
-        self.lengths, self.marks, self.symbols = take("<u8", rules), take("<u8", marks), take(symbol_type(self.first, rules), symbols).astype(np.uint32)
+        self.bits, wide = widths(self.first, rules, self.size)
+
+        def take_packed(bits: int, n: int) -> np.ndarray:
+            return unpacked(take("u1", -(-n * bits // 8)), bits, n)
+
+        self.rules = np.stack([take_packed(self.bits, rules), take_packed(self.bits, rules)], axis=1)
+        self.lengths, self.marks, self.n_symbols = take_packed(wide, rules), take("<u8", marks), symbols
+        self.packed = take("u1", -(-symbols * self.bits // 8))
+
+    def symbols(self, start: int, stop: int) -> np.ndarray:
+        """Symbols from a multiple of ``STEP``, which begins at a byte, to before stop."""
+        stop = min(stop, self.n_symbols)
+        return unpacked(self.packed[start * self.bits // 8 : -(-stop * self.bits // 8)], self.bits, stop - start)
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """The ids from start to before stop; only symbols between the marks around them are expanded."""
@@ -158,7 +206,7 @@ class Shard:
         low = int(np.searchsorted(self.marks, start, side="right")) - 1
         high = int(np.searchsorted(self.marks, stop, side="left"))
         base = int(self.marks[low])
-        return expand(self.symbols[low * STEP : high * STEP], self.rules, self.first)[start - base : stop - base]
+        return expand(self.symbols(low * STEP, high * STEP), self.rules, self.first)[start - base : stop - base]
 
     def document(self, k: int) -> np.ndarray:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))

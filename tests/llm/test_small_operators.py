@@ -118,6 +118,23 @@ def test_repair_grammar_round_trips():
             assert (shard.ids(int(a), int(b)) == ids[a:b]).all()
 
 
+def test_repair_leaves_no_pair_that_occurs_twice():
+    rng = np.random.default_rng(1)
+    passage = rng.integers(0, 30000, 500)
+    for ids in [rng.integers(0, 60, 20000).astype("<u4"), np.full(1000, 3, dtype="<u4"), np.array([7, 7, 7], dtype="<u4"),
+                np.concatenate([passage, rng.integers(0, 30000, 999), passage, [5], passage]).astype("<u4")]:
+        first = int(ids.max()) + 1
+        symbols, rules, _ = tokenfile.compress(ids, first)
+        last, counts = {}, Counter()
+        for i, pair in enumerate(zip(symbols.tolist(), symbols[1:].tolist(), strict=False)):
+            if last.get(pair) != i - 1:
+                counts[pair] += 1
+                last[pair] = i
+        assert max(counts.values(), default=0) < 2
+        assert (tokenfile.expand(symbols, rules, first) == ids).all()
+    assert len(symbols) < 999 + 20  # the repeated passage is one symbol or few
+
+
 def test_token_files(spark, monkeypatch, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     df = documents(spark, extra=True).repartition(5)
