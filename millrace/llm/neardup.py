@@ -405,8 +405,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are kept, one of each component, with the columns they came with. Of rows with one id, one stays."""
+    """The documents that are kept, one of each component, with the columns they came with. Of rows with one id, one stays.
+
+    It is the row with the smallest hash of its text, then of all its columns. Rows without an id all stay.
+    """
     kept = near_duplicates(docs, key, text)
     lost = materialize(kept.filter(~F.col("kept")).select(F.col("doc_id").alias("_lost")).distinct())
-    whole = docs.select(F.struct("*").alias("_doc"), F.col(key).alias("_key"))
-    return whole.join(lost, F.col("_key") == F.col("_lost"), "left_anti").select("_doc.*")
+    whole = docs.select(F.struct("*").alias("_doc"), F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text"))
+    whole = whole.join(lost, F.col("_key") == F.col("_lost"), "left_anti")
+    ids = docs.select(F.col(key).cast("long").alias("_many")).filter("_many IS NOT NULL")
+    several = materialize(ids.groupBy("_many").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_many"))
+    if several.isEmpty():
+        return whole.select("_doc.*")
+    # Only ids that occur in several rows are grouped; tasks take the least of their own rows first.
+    order = F.struct(F.xxhash64("_text"), F.xxhash64(F.to_json("_doc")))
+    one = whole.join(several, F.col("_key") == F.col("_many"), "left_semi").groupBy("_key").agg(F.min_by("_doc", order).alias("_doc"))
+    return whole.join(several, F.col("_key") == F.col("_many"), "left_anti").select("_doc.*").unionByName(one.select("_doc.*"))

@@ -91,6 +91,15 @@ def test_odd_rows(spark):
     assert neardup.deduplicate(none).count() == 0
 
 
+def test_one_row_of_each_id_stays(spark):
+    a, b = ("".join(f"{x}{i} " for i in range(30)) for x in "ab")
+    rows = [(5, a, 1), (5, a, 1), (5, a, 2), (7, a, 3), (9, b, 4), (9, "other text", 5), (None, "no id", 6), (None, "no id", 6), (11, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    kept = [tuple(r) for r in neardup.deduplicate(df).collect()]
+    assert sorted(r[0] for r in kept if r[0] is not None) == [5, 9, 11] and sum(r[0] is None for r in kept) == 2 and set(kept) <= set(rows)
+    assert sorted(map(str, kept)) == sorted(str(tuple(r)) for r in neardup.deduplicate(df.orderBy(F.desc("n")).repartition(3)).collect())
+
+
 def test_rows_with_one_id_are_one_document(spark):
     a, b, c = ("".join(f"{x}{i} " for i in range(30)) for x in "abc")
     rows = [(5, a), (7, a), (7, b), (9, b), (11, c)]
