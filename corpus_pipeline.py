@@ -31,8 +31,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def binary_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of power-of-two lengths, none of which crosses documents."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Sequences of power-of-two lengths with their token ids, none of which crosses documents."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [

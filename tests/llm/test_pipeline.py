@@ -1,5 +1,6 @@
 """The pipeline against its stages done by brute force in plain Python."""
 
+import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -40,3 +41,11 @@ def test_pipeline(spark):
     targets = mixing.water_fill([sum(n for _, n in by[s]) for s in order], [mixing.WEIGHTS[i % 3] for i in range(len(order))])
     for s, target in zip(order, targets, strict=True):
         assert abs(sum(copies[d] * n for d, n in by[s]) - target) <= max(n for _, n in by[s]) / 2 + 1
+
+
+def test_packed_sequences_hold_their_ids(spark):
+    docs = spark.createDataFrame([(1, "some words to pack, one after another"), (2, None)], "doc_id long, text string")
+    pieces = sorted(corpus_pipeline.binary_packing(spark, docs, "").collect(), key=lambda p: (p["doc_id"], p["start"]))
+    assert all(len(p["ids"]) == 4 * p["length"] and zlib.crc32(p["ids"]) == p["ids_crc32"] for p in pieces)
+    encode = encoder(public_tokenizers.path("byte_bpe_50k.json")).encode
+    assert b"".join(p["ids"] for p in pieces) == b"".join(x + packing.END_ID.to_bytes(4, "little") for x in encode(["some words to pack, one after another", ""]))
