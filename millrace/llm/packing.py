@@ -43,20 +43,20 @@ def cut_documents(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: i
 
         from .subwords import encoder, in_pieces
 
-        encode, end = encoder(tokenizer).encode, end_id.to_bytes(4, "little")
+        ids_of, end = encoder(tokenizer).ids, end_id.to_bytes(4, "little")
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
-        for batch in batches:
+        kinds = [*[pa.int64()] * 5, *[pa.binary()] * with_ids]
+        for part in (p for batch in batches for p in in_pieces(batch, 1)):
             out: list[list] = [[] for _ in names]
-            bodies = (ids + end for texts in in_pieces(batch.column(1)) for ids in encode(texts))
-            for doc_id, ids in zip(batch.column(0).to_pylist(), bodies, strict=True):
-                tokens, at = len(ids) // 4, 0
+            for doc_id, found in zip(part.column(0).to_pylist(), ids_of(part.column(1)), strict=True):
+                ids, at = found.tobytes() + end, 0
+                tokens = len(ids) // 4
                 for length in piece_lengths(tokens, limit):
                     piece = ids[4 * at : 4 * (at + length)]
                     values = (doc_id, at, length, zlib.crc32(piece), tokens, piece)
                     for column, value in zip(out, values, strict=False):
                         column.append(value)
                     at += length
-            kinds = [*[pa.int64()] * 5, *[pa.binary()] * with_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, kinds, strict=True)], names=names)
 
     rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string"))

@@ -1,58 +1,86 @@
 """Subword ids of whole texts by a public tokenizer file, with each distinct word encoded once in a while per worker.
 
 Both vocabularies cut a text into pieces that never reach over the start of a white-space run, so the ids of a text are
-the ids of its units (a white-space run and the word after it), one after the other. Units repeat a lot; their ids are
-kept as little-endian bytes in two generations of dictionaries of bounded size. Words that are missing are gathered and
-encoded many at a time: words of letters, whose ids are told apart by the marks that begin or end a word in the
-vocabulary, and trailing symbols, which are pieces of their own. A text with a
-white-space character outside ASCII, or with an added token's text, is encoded whole.
+the ids of its units (a white-space run and the word after it), one after the other. Arrow splits a piece of a batch into
+units and numbers the distinct ones; only those are looked up, and the ids of all units are gathered at once. Unknown
+units are encoded many at a time and told apart by the marks that begin or end a word in the vocabulary; symbols at the
+end of a word are pieces of their own, so only the word before them is encoded. Known units are kept up to a bound in
+bytes. A text with a white-space character outside ASCII, a NUL, or an added token's text is encoded whole.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterable
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Longest unit that is kept, words and other units of a generation, and words that are encoded together.
-KEEP_BYTES, KEEP_WORDS, KEEP_UNITS, TOGETHER = 64, 600_000, 100_000, 256
+#: Bytes of units that a worker keeps, bytes that a unit takes beside its own and its ids', units encoded together.
+KEEP_BYTES, UNIT_BYTES, TOGETHER = 96 << 20, 200, 256
 
-_UNITS = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-#: Symbols that make one piece of their own after a word of letters.
+_OTHER = "[\x00\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]"
+_RUNS = r"[ \n]{2}|[\t\r\v\f]|^[ \n]|[ \n]\z"
+_UNITS = re.compile(r"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
+#: Symbols that make one piece of their own after a letter.
 _TRAILING = ".,;:!?#*$%&|<>()"
+#: A unit that begins with this is encoded as it is; others follow a space, if they don't begin with a line feed.
+_AS_IS = "\0"
 _encoders: dict[str, "Encoder"] = {}
 
 
-class _Units(dict):
-    """Ids of units. A lookup of an unknown unit notes it in ``missing`` and gives None."""
+def _last_bytes(strings: pa.Array) -> np.ndarray:
+    """The last byte of each string (0 of an empty one)."""
+    offsets = np.frombuffer(strings.buffers()[1], dtype=np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    data = strings.buffers()[2]
+    if data is None or not data.size:
+        return np.zeros(len(strings), dtype=np.uint8)
+    return np.where(np.diff(offsets) > 0, np.frombuffer(data, dtype=np.uint8)[np.maximum(offsets[1:], 1) - 1], 0)
 
-    def __init__(self, most: int):
-        super().__init__()
-        self.most = most
-        self.old: dict[bytes, bytes] = {}
-        self.missing: set[bytes] = set()
 
-    def __missing__(self, unit: bytes) -> bytes | None:
-        ids = self.old.get(unit)
-        if ids is None:
-            self.missing.add(unit)
-        else:
-            self.keep(unit, ids)
-        return ids
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+class _Store:
+    """Ids of units: a dictionary to slots, and the ids of all slots in one array."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.bytes, self.n, self.size = 0, 0, 0
+        self.start, self.count, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
 
-    def keep(self, unit: bytes, ids: bytes) -> None:
-        if len(unit) <= KEEP_BYTES:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[unit] = ids
+    def add(self, units: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        n, size = self.n + len(units), self.size + ids.size
+        if n > self.start.size:
+            self.start, self.count = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (self.start, self.count))
+        if size > self.pool.size:
+            self.pool = np.concatenate([self.pool, np.zeros(size, np.uint32)])
+        self.start[self.n : n] = self.size + np.cumsum(counts) - counts
+        self.count[self.n : n] = counts
+        self.pool[self.size : size] = ids
+        self.slots.update(zip(units, range(self.n, n), strict=True))
+        self.n, self.size = n, size
+        self.bytes += sum(map(len, units)) + UNIT_BYTES * len(units) + 4 * ids.size
+
+    def find(self, units: list[str]) -> np.ndarray:
+        """Slot of each unit, -1 if unknown."""
+        return np.fromiter(map(self.slots.get, units, repeat(-1)), dtype=np.int64, count=len(units))
+
+    def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the slots, one after the other, and how many of each."""
+        counts = self.count[slots]
+        ends = np.cumsum(counts)
+        return self.pool[np.repeat(self.start[slots] - ends + counts, counts) + np.arange(int(ends[-1]) if ends.size else 0)], counts
 
 
 class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit integers, without special tokens."""
+    """Texts to ids, without special tokens."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -60,96 +88,117 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
-        size = max(vocabulary.values()) + 1
-        self.leads, self.ends = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
+        leads, ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool), np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, k in vocabulary.items():
-            self.leads[k], self.ends[k] = token.startswith("Ġ"), token.endswith("</w>")
-        self.by_leads = self.leads.sum() > self.ends.sum()
-        self.trailing: dict[str, bytes] = {}
-        self.words, self.units = _Units(KEEP_WORDS), _Units(KEEP_UNITS)  # words follow one space; units bring their own
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _together(self, words: list[bytes]) -> Iterable[bytes]:
-        """Ids of words of letters after a space, each of which has one mark; one by one if marks don't come out even."""
-        texts = ["".join(" " + w.decode() for w in words[at : at + TOGETHER]) for at in range(0, len(words), TOGETHER)]
-        ids = np.array([k for e in self.tokenizer.encode_batch(texts, add_special_tokens=False) for k in e.ids], dtype="<u4")
-        marks = np.flatnonzero((self.leads if self.by_leads else self.ends)[ids])
-        starts = marks if self.by_leads else np.concatenate(([0], marks + 1))[:-1]
-        if starts.size != len(words) or (ids.size and (starts[0] != 0 or not (self.by_leads or self.ends[ids[-1]]))):
-            return [self.whole(" " + w.decode()) for w in words]
-        raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * ids.size]
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def _encode_missing(self) -> dict[bytes, bytes]:
-        """Ids of all noted words and units, which are kept too."""
-        found: dict[bytes, bytes] = {}
-        letters: set[bytes] = set()  # words of letters, with one mark each
-        built: list[tuple[bytes, bytes, str]] = []
-        for word in self.words.missing:
-            text = word.decode()
-            if not self.by_leads:  # this vocabulary drops white space and case
-                text = text.lstrip("\n").lower() if text.isascii() else text.lstrip("\n")
-            core = text.rstrip(_TRAILING)
-            if not core.isalpha():
-                found[word] = self.whole(text if text[:1] == "\n" else " " + text)
-                continue
-            key = core.encode()
-            if key == word:
-                letters.add(word)
-                continue
-            built.append((word, key, text[len(core) :]))
-            ids = self.words.get(key) or self.words.old.get(key)
-            if ids is None:
-                letters.add(key)
+            leads[k], ends[k] = token[:1] in ("Ġ", "Ċ"), token.endswith("</w>")
+        self.by_leads = bool(leads.sum() > ends.sum())  # else white space and case are dropped, and each piece has an end
+        self.marks = leads if self.by_leads else ends
+        self.fence = self.tokenizer.encode("~", add_special_tokens=False).ids
+        self.store = _Store()
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype=np.uint32) for e in found]
+
+    def _one_by_one(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.whole([u[1:] if u[:1] == _AS_IS else u if u[:1] == "\n" else " " + u for u in units])
+        return np.concatenate([np.empty(0, np.uint32), *found]), np.array([x.size for x in found], dtype=np.int64)
+
+    def _together(self, units: list[str], fenced: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units in turn and how many of each; one by one where marks don't come out even.
+
+        Units each have one mark, or else a fence, which no unit holds, follows each of them.
+        """
+        parts = [units[at : at + TOGETHER] for at in range(0, len(units), TOGETHER)]
+        joined = [" ~ ".join(p) + " ~" if fenced else (" " + " ".join(p)).replace(" \n", "\n") for p in parts]
+        out, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for part, ids in zip(parts, self.whole(joined), strict=True):
+            mark = ids == self.fence[0] if fenced else self.marks[ids]
+            at = np.flatnonzero(mark)
+            if at.size != len(part) or (at[0] != 0 if self.by_leads else at[-1] != ids.size - 1):
+                ids, n = self._one_by_one(part)
+            elif fenced:
+                ids, n = ids[~mark], np.diff(at, prepend=-1) - 1
             else:
-                found[key] = ids
-        ordered = list(letters)
-        found.update(zip(ordered, self._together(ordered), strict=True))
-        for word, key, trailing in built:
-            if trailing and trailing not in self.trailing:
-                self.trailing[trailing] = self.whole(trailing)
-            found[word] = found[key] + (self.trailing[trailing] if trailing else b"")
-        for word, ids in found.items():
-            self.words.keep(word, ids)
-        for unit in self.units.missing:
-            self.units.keep(unit, ids := self.whole(unit.decode()))
-            found[b" \0" + unit] = ids
-        self.words.missing.clear()
-        self.units.missing.clear()
-        return found
+                n = np.diff(at, append=ids.size) if self.by_leads else np.diff(at, prepend=-1)
+            out.append(ids)
+            counts.append(n)
+        return np.concatenate(out), np.concatenate(counts)
+
+    def _learn(self, units: list[str]) -> None:
+        """Store distinct unknown units."""
+        words = pa.array(units, type=pa.string())
+        cores = pc.utf8_rtrim(words, characters=_TRAILING)
+        last = _last_bytes(cores) | 0x20
+        cut = ((last >= ord("a")) & (last <= ord("z"))) & (np.asarray(pc.binary_length(cores)) < np.asarray(pc.binary_length(words)))
+        whole = [u for u, c in zip(units, cut.tolist(), strict=True) if not c]
+        stems = cores.filter(pa.array(cut))
+        unknown = [u for u in _strings(stems.unique()) if u not in self.store.slots]
+        self._encode(list(dict.fromkeys(whole + unknown)))
+        if len(stems):
+            built, stems = _strings(words.filter(pa.array(cut))), _strings(stems)
+            tails = [_AS_IS + u[len(s) :] for u, s in zip(built, stems, strict=True)]
+            self._encode([t for t in dict.fromkeys(tails) if t not in self.store.slots])
+            ids, counts = self.store.gather(np.stack([self.store.find(stems), self.store.find(tails)], axis=1).ravel())
+            self.store.add(built, ids, counts.reshape(-1, 2).sum(1))
+
+    def _encode(self, units: list[str]) -> None:
+        if self.by_leads:
+            kinds = [("single", [u for u in units if u[:1] == _AS_IS]), ("marked", [u for u in units if u[:1] != _AS_IS])]
+        else:
+            plain, rest, single = [], [], []
+            for u in units:
+                (plain if u.isalpha() else single if not u or "~" in u or u[:1] == _AS_IS or len(self.fence) > 1 else rest).append(u)
+            kinds = [("marked", plain), ("fenced", rest), ("single", single)]
+        for kind, some in kinds:
+            if some:
+                self.store.add(some, *(self._one_by_one(some) if kind == "single" else self._together(some, kind == "fenced")))
+
+    def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The units of all texts and how many of each."""
+        if not self.by_leads:
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+            return lists.flatten(), np.asarray(pc.list_value_length(lists), dtype=np.int64)
+        lists = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(pa.scalar(_AS_IS), texts, ""), "\n", " \n"), " ")
+        odd = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, _RUNS)))
+        if not odd.size:
+            return lists.flatten(), np.asarray(pc.list_value_length(lists), dtype=np.int64)
+        # Runs of white space keep together: split by a pattern, with the run as a part of the unit.
+        parts, counts, at = [], np.asarray(pc.list_value_length(lists), dtype=np.int64).copy(), 0
+        for k in odd.tolist():
+            found = [u[1:] if u[0] == " " and u[1:2] not in " \t\n\v\f\r" else u if u[0] == "\n" and u[1:2] not in " \t\n\v\f\r" else _AS_IS + u
+                     for u in _UNITS.findall(texts[k].as_py())]
+            parts += [lists.slice(at, k - at).flatten(), pa.array(found, type=pa.string())]
+            counts[k], at = len(found), k + 1
+        return pa.concat_arrays([*parts, lists.slice(at).flatten()]), counts
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text (None: empty)."""
-        out: list = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif (not text.isascii() or any(c in text for c in "\x1c\x1d\x1e\x1f")) and _OTHER_SPACE.search(text) or "<|" in text and any(t in text for t in self.added):
-                out.append(self.whole(text))
-            else:
-                raw = text.encode()
-                if any(x in raw for x in (b"  ", b"\n ", b" \n", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c")) or raw[:1] in (b" ", b"\n") or raw[-1:] in (b" ", b"\n"):
-                    units = _UNITS.findall(raw)
-                    out.append((units, list(map(self.units.__getitem__, units)), b" \0"))
-                else:
-                    first, _, rest = raw.replace(b"\n", b" \n").partition(b" ")
-                    lead = self.units[first]
-                    words = rest.split(b" ") if rest else []
-                    out.append((words, list(map(self.words.__getitem__, words)), b"", first, lead))
-        found = self._encode_missing() if self.words.missing or self.units.missing else {}
-        return [x if isinstance(x, bytes) else _filled(x, found) for x in out]
-
-
-def _filled(entry: tuple, found: dict[bytes, bytes]) -> bytes:
-    units, ids, prefix, *first = entry
-    at = -1
-    for _ in range(ids.count(None)):
-        at = ids.index(None, at + 1)
-        ids[at] = found[prefix + units[at]]
-    lead = b"" if not first else first[1] if first[1] is not None else found[b" \0" + first[0]]
-    return lead + b"".join(ids)
+        """Ids of each text (None: empty) as little-endian unsigned 32-bit integers."""
+        return [x.astype("<u4").tobytes() for x in self.ids(pa.array(texts, type=pa.string()))]
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids (unsigned 32-bit) of each text of a string array (null: none)."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        apart = np.asarray(pc.match_substring_regex(texts, _OTHER))
+        for token in self.added:
+            apart = apart | np.asarray(pc.match_substring(texts, token))
+        units, counts = self._split(pc.if_else(pa.array(apart), "", texts) if apart.any() else texts)
+        coded = units.dictionary_encode()
+        distinct = _strings(coded.dictionary)
+        if self.store.bytes > KEEP_BYTES:
+            self.store.clear()
+        slots = self.store.find(distinct)
+        missing = np.flatnonzero(slots < 0).tolist()
+        if missing:
+            self._learn([distinct[k] for k in missing])
+            slots[missing] = self.store.find([distinct[k] for k in missing])
+        ids, lengths = self.store.gather(slots[np.asarray(coded.indices)] if len(distinct) else np.empty(0, np.int64))
+        sums = np.concatenate(([0], np.cumsum(lengths)))
+        ends = sums[np.cumsum(counts)]
+        out = [ids[a:b] for a, b in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True)] if len(texts) else []
+        for k, found in zip(np.flatnonzero(apart).tolist(), self.whole([texts[int(k)].as_py() for k in np.flatnonzero(apart)]) if apart.any() else [], strict=True):
+            out[k] = found
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -159,15 +208,10 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def in_pieces(texts, piece_bytes: int = 1 << 20) -> Iterable[list[str | None]]:
-    """Texts of an Arrow column as lists of about ``piece_bytes``."""
-    out: list[str | None] = []
-    size = 0
-    for text in texts:
-        out.append(text.as_py())
-        size += len(out[-1] or "")
-        if size >= piece_bytes:
-            yield out
-            out, size = [], 0
-    if out:
-        yield out
+def in_pieces(batch: pa.RecordBatch, column: int, piece_bytes: int = 4 << 20) -> Iterable[pa.RecordBatch]:
+    """A batch in slices with about ``piece_bytes`` of a text column, a longer text in a slice of its own."""
+    at, ends = 0, np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)), dtype=np.int64)
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + piece_bytes, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop

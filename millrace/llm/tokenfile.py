@@ -230,7 +230,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
 
         from .subwords import encoder, in_pieces
 
-        encode, end = encoder(tokenizer).encode, end_id.to_bytes(4, "little")
+        ids_of, end = encoder(tokenizer).ids, end_id.to_bytes(4, "little")
         task, part = TaskContext.get().partitionId(), 0
         fs, root = open_fs(folder)
         doc_ids: list[int | None] = []
@@ -246,11 +246,10 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
             values = ([task], [part], [name], [len(doc_ids)], [total])
             return pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["task", "part", "path", "docs", "ids"])
 
-        for batch in batches:
-            bodies = (found for texts in in_pieces(batch.column(1)) for found in encode(texts))
-            for doc_id, body in zip(batch.column(0).to_pylist(), bodies, strict=True):
+        for part_of in (p for batch in batches for p in in_pieces(batch, 1)):
+            for doc_id, found in zip(part_of.column(0).to_pylist(), ids_of(part_of.column(1)), strict=True):
                 doc_ids.append(doc_id)
-                ids.append(body + end)
+                ids.append(found.tobytes() + end)
                 total += len(ids[-1]) // 4
                 if total >= SHARD_IDS:
                     yield flush()
