@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import bounded, store
 
 #: Rounds after which something must be wrong; jumping makes their number logarithmic in a path's length.
 MAX_ROUNDS = 60
@@ -19,13 +19,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     very many nodes, is dealt to many tasks.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = materialize(both)
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    both = store(both)
+    labels = store(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
     for _ in range(MAX_ROUNDS):
-        near = both.join(labels.select(F.col("node").alias("n"), "component"), F.col("b") == F.col("n")).groupBy("a").agg(F.min("component").alias("m"))
+        near = both.join(bounded(labels.select(F.col("node").alias("n"), "component"), 24), F.col("b") == F.col("n")).groupBy("a").agg(F.min("component").alias("m"))
         new = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("old"), F.least("component", "m").alias("c"))
-        above = new.select(F.col("node").alias("n"), F.col("c").alias("up"))
-        jumped = materialize(new.join(above, F.col("c") == F.col("n")).select("node", F.col("up").alias("component"), (F.col("up") < F.col("old")).alias("moved")))
+        new = store(new)
+        above = bounded(new.select(F.col("node").alias("n"), F.col("c").alias("up")), 24)
+        jumped = store(new.join(above, F.col("c") == F.col("n")).select("node", F.col("up").alias("component"), (F.col("up") < F.col("old")).alias("moved")))
         labels = jumped.select("node", "component")
         if jumped.filter("moved").isEmpty():
             return labels

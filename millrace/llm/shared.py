@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
+#: Most bytes of a table that is broadcast, and bits of a filter that is.
+BROADCAST_BYTES, BITS = 32 << 20, 1 << 27
+
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share (``spark.checkpoint.dir``).
@@ -30,19 +34,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once into the shared checkpoint folder; later uses read that copy.
+    """Compute once into the shared checkpoint folder; later uses read that copy."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Compute once into a table in the shared folder; later uses read the columns that they need of it."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
+    """A stored table to join with: broadcast if its counted rows (or the given number) take ``BROADCAST_BYTES`` at most."""
+    size = row_bytes * (df.count() if rows is None else rows)
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def in_bits(df: DataFrame, key: str, wanted: DataFrame, bits: int = BITS) -> DataFrame:
+    """The rows of ``df`` whose key (a long) may be in ``wanted``, a stored table with a column of that name; no row whose key is goes.
 
-    A checkpoint keeps the constraints that its plan implies; over many rounds of joins these multiply until planning is
-    what takes the time, so they are not derived here.
+    Hashes of the wanted keys set bits of bitmaps that the engine builds, 32,768 bits each, ``bits`` in all (16 MB by
+    default), which are broadcast whatever the number of keys.
     """
-    spark, derive = df.sparkSession, "spark.sql.constraintPropagation.enabled"
-    shared_dir(spark)
-    before = spark.conf.get(derive)
-    spark.conf.set(derive, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(derive, before)
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    maps = wanted.select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_at")).groupBy("_bucket")
+    maps = store(maps.agg(F.bitmap_construct_agg("_at").alias("_map")))
+    bit = F.bitmap_bit_position(F.col("_place"))
+    byte = F.conv(F.hex(F.substring("_map", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    asked = df.withColumn("_place", place).join(F.broadcast(maps), F.bitmap_bucket_number(F.col("_place")) == F.col("_bucket"))
+    return asked.filter(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (bit % 8 + 1).cast("int"))) > 0).select(*df.columns)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
