@@ -5,6 +5,11 @@ stored once; the others are revisit records that name it. Reading: a file is cut
 for gzip magic in its range, takes a candidate as a member if its header and its decoded head are those of a WARC record
 and each member after it starts where the last one ended, until the range is left or the file ends. It owns the records
 that start in its range.
+
+The places that all tasks find are held against each other before any record is read: each range must begin where the
+ranges before it ended, and the last must end with the file. A file where they don't (a payload may hold a whole archive)
+is walked from its first byte by one task, which finds the same places or, if a member is broken or cut off, raises an
+error. So no record of a file is lost without a word.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize, open_fs, shared_dir
@@ -79,36 +84,46 @@ class Members:
             return None
         return b"".join(out), place - len(unpack.unused_data)
 
-    def chain(self, at: int, end: int) -> bool:
-        """Whether members follow each other from a byte to the end of the range or of the file."""
-        head = self.member(at, whole=False)
-        if head is None or not head[0].startswith(b"WARC/1."):
-            return False
+    def chain(self, at: int, end: int) -> tuple[int, bool]:
+        """Where the members that follow each other from a byte lead, at most past the end of the range, and if they do."""
         while at < min(end, self.size):
             found = self.member(at)
             if found is None or not found[0].startswith(b"WARC/1."):
-                return False
+                return at, False
             at = found[1]
-        return True
+        return at, True
 
-    def first(self, start: int, end: int) -> int | None:
-        """The first byte of the range at which a member of the file starts."""
+    def bounds(self, start: int, end: int) -> tuple[int | None, int | None]:
+        """The byte at which the first member of the range starts, and where the range's last member ends; None without any."""
         if start == 0:
-            return 0 if self.size else None
+            return (0, self.chain(0, end)[0]) if self.size else (None, None)
         at = start
         while at < min(end, self.size):
             data = self.source.read_at(min(READ_BYTES, end + 2 - at, self.size - at), at)
             place = data.find(_MAGIC)
             while place >= 0:
-                if at + place < end and self.chain(at + place, end):
-                    return at + place
+                head = self.member(at + place, whole=False) if at + place < end else None
+                if head is not None and head[0].startswith(b"WARC/1."):
+                    stop, sound = self.chain(at + place, end)
+                    if sound:
+                        return at + place, stop
                 place = data.find(_MAGIC, place + 1)
             at += max(1, len(data) - 2)
-        return None
+        return None, None
+
+    def walk(self, step: int) -> Iterator[tuple[int, int | None, int | None]]:
+        """Start, first and end of each range of ``step`` bytes, from the members of the whole file in turn."""
+        at = 0
+        for start in range(0, max(1, self.size), step):
+            first = at if at < min(start + step, self.size) else None
+            at, sound = self.chain(at, start + step)
+            if not sound:
+                raise ValueError(f"broken member at byte {at}")
+            yield start, first, None if first is None else at
 
-    def records(self, start: int, end: int) -> Iterator[bytes]:
-        """The decoded records that start in the range."""
-        at = self.first(start, end)
+    def records(self, first: int | None, end: int) -> Iterator[bytes]:
+        """The decoded records that start from ``first``, a member's start, to before ``end``."""
+        at = first
         while at is not None and at < min(end, self.size):
             found = self.member(at)
             if found is None:
@@ -165,11 +180,55 @@ def _closed(fs, sink, own: str, name: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size])], names=["path", "size"])
 
 
-def read_warc(files: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, payloads: bool = False) -> DataFrame:
-    """The records of the listed files (path, size), whatever their order: page_id, payload_bytes, payload_digest,
-    record_type, refers_to and, if asked for, payload (null for revisits)."""
+_BOUNDS = "path string, size long, start long, first long, stop long"
+
+
+def _ranges(files: DataFrame, folder: str, range_bytes: int) -> DataFrame:
+    """path, size, start, first and stop of all ranges of the files: where the first member starts and the last one ends."""
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0).cast("long")), F.lit(range_bytes).cast("long"))
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, type=t) for c, t in zip(zip(*found, strict=True), [pa.string(), *[pa.int64()] * 4], strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=["path", "size", "start", "first", "stop"])
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = open_fs(folder)
+        for batch in batches:
+            for path, size, start in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                with fs.open_input_file(path) as source:
+                    yield rows([(path, size, start, *Members(source, size).bounds(start, start + range_bytes))])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = open_fs(folder)
+        for batch in batches:
+            for path, size in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                with fs.open_input_file(path) as source:
+                    try:
+                        for found in Members(source, size).walk(range_bytes):
+                            yield rows([(path, size, *found)])
+                    except ValueError as e:
+                        raise ValueError(f"{e} of {path}") from None
+
+    def spread(df: DataFrame, *keys: str) -> DataFrame:
+        return df.repartition(max(1, min(df.count(), 4 * df.sparkSession.sparkContext.defaultParallelism)), *keys)
+
     ranges = files.select("path", "size", F.explode(starts).alias("start"))
+    found = materialize(spread(ranges, "path", "start").mapInArrow(locate, _BOUNDS))
+    before = F.coalesce(F.max("stop").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    after = F.greatest(F.col("_before"), F.coalesce("stop", F.lit(0)))
+    end = F.least(F.col("start") + range_bytes, F.col("size"))
+    fits = (F.coalesce("first", "_before") == F.col("_before")) & (after >= end) & ((end < F.col("size")) | (after == end))
+    broken = materialize(found.withColumn("_before", before).filter(~fits).select("path", "size").distinct())
+    if broken.isEmpty():
+        return found
+    walked = materialize(spread(broken, "path").mapInArrow(walk, _BOUNDS))
+    return found.join(broken.select("path"), "path", "left_anti").unionByName(walked)
+
+
+def read_warc(files: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, payloads: bool = False) -> DataFrame:
+    """The records of the listed files (path, size), whatever their order: page_id, payload_bytes, payload_digest,
+    record_type, refers_to and, if asked for, payload (null for revisits). A broken or truncated file raises an error."""
+    ranges = _ranges(files, folder, range_bytes)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -183,10 +242,10 @@ def read_warc(files: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, pay
             return int(name) if name else None
 
         for batch in batches:
-            for path, size, start in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for path, size, start, first in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 out: list[list] = [[] for _ in names]
                 with fs.open_input_file(path) as source:
-                    for raw in Members(source, size).records(start, start + range_bytes):
+                    for raw in Members(source, size).records(first, start + range_bytes):
                         fields, block = parse_record(raw)
                         digest, length = fields["warc-payload-digest"].removeprefix("sha256:"), int(fields["x-payload-length"])
                         if fields["warc-type"] == "response" and (hashlib.sha256(block).hexdigest() != digest or len(block) != length):
@@ -200,6 +259,7 @@ def read_warc(files: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, pay
                             out = [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, kinds, strict=True)], names=names)
 
+    ranges = ranges.filter("first IS NOT NULL").select("path", "size", "start", "first")
     n = max(1, min(ranges.count(), 4 * files.sparkSession.sparkContext.defaultParallelism))
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if payloads else "")
     return ranges.repartition(n, "path", "start").mapInArrow(read, schema)

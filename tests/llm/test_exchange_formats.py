@@ -1,6 +1,7 @@
 """WARC archives, chat repair and top-k search against brute force."""
 
 import gzip
+import hashlib
 import itertools
 import random
 from collections import defaultdict
@@ -50,10 +51,46 @@ def test_reader_is_not_fooled_by_members_inside_payloads(tmp_path):
     assert len(gzip.open(path).read()) > 0
     with pafs.LocalFileSystem().open_input_file(str(path)) as source:
         for step in (1, 37, 333):
-            found = [warc.parse_record(raw)[0]["warc-record-id"] for start in range(0, size, step) for raw in warc.Members(source, size).records(start, start + step)]
+            members = warc.Members(source, size)
+            found = [warc.parse_record(raw)[0]["warc-record-id"] for start in range(0, size, step) for raw in members.records(members.bounds(start, start + step)[0], start + step)]
             assert found == [f"<urn:page:{i}>" for i in range(20)], step
 
 
+def archive(spark, path, records):
+    path.write_bytes(b"".join(records))
+    return spark.createDataFrame([(str(path), path.stat().st_size)], "path string, size long"), f"file://{path.parent}"
+
+
+@pytest.mark.parametrize("size", [300, 4000, 1 << 22])
+def test_broken_archives_raise(spark, tmp_path, size):
+    rng = random.Random(5)
+    records = [warc.record_bytes(i, "u", body, hashlib.sha256(body).hexdigest(), None) for i in range(60) for body in [rng.randbytes(rng.randint(0, 400))]]
+    files, folder = archive(spark, tmp_path / "sound.warc.gz", records)
+    assert sorted(r["page_id"] for r in warc.read_warc(files, folder, range_bytes=size).collect()) == list(range(60))
+    for k in (0, 31, 59):
+        broken = bytearray(records[k])
+        broken[len(broken) // 2] ^= 0x55
+        for name, changed in (("bits", bytes(broken)), ("cut", records[k][:-7]), ("gone", records[k][:5] + b"\0" * 9), ("more", records[k] + b"garbage")):
+            files, folder = archive(spark, tmp_path / f"{name}{k}.warc.gz", [*records[:k], changed, *records[k + 1 :]])
+            with pytest.raises(Exception, match="broken member|doesn't match"):
+                warc.read_warc(files, folder, range_bytes=size).collect()
+
+
+def test_an_archive_inside_a_payload_is_not_read(spark, tmp_path):
+    rng = random.Random(6)
+    inner = b"".join(warc.record_bytes(1000 + i, "u", body, hashlib.sha256(body).hexdigest(), None) for i in range(40) for body in [rng.randbytes(300)])
+    bodies = [b"a" * 500, inner, b"b" * 500, inner + b"c", b""]
+    records = [warc.record_bytes(i, "u", body, hashlib.sha256(body).hexdigest(), None) for i, body in enumerate(bodies)]
+    files, folder = archive(spark, tmp_path / "a.warc.gz", records)
+    for size in (700, 5000, 1 << 22):
+        rows = warc.read_warc(files, folder, range_bytes=size, payloads=True).collect()
+        assert sorted((r["page_id"], bytes(r["payload"])) for r in rows) == list(enumerate(bodies))
+
+
+def test_no_pages_no_archives(spark):
+    assert warc.warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
 def brute_cost(roles):
     """Least cost over every choice of labels, merges and insertions."""
 
