@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .shared import materialize
 
-#: Points of a shard on the ring, and parts in which the rows of an arc are ranked.
-VIRTUAL, PARTS = 128, 16
+#: Points of a shard on the ring, and most parts (those of the input) in which the rows of an arc are ranked.
+VIRTUAL, PARTS = 128, 1 << 16
 
 
 def ring(shards: int, virtual: int = VIRTUAL, seed: int = 0) -> tuple[list[int], list[int]]:
