@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from .profile import describe, missing_counts, value_counts
+from .profile import describe, missing_counts, quantiles, value_counts
 
 
 def drop_duplicates(df: DataFrame, subset: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
@@ -16,8 +16,11 @@ def drop_duplicates(df: DataFrame, subset: list[str] | None = None, order: list[
     if not subset:
         return df.dropDuplicates()
     known = sum((F.col(f"`{c}`").isNotNull().cast("int") for c in df.columns), F.lit(0))
-    best = Window.partitionBy(*subset).orderBy(F.desc("_known"), *(order or df.columns))
-    return df.withColumn("_known", known).withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_known", "_r")
+    # The best row of a key is a minimum: tasks reduce their own rows first, so that a frequent (or null) key is no hot task.
+    rank = F.struct((-known).alias("k"), *[F.struct(F.col(f"`{c}`").isNotNull(), F.col(f"`{c}`")).alias(f"o{i}") for i, c in enumerate(order or df.columns)])
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    best = df.groupBy(*[F.col(f"`{c}`").alias(f"key_{i}") for i, c in enumerate(subset)]).agg(F.min_by(row, rank).alias("best"))
+    return best.select("best.*")
 
 
 def cleaning_report(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -57,12 +60,12 @@ class Scaler:
 
     def fit(self, df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> "Scaler":
         columns = columns or X.numeric_columns(df)
-        rows = X.long_form(X.missing_free(df), columns).filter("value IS NOT NULL").groupBy("column")
+        known = X.long_form(X.missing_free(df), columns).filter("value IS NOT NULL")
+        rows = known.groupBy("column")
         if self.method == "minmax":
             stats = rows.agg(F.min("value").alias("a"), (F.max("value") - F.min("value")).alias("b"))
         elif self.method == "robust":
-            q = F.percentile("value", [0.25, 0.5, 0.75]) if exact else F.percentile_approx("value", [0.25, 0.5, 0.75], 10_000)
-            stats = rows.agg(q.alias("q")).select("column", F.col("q")[1].alias("a"), (F.col("q")[2] - F.col("q")[0]).alias("b"))
+            stats = quantiles(known, [0.25, 0.5, 0.75], exact).select("column", F.col("q")[1].alias("a"), (F.col("q")[2] - F.col("q")[0]).alias("b"))
         else:
             stats = rows.agg(F.avg("value").alias("a"), F.stddev_pop("value").alias("b"))
         for r in stats.collect():  # a row a column
@@ -102,3 +105,11 @@ class Preprocessor:
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.scaler.transform(self._filled(df))
+
+    def fit_transform(self, df: DataFrame, key: str, target: str, test: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+        """Without duplicate rows, split by key; fitted on the features of train rows. The transformed train and test rows, with key and target."""
+        from .models import train_test_split
+
+        train, held = train_test_split(drop_duplicates(df), key, test, seed)
+        self.fit(train, [c for c in X.numeric_columns(df) if c not in (key, target)])
+        return self.transform(train), self.transform(held)

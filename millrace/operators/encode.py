@@ -51,6 +51,12 @@ def target_encode_oof(train: DataFrame, key: str, column: str, target: str, fold
     return joined.withColumn("encoded", value).drop("_cat", "_fold", "_os", "_on")
 
 
+def unseen_categories(train: DataFrame, test: DataFrame, column: str) -> DataFrame:
+    """category: values of the column that occur in test rows only."""
+    one, two = (d.filter(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("category")) for d in (train, test))
+    return two.subtract(one)
+
+
 def frequency_map(train: DataFrame, column: str) -> DataFrame:
     counts = train.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("category")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("_all"))

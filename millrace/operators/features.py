@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import stats
+from ..functions.ranks import exact_quantiles
 
 
 def log_features(df: DataFrame, threshold: float = 1.0, columns: list[str] | None = None) -> DataFrame:
@@ -64,12 +65,14 @@ def f_regression(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 def mutual_information(df: DataFrame, features: list[str], label: str, bins: int = 10) -> DataFrame:
     """feature, place, mi in nats between quantile bins of the feature and the label (binned too if it is fractional)."""
-    cuts = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [i / bins for i in range(1, bins)], 10_000).alias(c) for c in features]).collect()[0]
+    points = [i / bins for i in range(1, bins)]
+    cuts = dict.fromkeys(features) | {r["column"]: r["q"] for r in exact_quantiles(X.long_form(X.missing_free(df.select(*features)), features), points).collect()}
     parts = [F.struct(F.lit(i).alias("place"), F.lit(c).alias("feature"),
                       sum((F.when(F.col(c) > x, 1).otherwise(0) for x in sorted(set(cuts[c] or []))), F.lit(0)).alias("x")) for i, c in enumerate(features)]
     y = F.col(label)
     if dict(df.dtypes)[label] in ("double", "float"):
-        edges = sorted(set(df.agg(F.percentile_approx(y, [i / bins for i in range(1, bins)], 10_000)).collect()[0][0] or []))
+        found = exact_quantiles(X.long_form(X.missing_free(df.select(label)), [label]), points).collect()
+        edges = sorted(set(found[0]["q"])) if found else []
         y = sum((F.when(F.col(label) > x, 1).otherwise(0) for x in edges), F.lit(0))
     joint = df.filter(F.col(label).isNotNull()).select(y.alias("y"), F.explode(F.array(*parts)).alias("_p")).select("y", "_p.*").groupBy("place", "feature", "x", "y").agg(F.count(F.lit(1)).alias("n"))
     px, py, all_ = (Window.partitionBy("place", "feature", *c) for c in (["x"], ["y"], []))  # over the cells of the table

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import prefix_sums
+
 #: Fixed values of the metric registry: direction, tasks and the value that passes.
 DIRECTION = {
     "accuracy": "maximize", "precision": "maximize", "recall": "maximize", "f1": "maximize", "roc_auc": "maximize",
@@ -14,8 +18,9 @@ DIRECTION = {
 PASS_AT = {"accuracy": 0.70, "precision": 0.65, "recall": 0.65, "f1": 0.65, "roc_auc": 0.70, "r2": 0.50, "rmse": 1.0, "mae": 1.0, "mse": 1.0, "silhouette": 0.30, "davies_bouldin": 1.5}
 PREFERRED = {"classification": ["f1", "accuracy", "roc_auc", "precision", "recall"], "clustering": ["silhouette"], "regression": ["r2", "rmse", "mae", "mse"]}
 
-#: Ordered cells of the prefix sum.
-CELLS = 64
+
+#: Clusters whose pairs are compared, and whose means are sent to all tasks.
+MAX_CLUSTERS = 10_000
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -60,25 +65,6 @@ def regression_metrics(df: DataFrame, label: str, prediction: str, features: int
     return a.select(*out)
 
 
-def prefix_sums(counts: DataFrame, by: list[str], value: str, sums: list[str], cells: int = CELLS) -> DataFrame:
-    """Adds before_x for each x of ``sums``: its sum over rows of the same group with a smaller value.
-
-    ``counts`` has one row a group and value. Values fall into ordered cells between quantiles of their group; cell
-    totals are summed up first, and rows only within their cell, so no task sorts a whole group.
-    """
-    edges = counts.groupBy(*[F.col(c).alias(f"_e_{c}") for c in by]).agg(F.percentile_approx(value, [i / cells for i in range(1, cells)], 2_000).alias("_edges"))
-    same = [F.col(c).eqNullSafe(F.col(f"_e_{c}")) for c in by]
-    placed = counts.join(F.broadcast(edges), same) if by else counts.crossJoin(F.broadcast(edges))  # a row a group
-    placed = placed.withColumn("_cell", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges", *[f"_e_{c}" for c in by])
-    total = placed.groupBy(*by, "_cell").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # CELLS rows a group
-    total = total.select(*[F.col(c).alias(f"_k_{c}") for c in [*by, "_cell"]], *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_b_{s}") for s in sums])
-    joined = placed.join(F.broadcast(total), [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*by, "_cell"]])
-    inside = Window.partitionBy(*by, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = joined.withColumns({f"before_{s}": F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"_b_{s}") for s in sums})
-    return out.select(*counts.columns, *[f"before_{s}" for s in sums])
-
-
 def roc_auc(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     """Area under the ROC curve by ranks, ties half; null where a class is missing."""
     y = F.col(label) == positive
@@ -122,6 +108,8 @@ def cluster_metrics(df: DataFrame, vector: str, cluster: str) -> DataFrame:
     near = points.join(F.broadcast(centres.select(F.col("c").alias("_c"), "m")), F.col("c") == F.col("_c")).select("c", distance2(F.col("v"), F.col("m")).alias("d2"))
     spread = near.groupBy(F.col("c").alias("_s")).agg(F.avg(F.sqrt("d2")).alias("s"), F.sum("d2").alias("w"))
     k = centres.join(F.broadcast(spread), F.col("c") == F.col("_s")).select("c", "n", "m", "s", "w")
+    if k.count() > MAX_CLUSTERS:
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters: pairs of clusters are compared")
     other = k.select(F.col("c").alias("oc"), F.col("m").alias("om"), F.col("s").alias("os"))
     pair = k.join(F.broadcast(other), F.col("c") != F.col("oc")).select("c", ((F.col("s") + F.col("os")) / F.sqrt(distance2(F.col("m"), F.col("om")))).alias("r"))
     db = pair.groupBy("c").agg(F.max("r").alias("r")).agg(F.avg("r").alias("_db"))
@@ -148,14 +136,36 @@ def silhouette_squared(df: DataFrame, vector: str, cluster: str) -> DataFrame:
     return rows.agg(F.coalesce(F.avg(F.coalesce(s, F.lit(0.0))), F.lit(0.0)).alias("silhouette"))
 
 
-def silhouette(df: DataFrame, key: str, vector: str, cluster: str, sample: int = 2000) -> DataFrame:
-    """Mean Euclidean silhouette of up to ``sample`` points (by hash of the key) against all points."""
-    points = df.select(F.col(key).alias("k"), F.col(cluster).alias("c"), F.col(vector).cast("array<double>").alias("v"))
-    asked = points.orderBy(F.xxhash64("k")).limit(sample).select(F.col("k").alias("ak"), F.col("c").alias("ac"), F.col("v").alias("av"))
-    pairs = points.join(F.broadcast(asked), F.col("k") != F.col("ak")).select("ak", "ac", "c", F.sqrt(distance2(F.col("v"), F.col("av"))).alias("d"))
-    means = pairs.groupBy("ak", "ac", "c").agg(F.avg("d").alias("d"))
-    by = means.groupBy("ak").agg(F.min(F.when(F.col("c") == F.col("ac"), F.col("d"))).alias("a"), F.min(F.when(F.col("c") != F.col("ac"), F.col("d"))).alias("b"))
-    return by.agg(F.coalesce(F.avg(F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))), F.lit(0.0)).alias("silhouette"))
+def silhouette(df: DataFrame, key: str, vector: str, cluster: str, sample: int | None = None) -> DataFrame:
+    """Mean Euclidean silhouette of all points, or of up to ``sample`` ones (by hash of the key), against all points.
+
+    Blocks of asked points meet blocks of points in a task, which sums up distances by cluster; so what is shuffled is a
+    row a point, cluster and block. The work without a sample is quadratic, as the figure's definition is.
+    """
+    points = df.select(F.col(key).alias("k"), F.col(cluster).alias("c"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
+    asked = points if sample is None else points.orderBy(F.xxhash64("k")).limit(sample)
+    blocks, shares = (max(1, -(-d.count() // 4096)) for d in (asked, points))
+    one = asked.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    two = points.withColumn("s", F.pmod(F.xxhash64("k", F.lit(1)), F.lit(shares)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    kinds = dict(points.dtypes)
+
+    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"k": [], "own": [], "c": [], "total": [], "n": []})
+        a, b = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
+        labels, place = np.unique(right["c"].to_numpy(), return_inverse=True)
+        parts, size = [], np.bincount(place, minlength=len(labels))
+        for q, c, v in zip(left["k"], left["c"], a, strict=True):
+            total = np.bincount(place, weights=np.sqrt(((b - v) ** 2).sum(1)), minlength=len(labels))
+            itself = np.bincount(place[right["k"].to_numpy() == q], minlength=len(labels))
+            parts.append(pd.DataFrame({"k": q, "own": c, "c": labels, "total": total, "n": size - itself}))
+        return pd.concat(parts, ignore_index=True)
+
+    schema = f"k {kinds['k']}, own {kinds['c']}, c {kinds['c']}, total double, n long"
+    means = one.groupBy("b", "s").cogroup(two.groupBy("b", "s")).applyInPandas(sums, schema).groupBy("k", "own", "c").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("d"))
+    by = means.groupBy("k").agg(F.min(F.when(F.col("c") == F.col("own"), F.col("d"))).alias("a"), F.min(F.when(F.col("c") != F.col("own"), F.col("d"))).alias("b"))
+    worth = (F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0))
+    return by.agg(F.coalesce(F.avg(F.coalesce(worth, F.lit(0.0))), F.lit(0.0)).alias("silhouette"))
 
 
 def primary_metric(metrics: DataFrame, run: str = "run", task: str = "task") -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import logging
 import random
 import time
-from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import clustering as K
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..sources.tables import scratch_dir
 from .metrics import distance2, regression_metrics, weighted_metrics
 
 
@@ -85,14 +88,14 @@ def assemble(df: DataFrame, features: list[str], label: str | None = None) -> Da
 
 
 def train_candidates(df: DataFrame, task: str = "classification", names: list[str] | None = None, seed: int = 42, zoo: dict | None = None) -> dict[str, object]:
-    """Fitted models by name on assembled rows; one that fails is left out."""
+    """Fitted models by name on assembled rows; one that fails is left out, and the log says why."""
     zoo = zoo or zoo_of(task, df.count(), seed)
     out = {}
     for name in names or [n for n in DEFAULTS[task] if n in zoo]:
         try:
             out[name] = zoo[name].fit(df)
-        except Exception:  # noqa: BLE001 a candidate's failure isn't the run's
-            continue
+        except Exception as e:  # noqa: BLE001 a candidate's failure isn't the run's
+            logging.getLogger(__name__).warning("%s failed: %s", name, e)
     return out
 
 
@@ -126,16 +129,16 @@ def _evaluator(task: str):
 
 
 def cross_validate(df: DataFrame, task: str = "classification", zoo: dict | None = None, k: int = 5, fold: str = "fold", parallelism: int = 2) -> DataFrame:
-    """model, mean, std (population) of the score over folds, best. ``df`` has the fold column; a failing model scores 0."""
+    """model, mean, std (population) of the score over folds, error, best. ``df`` has the fold column; a failing model scores 0."""
     rows = []
     for name, estimator in (zoo or zoo_of(task, df.count())).items():
         try:
             cv = CrossValidator(estimator=estimator, estimatorParamMaps=[{}], evaluator=_evaluator(task), numFolds=k, foldCol=fold, parallelism=parallelism).fit(df)
-            rows.append((name, round(cv.avgMetrics[0], 4), round(cv.stdMetrics[0], 4)))
-        except Exception:  # noqa: BLE001
-            rows.append((name, 0.0, 0.0))
-    best = max(rows, key=lambda r: r[1])[0]
-    return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "model string, mean double, std double, best boolean")
+            rows.append((name, round(float(cv.avgMetrics[0]), 4), round(float(cv.stdMetrics[0]), 4), None))
+        except Exception as e:  # noqa: BLE001 a candidate's failure is a row
+            rows.append((name, 0.0, 0.0, str(e)[:500]))
+    best = max((r for r in rows if r[3] is None), key=lambda r: r[1], default=(None,))[0]
+    return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "model string, mean double, std double, error string, best boolean")
 
 
 def grid_search(df: DataFrame, estimator, grid: dict[str, list], task: str = "classification", k: int = 3, fold: str | None = None, parallelism: int = 2, picks: int | None = None, seed: int = 42):
@@ -149,23 +152,25 @@ def grid_search(df: DataFrame, estimator, grid: dict[str, list], task: str = "cl
     args = {"foldCol": fold} if fold else {"seed": seed}
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=points, evaluator=_evaluator(task), numFolds=k, parallelism=parallelism, **args).fit(df)
     best = max(range(len(points)), key=cv.avgMetrics.__getitem__)
-    return {p.name: v for p, v in points[best].items()}, round(cv.avgMetrics[best], 4), cv.bestModel
+    return {p.name: v for p, v in points[best].items()}, round(float(cv.avgMetrics[best]), 4), cv.bestModel
 
 
-def save_model(model: PipelineModel, path: str, features: list[str], target: str, metrics: dict) -> None:
-    """The fitted pipeline and, beside it, its contract."""
+def save_model(model: PipelineModel, path: str, train: DataFrame, features: list[str], target: str, metrics: dict) -> None:
+    """The fitted pipeline and, beside it, its contract: features with their types in ``train``, target and metrics."""
     model.write().overwrite().save(f"{path}/model")
     spark = SparkSession.getActiveSession()
-    contract = json.dumps({"features": features, "target": target, "metrics": metrics})
+    types = {c: kind for c, kind in train.dtypes if c in features}
+    contract = json.dumps({"features": features, "types": types, "target": target, "metrics": metrics})
     spark.createDataFrame([(contract,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/contract")
 
 
 def predict(df: DataFrame, path: str) -> DataFrame:
     """Predictions of a saved model on a batch or a stream, after the contract's columns are checked."""
     contract = json.loads("".join(r["value"] for r in df.sparkSession.read.text(f"{path}/contract").collect()))
-    missing = [c for c in contract["features"] if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {missing}")
+    have = dict(df.dtypes)
+    wrong = [f"{c}: {have.get(c)}, not {kind}" for c, kind in contract["types"].items() if have.get(c) != kind]
+    if wrong:
+        raise ValueError(f"columns that are missing or of another type: {wrong}")
     return PipelineModel.load(f"{path}/model").transform(df)
 
 
@@ -175,17 +180,54 @@ def feature_pipeline(features: list[str], label: str, estimator, statements: lis
     return Pipeline(stages=[*steps, SQLTransformer(statement=f"SELECT *, CAST({label} AS DOUBLE) AS label FROM __THIS__"), VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), estimator])
 
 
-def nearest(queries: DataFrame, points: DataFrame, key: str, vector: str, k: int = 5, block: int = 512) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, key: str, vector: str, k: int = 5, block: int = 256) -> DataFrame:
     """Exact k nearest points of each query: key, rank, near_key, distance (ties to the smaller key).
 
-    Queries are dealt into blocks that meet every point in one pass; each task keeps k per query of what it has seen.
+    A block of queries and a share of the points meet in one task, which keeps k a query; so no pairs are shuffled, and
+    there are as many tasks as the size of both asks for. Null vectors take no part.
     """
-    blocks = max(1, -(-queries.count() // block))
-    asked = queries.select(F.col(key).alias("q"), F.col(vector).cast("array<double>").alias("qv"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b"))
-    own = points.select(F.col(key).alias("p"), F.col(vector).cast("array<double>").alias("pv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    pairs = own.join(asked, "_b").filter("q <> p").select("q", "p", F.sqrt(distance2(F.col("qv"), F.col("pv"))).alias("distance"))
-    best = Window.partitionBy("q").orderBy("distance", "p")
-    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(F.col("q").alias(key), "rank", F.col("p").alias("near_key"), "distance")
+    spark = queries.sparkSession
+    n_asked, n_points = queries.count(), points.count()
+    blocks = max(1, -(-n_asked // block))
+    shares = max(1, min(-(-n_points // 4096), 4 * spark.sparkContext.defaultParallelism, 1 + n_points * n_asked // 20_000_000))
+    kind = dict(queries.dtypes)[key]
+    asked = queries.filter(F.col(vector).isNotNull()).select(F.col(key).alias("q"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
+    asked = asked.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    own = points.filter(F.col(vector).isNotNull()).select(F.col(key).alias("p"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(shares)).cast("int").alias("s"))
+    own = own.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def best(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(two):
+            return pd.DataFrame({"q": [], "p": [], "distance": []})
+        two = two.sort_values("p", kind="stable")
+        a, b, names = np.stack(one["v"].to_numpy()), np.stack(two["v"].to_numpy()), two["p"].to_numpy()
+        parts = []
+        for q, v in zip(one["q"].to_numpy(), a, strict=True):
+            d = ((b - v) ** 2).sum(1)
+            d[names == q] = np.inf
+            # Ties at the k-th distance go to the smaller key: points are in key order and the sort is stable.
+            near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]) if len(d) > k else np.arange(len(d))
+            near = near[np.argsort(d[near], kind="stable")][:k]
+            near = near[np.isfinite(d[near])]
+            parts.append(pd.DataFrame({"q": q, "p": names[near], "distance": np.sqrt(d[near])}))
+        return pd.concat(parts, ignore_index=True)
+
+    found = asked.groupBy("b", "s").cogroup(own.groupBy("b", "s")).applyInPandas(best, f"q {kind}, p {kind}, distance double")
+    rank = Window.partitionBy("q").orderBy("distance", "p")
+    return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select(F.col("q").alias(key), "rank", F.col("p").alias("near_key"), "distance")
+
+
+def nearest_vote(queries: DataFrame, train: DataFrame, key: str, vector: str, label: str, k: int = 5) -> DataFrame:
+    """key and prediction: the most frequent label of the k nearest train rows (ties to the smaller label)."""
+    near = nearest(queries, train, key, vector, k).join(train.select(F.col(key).alias("near_key"), F.col(label).alias("_label")), "near_key")
+    votes = near.groupBy(key, "_label").agg(F.count(F.lit(1)).alias("_n"))
+    return votes.groupBy(key).agg(F.min_by("_label", F.struct(-F.col("_n"), F.col("_label"))).alias("prediction"))
+
+
+def nearest_mean(queries: DataFrame, train: DataFrame, key: str, vector: str, label: str, k: int = 5) -> DataFrame:
+    """key and prediction: the mean label of the k nearest train rows."""
+    near = nearest(queries, train, key, vector, k).join(train.select(F.col(key).alias("near_key"), F.col(label).alias("_label")), "near_key")
+    return near.groupBy(key).agg(F.avg("_label").alias("prediction"))
 
 
 def epsilon_pairs(df: DataFrame, key: str, columns: list[str], eps: float = 0.5) -> DataFrame:
@@ -207,25 +249,79 @@ def epsilon_pairs(df: DataFrame, key: str, columns: list[str], eps: float = 0.5)
     return left.join(right, "c").filter((F.col("a") < F.col("b")) & (distance2(F.col("av"), F.col("bv")) <= eps * eps)).select("a", "b")
 
 
-def dbscan(df: DataFrame, key: str, columns: list[str], eps: float = 0.5, least: int = 5, checkpoint: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 50) -> DataFrame:
-    """key and cluster (the smallest core key; null for noise): cores have ``least`` points within ``eps``, themselves included."""
-    keep = checkpoint or (lambda d: d.checkpoint(eager=True))
+def dbscan(df: DataFrame, key: str, columns: list[str], eps: float = 0.5, least: int = 5) -> DataFrame:
+    """key and cluster (the smallest core key; null for noise): cores have ``least`` points within ``eps``, themselves included.
+
+    Rounds of smallest labels with pointer jumping go on until nothing changes; their number is logarithmic in a path's
+    length. A border point goes to the smallest label near it.
+    """
+    scratch_dir(df.sparkSession)
+
+    def keep(d: DataFrame) -> DataFrame:
+        return d.checkpoint(eager=True)
+
     pairs = epsilon_pairs(df, key, columns, eps)
     both = keep(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     cores = keep(both.groupBy("a").agg((F.count(F.lit(1)) + 1).alias("n")).filter(F.col("n") >= least).select(F.col("a").alias("core")))
     if least <= 1:
         cores = df.select(F.col(key).alias("core"))
     links = keep(both.join(cores, F.col("a") == F.col("core"), "left_semi").join(cores, F.col("b") == F.col("core"), "left_semi"))
-    labels = cores.select("core", F.col("core").alias("label"))
-    for _ in range(rounds):
+    labels, changed = cores.select("core", F.col("core").alias("label")), True
+    while changed:
         low = links.join(labels, F.col("b") == F.col("core")).groupBy("a").agg(F.min("label").alias("m"))
-        new = labels.join(low, F.col("core") == F.col("a"), "left").select("core", F.least("label", F.coalesce("m", "label")).alias("label"))
-        jumped = new.join(new.select(F.col("core").alias("_c"), F.col("label").alias("_l")), F.col("label") == F.col("_c")).select("core", F.col("_l").alias("label"))
+        new = labels.join(low, F.col("core") == F.col("a"), "left").select("core", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
+        jumped = new.join(new.select(F.col("core").alias("_c"), F.col("label").alias("_l")), F.col("label") == F.col("_c")).select("core", F.col("_l").alias("label"), (F.col("_l") < F.col("old")).alias("moved"))
         jumped = keep(jumped)
-        changed = jumped.join(labels.select(F.col("core").alias("_c"), F.col("label").alias("_l")), F.col("core") == F.col("_c")).filter("label <> _l").limit(1).count()
-        labels = jumped
-        if not changed:
-            break
+        changed = not jumped.filter("moved").isEmpty()
+        labels = jumped.select("core", "label")
     border = both.join(labels, F.col("b") == F.col("core")).groupBy("a").agg(F.min("label").alias("_near"))
     out = df.select(F.col(key)).join(labels, F.col(key) == F.col("core"), "left").join(border, F.col(key) == F.col("a"), "left")
     return out.select(key, F.coalesce("label", "_near").alias("cluster"))
+
+
+def mean_shift(df: DataFrame, key: str, columns: list[str], bandwidth: float, rounds: int = 100) -> DataFrame:
+    """key and cluster (from 0, by descending support) of a flat-kernel mean shift whose seeds are the occupied grid cells.
+
+    Points are summed up by cell once (count and sums); in a round each seed takes the mean of the cells' points whose
+    cell mean is within the bandwidth. Seeds are few where the bandwidth is wide, and they stay on the cluster: a round is
+    a join on neighbouring cells. Modes nearer than the bandwidth merge; each point goes to the nearest mode. More than
+    1,000 modes are refused: the bandwidth is too small to find clusters with.
+    """
+    scratch_dir(df.sparkSession)
+    n = len(columns)
+    if n > 3:
+        raise ValueError("the grid is for up to 3 dimensions")
+    point = df.select(F.col(key).alias("k"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).na.drop()
+    xs = [f"x{i}" for i in range(n)]
+    cell = lambda c: F.floor(F.col(c) / bandwidth)
+    fine = [F.floor(F.col(x) / (bandwidth / 4)) for x in xs]
+    bins = point.groupBy(*[f.alias(f"f{i}") for i, f in enumerate(fine)]).agg(F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(x) for x in xs])
+    bins = bins.select("n", *xs, *[cell(x).alias(f"c{i}") for i, x in enumerate(xs)]).checkpoint(eager=True)
+    seeds = point.groupBy(*[cell(x).alias(f"c{i}") for i, x in enumerate(xs)]).agg(*[F.avg(x).alias(f"s{i}") for i, x in enumerate(xs)]).select(*[f"s{i}" for i in range(n)])
+    seeds = seeds.distinct().checkpoint(eager=True)
+    for _ in range(rounds):
+        around = seeds
+        for i in range(n):
+            around = around.withColumn(f"c{i}", F.explode(F.array(*[F.floor(F.col(f"s{i}") / bandwidth) + o for o in (-1, 0, 1)])))
+        near = around.join(bins, [f"c{i}" for i in range(n)]).filter(sum(((F.col(f"s{i}") - F.col(x)) ** 2 for i, x in enumerate(xs)), F.lit(0.0)) <= bandwidth**2)
+        keys = [f"s{i}" for i in range(n)]
+        moved = near.groupBy(*keys).agg(*[(F.sum(F.col(x) * F.col("n")) / F.sum("n")).alias(f"m{i}") for i, x in enumerate(xs)], F.sum("n").alias("support"))
+        shift = F.sqrt(sum(((F.col(f"s{i}") - F.col(f"m{i}")) ** 2 for i in range(n)), F.lit(0.0)))
+        moved = moved.select(*[F.round(f"m{i}", 9).alias(f"s{i}") for i in range(n)], shift.alias("shift"), "support").checkpoint(eager=True)
+        seeds = moved.groupBy(*keys).agg(F.max("support").alias("support")).checkpoint(eager=True)
+        if moved.filter(F.col("shift") > 1e-3 * bandwidth).isEmpty():
+            break
+    places = [f"s{i}" for i in range(n)]
+    modes = seeds.groupBy(*[F.round(F.col(p) / bandwidth, 2) for p in places]).agg(F.max(F.struct("support", *places)).alias("m")).select("m.*")
+    modes = modes.orderBy(F.desc("support"), *places).limit(1001).collect()
+    if len(modes) > 1000:
+        raise ValueError("the bandwidth leaves more than 1,000 modes")
+    kept: list[tuple[float, ...]] = []
+    for m in modes:
+        at = tuple(m[f"s{i}"] for i in range(n))
+        if all(sum((a - b) ** 2 for a, b in zip(at, o, strict=True)) > bandwidth**2 for o in kept):
+            kept.append(at)
+    table = df.sparkSession.createDataFrame([([(c, list(map(float, at))) for c, at in enumerate(kept)],)], "modes array<struct<c:int,m:array<double>>>")
+    v = F.array(*xs)
+    away = F.transform("modes", lambda m: F.struct(distance2(v, m["m"]).alias("d"), m["c"].alias("c")))
+    return point.crossJoin(F.broadcast(table)).select(F.col("k").alias(key), F.array_min(away)["c"].alias("cluster"))  # one row

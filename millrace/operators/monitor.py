@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import expressions as X
 from ..functions import stats
-from .metrics import prefix_sums
+from ..functions.ranks import prefix_sums
 
 #: Fixed values of the task keywords.
 CLASSIFICATION_WORDS = ["churn", "classify", "classification", "spam", "fraud", "detect", "detection", "cancer", "default", "approve", "approval", "predict probability", "binary", "multi-class", "sentiment", "diagnostic", "risk score"]

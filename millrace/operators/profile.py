@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import stats
+from ..functions.ranks import exact_quantiles
 
 #: Names that mark a column as an id. Fixed values.
 ID_NAMES = {"id", "index", "uuid", "rowid", "customer_id", "user_id"}
 
-#: Up to this many rows times columns a quantile is exact by default; ``exact`` overrides it.
+#: Rank error of an approximate quantile is a row in this many.
 APPROX_ACCURACY = 10_000
 
 
-def quantiles(points: list[float], exact: bool = True):
-    """Exact interpolated quantiles hold a column's distinct values in memory; the approximate ones a bounded sketch."""
-    return F.percentile("value", points) if exact else F.percentile_approx("value", points, APPROX_ACCURACY)
+def quantiles(rows: DataFrame, points: list[float], exact: bool = True) -> DataFrame:
+    """column and q of (column, value) rows: exact interpolated quantiles by ordered cells, or those of a bounded sketch."""
+    if exact:
+        return exact_quantiles(rows, points)
+    return rows.groupBy("column").agg(F.percentile_approx("value", points, APPROX_ACCURACY).alias("q"))
 
 
 def missing_counts(df: DataFrame) -> DataFrame:
@@ -66,7 +69,9 @@ def describe(df: DataFrame, columns: list[str] | None = None, exact: bool = True
     n = F.count("value")
     out = rows.groupBy("column").agg(
         n.alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-        quantiles([0.25, 0.5, 0.75], exact).alias("_q"), F.coalesce(F.skewness("value"), F.lit(0.0)).alias("_s"), F.coalesce(F.kurtosis("value"), F.lit(0.0)).alias("_k"))
+        F.coalesce(F.skewness("value"), F.lit(0.0)).alias("_s"), F.coalesce(F.kurtosis("value"), F.lit(0.0)).alias("_k"))
+    q = quantiles(rows, [0.25, 0.5, 0.75], exact).select(F.col("column").alias("_c"), F.col("q").alias("_q"))
+    out = out.join(F.broadcast(q), F.col("column") == F.col("_c"))  # a row a column
     return out.select("column", "n", "mean", "std", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "max",
                       F.when(F.col("n") < 3, 0.0).otherwise(F.round("_s", 4)).alias("skewness"), F.when(F.col("n") < 3, 0.0).otherwise(F.round("_k", 4)).alias("kurtosis_excess"))
 
@@ -157,12 +162,18 @@ def mad_outliers(df: DataFrame, key: str, column: str, threshold: float = 3.5, e
     A zero MAD falls back to the mean absolute deviation; if that is zero too, or below two values, there are none.
     """
     rows = X.missing_free(df.select(key, column)).select(key, F.col(column).cast("double").alias("value")).filter("value IS NOT NULL")
-    middle = rows.agg(quantiles([0.5], exact)[0].alias("_m"), F.count(F.lit(1)).alias("_n"))
-    away = rows.crossJoin(F.broadcast(middle)).select("_m", "_n", F.abs(F.col("value") - F.col("_m")).alias("value"))
-    spread = away.groupBy("_m", "_n").agg(quantiles([0.5], exact)[0].alias("_mad"), F.avg("value").alias("_mean"))
-    spread = spread.select("_m", "_n", F.when(F.col("_mad") == 0, F.col("_mean")).otherwise(F.col("_mad")).alias("_s"))
-    far = F.abs(0.6745 * (F.col("value") - F.col("_m")) / F.col("_s")) > threshold
-    return rows.crossJoin(F.broadcast(spread)).filter((F.col("_n") >= 2) & (F.col("_s") > 0) & far).select(key, "value")
+    values = rows.select(F.lit(column).alias("column"), "value")
+    found = quantiles(values, [0.5], exact).collect()  # one number
+    if not found:
+        return rows.filter(F.lit(False))
+    middle = found[0]["q"][0]
+    away = values.withColumn("value", F.abs(F.col("value") - middle))
+    mad = quantiles(away, [0.5], exact).collect()[0]["q"][0]
+    n, mean = away.agg(F.count(F.lit(1)), F.avg("value")).collect()[0]
+    spread = mean if mad == 0 else mad
+    if n < 2 or not spread:
+        return rows.filter(F.lit(False))
+    return rows.filter(F.abs(0.6745 * (F.col("value") - middle) / spread) > threshold)
 
 
 def missing_mechanism(df: DataFrame, target: str, columns: list[str] | None = None, alpha: float = 0.05) -> DataFrame:

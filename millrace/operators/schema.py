@@ -10,20 +10,18 @@ TARGET_NAMES = ["target", "label", "churn", "y", "class", "status", "price", "is
 
 
 def resolve_target(columns: list[str], requested: str | None = None) -> tuple[str | None, str, float]:
-    """(column, method, confidence): the requested one, else a known name, else the last column."""
-    by_lower: dict[str, str] = {}
-    for c in columns:
-        by_lower[c.lower()] = c
-    if requested:
-        if requested in columns:
-            return requested, "explicit", 1.0
-        for c in columns:
-            if c.lower() == requested.lower():
-                return c, "explicit", 0.98
-    for name in TARGET_NAMES:
-        if name in by_lower:
-            return by_lower[name], "common_name", 0.90
-    return (columns[-1], "last_column", 0.60) if columns else (None, "none", 0.0)
+    """(column, method, confidence) of the best-ranked candidate: the requested column, one that differs from it by case
+    alone, a known name, the last column."""
+    candidates: list[tuple[int, int, str | None, str, float]] = [(9, 0, None, "none", 0.0)]
+    for place, column in enumerate(columns):
+        low = column.lower()
+        if requested and low == requested.lower():
+            same = column == requested
+            candidates.append((0, place, column, "explicit", 1.0) if same else (1, place, column, "explicit", 0.98))
+        if low in TARGET_NAMES:
+            candidates.append((2, TARGET_NAMES.index(low) * len(columns) - place, column, "common_name", 0.90))
+        candidates.append((3, -place, column, "last_column", 0.60))
+    return min(candidates, key=lambda c: c[:2])[2:]
 
 
 def target_report(df: DataFrame, requested: str | None = None) -> DataFrame:
@@ -46,6 +44,13 @@ def has_columns(df: DataFrame, expected: list[str]) -> bool:
     return set(expected) <= set(df.columns)
 
 
+def contract_findings(df: DataFrame, contract: dict[str, str]) -> DataFrame:
+    """column, expected, actual, status (ok, missing, type) of a contract {column: dtype}."""
+    have = dict(df.dtypes)
+    rows = [(c, want, have.get(c), "missing" if c not in have else "ok" if have[c] == want else "type") for c, want in contract.items()]
+    return df.sparkSession.createDataFrame(rows, "column string, expected string, actual string, status string")
+
+
 def align_columns(df: DataFrame, expected: list[str]) -> DataFrame:
     """The expected columns in their order, 0 where one is missing."""
     return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(0).alias(c) for c in expected])

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import os
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import expressions as X
+
 
 def load(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None, lines: bool = False) -> DataFrame:
     """A table by its suffix: .parquet, .json (one document, or lines) and anything else as CSV with a header."""
@@ -29,6 +33,19 @@ def save_parquet(df: DataFrame, root: str, run: str, stage: str, name: str, mode
     return path
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one where it is unset and the session is local."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-millrace-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
+    return found if ":/" in found else "file://" + found
+
+
 def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
@@ -38,6 +55,11 @@ def report_json(report: DataFrame) -> DataFrame:
     return report.select(F.to_json(F.struct("*")).alias("json"))
 
 
+def parse_json(df: DataFrame, column: str, schema: str) -> DataFrame:
+    """The fields of a JSON column beside the other columns; text that isn't such a document gives nulls."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns], F.from_json(F.col(column), schema).alias("_parsed")).select(*[F.col(f"`{c}`") for c in df.columns], "_parsed.*")
+
+
 def save_report(report: DataFrame, path: str, mode: str = "error") -> None:
     report.write.mode(mode).json(path)
 
@@ -45,11 +67,14 @@ def save_report(report: DataFrame, path: str, mode: str = "error") -> None:
 def fingerprint(df: DataFrame) -> DataFrame:
     """row_count, digest and dataset_id of a table; the order of rows and the partitioning don't matter.
 
-    Each row's md5 over its columns (null apart from any text) gives a 32-bit number; these are summed up exactly.
+    A row is its cells, each with its length in front (null apart from any text); two 60-bit numbers from the row's md5
+    are summed up exactly.
     """
-    cells = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("~")) for c in df.columns]
-    row = F.conv(F.substring(F.md5(F.concat_ws("|", *cells)), 1, 8), 16, 10).cast("decimal(38,0)")
-    out = df.agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(row), F.lit(0)).cast("string").alias("digest"))
+    cells = [F.coalesce(F.concat(F.char_length(F.col(f"`{c}`").cast("string")), F.lit(":"), F.col(f"`{c}`").cast("string")), F.lit("~")) for c in df.columns]
+    digest = F.md5(F.concat_ws("|", *cells))
+    halves = [F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 16)]
+    sums = [F.coalesce(F.sum(h), F.lit(0)).cast("string") for h in halves]
+    out = df.agg(F.count(F.lit(1)).alias("row_count"), F.concat_ws("-", *sums).alias("digest"))
     return out.withColumn("dataset_id", F.substring(F.sha2(F.concat_ws(":", "row_count", "digest"), 256), 1, 16))
 
 
@@ -67,24 +92,43 @@ def audit_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
     return both.select("path", "sha256", "actual", status.alias("status"))
 
 
-def generate(spark: SparkSession, task: str, rows: int = 200, features: int = 6, seed: int = 42, centres: int = 3) -> DataFrame:
-    """row_id, feature_0.., target: informative features, linear mixes of two of them, and a target by task.
+def _uniform(key: Column, seed: int) -> Column:
+    """A number in (0, 1) from a key; the same in every engine and for every partitioning."""
+    return (F.conv(F.substring(F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+
+
+def _normal(key: Column, seed: int) -> Column:
+    return F.sqrt(-2.0 * F.log(_uniform(key, 2 * seed))) * F.cos(2.0 * F.lit(math.pi) * _uniform(key, 2 * seed + 1))
+
 
-    classification: sign of a linear form; regression: the form plus 0.1 noise; clustering: spheres around centres.
+def generate_for(rows: DataFrame, key: str, task: str, features: int = 6, seed: int = 42, centres: int = 3) -> DataFrame:
+    """The rows with feature_0.. and target: informative features, linear mixes of two of them, and a target by task.
+
+    classification: sign of a linear form; regression: the form plus 0.1 noise; clustering: spheres around centres. All
+    numbers come from hashes of the key, so that reruns and other partitionings give the same table.
     """
-    informative = max(2, features - 2)
-    base = spark.range(rows).withColumnRenamed("id", "row_id")
+    k, made = F.col(key), {}
     if task == "clustering":
-        base = base.withColumn("target", F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(centres)).cast("int"))
-        spread = [F.randn(seed + i) + 10.0 * (F.pmod(F.xxhash64("target", F.lit(seed + i)), F.lit(2001)) / 1000.0 - 1.0) for i in range(features)]
-        return base.select("row_id", *[x.alias(f"feature_{i}") for i, x in enumerate(spread)], "target")
-    columns = {f"feature_{i}": F.randn(seed + i) for i in range(informative)}
-    base = base.withColumns(columns)
-    mixes = {f"feature_{i}": 0.6 * F.col("feature_0") - 0.4 * F.col(f"feature_{(i - informative) % informative}") for i in range(informative, min(features, informative + 2))}
-    base = base.withColumns(mixes) if mixes else base
-    form = sum((F.col(f"feature_{i}") * ((i % 3) + 1.0) for i in range(1, informative)), F.col("feature_0"))
-    target = (form > 0).cast("int") if task == "classification" else form + 0.1 * F.randn(seed + 1000)
-    return base.withColumn("target", target)
+        rows = rows.withColumn("target", X.hash_bucket(k, centres, seed))
+        return rows.withColumns({f"feature_{i}": _normal(k, seed + i) + 20.0 * _uniform(F.col("target"), seed + 5000 + i) - 10.0 for i in range(features)})
+    informative = max(2, features - 2)
+    for i in range(informative):
+        made[f"feature_{i}"] = _normal(k, seed + i)
+    for i in range(informative, min(features, informative + 2)):
+        made[f"feature_{i}"] = 0.6 * made["feature_0"] - 0.4 * made[f"feature_{(i - informative) % informative}"]
+    form = sum((made[f"feature_{i}"] * ((i % 3) + 1.0) for i in range(1, informative)), made["feature_0"])
+    made["target"] = (form > 0).cast("int") if task == "classification" else form + 0.1 * _normal(k, seed + 1000)
+    return rows.withColumns(made)
+
+
+def generate(spark: SparkSession, task: str, rows: int = 200, features: int = 6, seed: int = 42, centres: int = 3) -> DataFrame:
+    """row_id, feature_0.., target of ``generate_for`` for row ids from 0."""
+    return generate_for(spark.range(rows).withColumnRenamed("id", "row_id"), "row_id", task, features, seed, centres)
+
+
+def skip_done(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """The items whose key isn't done yet."""
+    return items.join(done.select(key).distinct(), key, "left_anti")
 
 
 def collect_new(items: DataFrame, done: DataFrame, fetch: Callable[[dict], dict], key: str, schema: str) -> DataFrame:
@@ -92,7 +136,7 @@ def collect_new(items: DataFrame, done: DataFrame, fetch: Callable[[dict], dict]
 
     Append the result to the table that ``done`` is read from to make a run resumable.
     """
-    todo = items.join(done.select(key).distinct(), key, "left_anti")
+    todo = skip_done(items, done, key)
     names = [f.name for f in T._parse_datatype_string(schema).fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -85,7 +86,9 @@ def collect_stream(stream: DataFrame, path: str, checkpoint: str, key: str) -> S
         new = batch.dropDuplicates([key])
         try:
             done = spark.read.parquet(path).select(key)
-        except Exception:  # noqa: BLE001 nothing is written yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # else nothing is written yet
+                raise
             done = None
         (new if done is None else new.join(done, key, "left_anti")).write.mode("append").parquet(path)
 

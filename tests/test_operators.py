@@ -1,11 +1,13 @@
 """Operators on small literal tables: the reference values of each, and null, empty and constant cases."""
 
+import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import stats
+from millrace.functions import ranks, stats
 from millrace.operators import clean, encode, features, metrics, models, monitor, profile, schema
 from millrace.sources import tables
 from millrace.streaming import events as streams
@@ -184,6 +186,165 @@ def test_sources(spark, tmp_path, mixed):
     assert got["b"][0] == 1 and got["bad"][1] == "ValueError: no" and "a" not in got
 
 
+def test_fingerprints_tell_cells_apart(spark):
+    one, two = (spark.createDataFrame([r], "a string, b string") for r in (("x|=y", "z"), ("x", "y|=z")))
+    assert tables.fingerprint(one).collect() != tables.fingerprint(two).collect()
+    none = spark.createDataFrame([(None, "~")], "a string, b string")
+    assert tables.fingerprint(none).collect() != tables.fingerprint(spark.createDataFrame([("~", None)], "a string, b string")).collect()
+
+
+def test_generated_tables_do_not_depend_on_the_partitioning(spark):
+    keys = spark.range(100).withColumnRenamed("id", "row_id")
+    for task in ("classification", "regression", "clustering"):
+        one, two = (sorted(map(tuple, tables.generate_for(d, "row_id", task).collect())) for d in (keys, keys.repartition(7)))
+        assert one == two
+
+
+def test_file_audit_and_lineage(spark, tmp_path):
+    for name, text in (("a.txt", "one"), ("b.txt", "two"), ("c.txt", "three")):
+        (tmp_path / name).write_text(text)
+    digest = {n: hashlib.sha256((tmp_path / n).read_bytes()).hexdigest() for n in ("a.txt", "b.txt")}
+    rows = [(f"file:{tmp_path}/a.txt", digest["a.txt"]), (f"file:{tmp_path}/b.txt", digest["a.txt"]), (f"file:{tmp_path}/d.txt", digest["b.txt"])]
+    got = {r["path"].rpartition("/")[2]: r["status"] for r in tables.audit_files(spark, str(tmp_path), spark.createDataFrame(rows, "path string, sha256 string")).collect()}
+    assert got == {"a.txt": "ok", "b.txt": "mismatch", "c.txt": "unlisted", "d.txt": "missing"}
+    row = tables.lineage(spark, "clean", "impute", {"raw": "1"}, {"out": "2"}).collect()[0]
+    assert (row["stage"], row["inputs"], row["outputs"]) == ("clean", {"raw": "1"}, {"out": "2"}) and row["at"] is not None
+
+
+def test_exact_quantiles_by_cells(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(c, rng.choice([None, float(rng.randint(0, 50)), rng.gauss(0, 100)])) for c in "abc" for _ in range(rng.randint(300, 900))] + [("one", 5.0), ("same", 2.0), ("same", 2.0), ("none", None)]
+    df, points = spark.createDataFrame(rows, "column string, value double"), [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    small = {r["column"]: r["q"] for r in ranks.exact_quantiles(df, points).collect()}
+    monkeypatch.setattr(ranks, "SMALL_ROWS", 0)
+    monkeypatch.setattr(ranks, "CELL_ROWS", 100)
+    large = {r["column"]: r["q"] for r in ranks.exact_quantiles(df, points).collect()}
+    assert small.keys() == large.keys() == {"a", "b", "c", "one", "same"}
+    for c in small:
+        assert large[c] == pytest.approx(small[c], rel=1e-12), c
+
+
+def test_prefix_sums_by_cells(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "CELL_ROWS", 10)
+    rows = [(g, float(v), v % 7) for g in ("a", "b", None) for v in range(0, 300, 2)]
+    got = ranks.prefix_sums(spark.createDataFrame(rows, "g string, v double, n long"), ["g"], "v", ["n"]).collect()
+    assert len(got) == len(rows) and all(r["before_n"] == sum(n for g, v, n in rows if g == r["g"] and v < r["v"]) for r in got)
+
+
+def test_silhouette_equals_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(c * 3, 1), rng.gauss(0, 1)], c) for i, c in enumerate(rng.choices([0, 1, 2], k=60))] + [(99, [50.0, 50.0], 7)]
+    means = []
+    for k, v, c in rows:
+        by = {}
+        for k2, v2, c2 in rows:
+            if k != k2:
+                by.setdefault(c2, []).append(math.dist(v, v2))
+        by = {x: sum(d) / len(d) for x, d in by.items()}
+        a, b = by.get(c), min(d for x, d in by.items() if x != c)
+        means.append(0 if a is None else (b - a) / max(a, b))
+    df = spark.createDataFrame(rows, "k long, v array<double>, c long")
+    assert metrics.silhouette(df, "k", "v", "c").collect()[0][0] == pytest.approx(sum(means) / len(means))
+
+
+def test_neighbours_vote_and_ties(spark):
+    rng = random.Random(6)
+    rows = [(i, [float(rng.randint(0, 4)), float(rng.randint(0, 4))], i % 3) for i in range(200)] + [(500, None, 1)]
+    df = spark.createDataFrame(rows, "k long, v array<double>, y long")
+    got = {}
+    for r in models.nearest(df.filter("k % 20 = 0"), df, "k", "v", 7, block=4).collect():
+        got.setdefault(r["k"], []).append((r["distance"], r["near_key"]))
+    known = [r for r in rows if r[1] is not None]
+    near = {q: sorted((math.dist(v, w), p) for p, w, _ in known if p != q)[:7] for q, v, _ in known if q % 20 == 0}
+    assert {q: sorted(x) for q, x in got.items()} == near
+    label = {k: y for k, _, y in rows}
+    for q, p in ((r["k"], r["prediction"]) for r in models.nearest_vote(df.filter("k % 20 = 0"), df, "k", "v", "y", 7).collect()):
+        votes = [label[n] for _, n in near[q]]
+        assert p == min(set(votes), key=lambda y: (-votes.count(y), y))
+    for q, p in ((r["k"], r["prediction"]) for r in models.nearest_mean(df.filter("k % 20 = 0"), df, "k", "v", "y", 7).collect()):
+        assert p == pytest.approx(sum(label[n] for _, n in near[q]) / 7)
+
+
+def test_mean_shift(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.gauss(c * 10, 0.5), rng.gauss(-c * 10, 0.5)) for i, c in enumerate([0] * 80 + [1] * 50 + [2] * 30)] + [(900, None, 1.0)]
+    got = {r["k"]: r["cluster"] for r in models.mean_shift(spark.createDataFrame(rows, "k long, x double, y double"), "k", ["x", "y"], 4.0).collect()}
+    assert [{got[i] for i in at} for at in (range(80), range(80, 130), range(130, 160))] == [{0}, {1}, {2}] and 900 not in got
+
+
+def test_cross_validation_reports_failures(spark):
+    df = models.folds(models.assemble(spark.range(60).select("id", (F.col("id") % 2).alias("y"), (F.col("id") % 2 * 5.0).alias("x")), ["x"], "y"), "id", 3)
+    zoo = {"tree": models.classifiers(60)["DecisionTree"], "broken": models.classifiers(60)["DecisionTree"].copy({}).setMaxBins(1)}
+    got = {r["model"]: r for r in models.cross_validate(df, zoo=zoo, k=3).collect()}
+    assert got["tree"]["mean"] == 1.0 and got["tree"]["best"] and got["tree"]["error"] is None
+    assert got["broken"]["mean"] == 0.0 and got["broken"]["error"] and not got["broken"]["best"]
+    assert models.cross_validate(df, zoo={"broken": zoo["broken"]}, k=3).collect()[0]["best"] is False
+
+
+def test_predictions_check_the_contract(spark, tmp_path):
+    df = spark.createDataFrame([(i, float(i), 3.0 * i + 1) for i in range(30)], "k long, x double, y double")
+    model = models.feature_pipeline(["x"], "y", models.regressors(30)["LinearRegression"]).fit(df)
+    path = str(tmp_path / "model")
+    models.save_model(model, path, df, ["x"], "y", {"r2": 1.0})
+    assert models.predict(df, path).filter("abs(prediction - y) > 1e-3").count() == 0
+    for wrong in (df.drop("x"), df.withColumn("x", F.col("x").cast("string"))):
+        with pytest.raises(ValueError, match="x"):
+            models.predict(wrong, path)
+    df.write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    query = models.predict(live, path).writeStream.format("memory").queryName("predicted").trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert spark.table("predicted").count() == 30
+
+
+def test_streams_forget_and_resume(spark, tmp_path):
+    rows = [(f"e{i % 40}", f"2024-01-01 00:{i % 60:02d}:00", float(i)) for i in range(120)]
+    df = spark.createDataFrame(rows, "event_id string, at string, value double").select("event_id", F.to_timestamp("at").alias("ts"), "value")
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = streams.dedupe(live, late="2 hours").writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert sorted(r["event_id"] for r in spark.table("once").collect()) == sorted({r[0] for r in rows}) and streams.dedupe(df).count() == 40
+    for _ in range(2):  # a second run finds nothing new
+        live = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        streams.collect_stream(live, str(tmp_path / "out"), str(tmp_path / "state"), "event_id").processAllAvailable()
+        for q in spark.streams.active:
+            q.stop()
+    again = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    streams.collect_stream(again, str(tmp_path / "out"), str(tmp_path / "other"), "event_id").processAllAvailable()
+    for q in spark.streams.active:
+        q.stop()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 40
+
+
+def test_drift_monitor_hands_over_closed_windows(spark, tmp_path):
+    reference = spark.range(1000).select((F.col("id") % 100).cast("double").alias("value"))
+    late = spark.range(200).select(F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id as int), 0)").alias("ts"), (F.col("id") % 100 + F.when(F.col("id") >= 60, 90).otherwise(0)).cast("double").alias("value"))
+    late.coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("2024-01-02 00:00:00", 1.0)], "ts string, value double").select(F.to_timestamp("ts").alias("ts"), "value").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(late.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = {}
+    query = streams.monitor_drift(live, reference, "value", lambda d: found.update({r["start"].hour: r["statistic"] for r in d.collect()}), str(tmp_path / "state"))
+    query.processAllAvailable()
+    query.stop()
+    batch = {r["start"].hour: r["statistic"] for r in streams.window_drift(streams.windowed_counts(late, "value", streams.decile_edges(reference, "value")), shares(reference)).collect()}
+    assert {h: found[h] for h in (0, 1, 2)} == pytest.approx({h: batch[h] for h in (0, 1, 2)}) and found[1] > 0.8 > found[0]
+
+
+def shares(reference):
+    edges = streams.decile_edges(reference, "value")
+    at = sum((F.when(F.col("value") > x, 1).otherwise(0) for x in edges), F.lit(0)).alias("bin")
+    return reference.groupBy(at).agg((F.count(F.lit(1)) / F.lit(1000)).alias("share"))
+
+
+def test_fit_and_transform_learns_from_train_rows(spark):
+    df = spark.range(300).select("id", (F.col("id") * 1.0).alias("x"), (F.col("id") % 2).alias("y"))
+    train, test = clean.Preprocessor().fit_transform(df.unionByName(df), "id", "y")
+    assert train.count() + test.count() == 300
+    mean, sd = train.agg(F.avg("x"), F.stddev_pop("x")).collect()[0]
+    assert mean == pytest.approx(0, abs=1e-9) and sd == pytest.approx(1)
+
+
 def test_splits_and_neighbours(spark):
     df = spark.range(2000).withColumn("y", (F.col("id") % 10 == 0).cast("int"))
     train, test = models.train_test_split(df, "id")
