@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import bounded, materialize, store
 
 #: Vectors of a block, queries of a block, bins of length, leading coordinates of the rotation, vectors of a chunk.
 BLOCK_ROWS, QUERY_ROWS, BINS, LEADING, CHUNK = 8192, 1024, 64, 16, 2048
@@ -163,8 +163,10 @@ def search(rows: DataFrame, asked: Column, k: int = 5, key: str = "vec_id", vect
         return pd.DataFrame(got, columns=["query_id", "vec_id", "score"])
 
     def met(blocks: DataFrame, asking: DataFrame) -> DataFrame:
-        dealt = blocks.withColumn("q_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        """Vectors go only to the groups with a query that still asks their part."""
         on = ["bin", "part", "q_group"]
+        asked_by = store(asking.select("bin", "part", "q_group").distinct())
+        dealt = blocks.join(bounded(asked_by, 32), ["bin", "part"])
         return dealt.groupBy(*on).cogroup(asking.groupBy(*on)).applyInPandas(meet, "query_id long, vec_id long, score long")
 
     columns = ["bin", "part", "q_group", "query_id", "q", "to_beat"]
