@@ -107,6 +107,43 @@ def test_rows_with_one_id_are_one_document(spark):
     assert sorted((r[0], r[2]) for r in got) == [(5, 5), (7, 5), (7, 5), (9, 5), (11, 11)]
 
 
+def changed(rng, words, n):
+    out = list(words)
+    for k in rng.sample(range(len(out)), n):
+        out[k] = f"new{rng.randrange(1 << 30)}"
+    return out
+
+
+def test_ids_with_two_unlike_texts_lose_no_link(spark):
+    """Each id has two texts that aren't alike, and each text a near copy of its own."""
+    rng, rows = random.Random(12), []
+    for i in range(20):
+        one, two = ([f"{x}{i}w{k}" for k in range(80)] for x in "ab")
+        rows += [(1000 + i, " ".join(one)), (1000 + i, " ".join(two)), (3000 + i, " ".join(changed(rng, one, 1))), (2000 + i, " ".join(changed(rng, two, 1)))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == 80 and all(r["component_id"] == 1000 + r["doc_id"] % 1000 and r["kept"] == (r["doc_id"] < 2000) for r in got)
+
+
+def test_one_row_stays_of_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text), (1, text), (2, text), (3, "a b c"), (3, "a b c"), (4, None), (4, None)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in neardup.deduplicate(df).collect()) == [1, 3, 4]
+
+
+def test_recall_of_pairs_just_above_the_threshold(spark):
+    """600 pairs of a similarity from 75 to 80 %, each found on its own."""
+    rng, rows, near = random.Random(13), [], 0
+    while near < 600:
+        words = [f"v{rng.randrange(1 << 30)}" for _ in range(rng.randint(60, 400))]
+        other = changed(rng, words, max(1, round(len(words) * rng.uniform(0.02, 0.03))))
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, other))
+        if 75 * len(a | b) <= 100 * len(a & b) < 80 * len(a | b):
+            rows += [(2 * near, " ".join(words)), (2 * near + 1, " ".join(other))]
+            near += 1
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(600)) == 600
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1080)] + [(5000, 6000 + i) for i in range(50)]
