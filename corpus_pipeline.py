@@ -2,6 +2,10 @@
 
 Quality rules drop bad documents, near-duplicates leave one document of each group, mixing takes documents by source
 weights (a document may come more than once), and packing cuts what is left into sequences.
+
+Null and empty texts fail the quality rules and go. Of rows with one id one stays; rows without an id all stay. A null
+source is a source of its own. Ties go as each stage's operator says. An empty table gives an empty result with the same
+columns, and further columns come along up to the mix, whatever their names.
 """
 
 from __future__ import annotations
