@@ -9,6 +9,7 @@ import corpus_pipeline
 from millrace.llm import mixing, packing, quality
 from millrace.llm.subwords import encoder
 
+from .helpers import TEXTS, documents
 from .test_near_duplicates import brute
 from .test_small_operators import brute_quality
 
@@ -49,3 +50,18 @@ def test_packed_sequences_hold_their_ids(spark):
     assert all(len(p["ids"]) == 4 * p["length"] and zlib.crc32(p["ids"]) == p["ids_crc32"] for p in pieces)
     encode = encoder(public_tokenizers.path("byte_bpe_50k.json")).encode
     assert b"".join(p["ids"] for p in pieces) == b"".join(x + packing.END_ID.to_bytes(4, "little") for x in encode(["some words to pack, one after another", ""]))
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark):
+    """Nulls, empty and repeated rows and clashing columns go through every stage; all but the last keep the columns."""
+    prose = " ".join(f"word{i}" for i in range(200))
+    rows = documents(spark, [*TEXTS, prose, prose + " more", "other " + " ".join(f"text{i}" for i in range(60))], extra=True)
+    rows = rows.unionByName(rows.filter("doc_id % 2 = 0"))
+    for docs in (rows, rows.filter("false")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, "")
+            assert out.columns == docs.columns, name
+            docs = spark.createDataFrame(out.collect(), docs.schema)
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+        assert sum(r["length"] for r in packed if r["start"] == 0) <= sum(r["doc_tokens"] for r in packed)
+        assert bool(packed) == bool(docs.count())
