@@ -1,7 +1,7 @@
 """Token ids in binary shards, compressed by a Re-Pair grammar (Larsson and Moffat 1999).
 
 A shard holds the ids of whole documents in ascending order of doc_id. Rounds replace frequent pairs of neighbours by
-nonterminals until no pair occurs twice; a round takes the pairs that occur half as often as the most frequent one or
+nonterminals until no pair occurs twice; a round takes the pairs that occur a quarter as often as the most frequent one or
 more, the more frequent first where they overlap, and later rounds may pair nonterminals. The file keeps
 the symbols, the rules, each rule's expansion length and the expanded length before every ``STEP`` symbols, so that any
 range of ids is decoded from the symbols around it alone.
@@ -28,11 +28,13 @@ from .shared import materialize, open_fs, shared_dir
 MAGIC = b"MRTK0002"
 END_ID = 1
 
-#: Ids after which a writer starts another shard; text bytes meant for one writing task.
-SHARD_IDS, TASK_BYTES = 2_000_000, 8 << 20
+#: Ids after which a writer starts another shard; text bytes meant for one writing task, and the least one where
+#: that would leave cores idle.
+SHARD_IDS, TASK_BYTES, LEAST_TASK_BYTES = 2_000_000, 256 << 20, 8 << 20
 
-#: Least count of a pair, log2 of the counting table, symbols between marks.
-LEAST, TABLE_BITS, STEP = 2, 18, 1024
+#: Least count of a pair, how much rarer than the first pair a round's pairs may be, log2 of the counting table, symbols
+#: between marks.
+LEAST, SHARE, TABLE_BITS, STEP = 2, 4, 18, 1024
 
 
 def pair_cells(symbols: np.ndarray) -> np.ndarray:
@@ -44,7 +46,7 @@ def pair_cells(symbols: np.ndarray) -> np.ndarray:
 def frequent_pairs(symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The frequent pairs of neighbours, most frequent first, as keys left << 32 | right; their places and ranks there.
 
-    These are the pairs that occur ``least`` times without overlap, and half as often as the most frequent pair or more.
+    These are the pairs that occur ``least`` times without overlap, and 1 / ``SHARE`` as often as the most frequent pair or more.
     Pairs are counted by cell first; only those in the fuller cells are counted one by one.
     """
     # Of a run of one symbol, pairs start at every second place.
@@ -55,13 +57,13 @@ def frequent_pairs(symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
     cells = pair_cells(symbols)[places]
     table = np.bincount(cells, minlength=1 << TABLE_BITS)
     # A cell holds several pairs at times, so the fullest cell may promise too much; then the bound is lowered.
-    floor = max(least, int(table.max(initial=0)) // 2)
+    floor = max(least, int(table.max(initial=0)) // SHARE)
     while True:
         at = places[(table >= floor)[cells]]
         keys = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
         found, place, counts = np.unique(keys, return_inverse=True, return_counts=True)
         top = int(counts.max(initial=0))
-        bound = max(least, -(-top // 2))
+        bound = max(least, -(-top // SHARE))
         if floor <= bound or floor == least:
             break
         floor = bound
@@ -220,7 +222,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0]["n"] or 0
-    tasks = max(1, -(-size // TASK_BYTES))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-size // TASK_BYTES), min(8 * cores, -(-size // LEAST_TASK_BYTES)))
     # Equal ids are told apart by text hash and place, so that no id makes a task too large.
     rows = rows.withColumns({"_h": F.xxhash64("text"), "_place": F.monotonically_increasing_id()})
     rows = rows.repartitionByRange(tasks, F.col("doc_id").asc_nulls_first(), "_h", "_place").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_h", "_place")
