@@ -29,14 +29,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bounded, in_bits, store
+from .shared import bounded, give_back, in_bits, store
 
 WIDTH, PERCENT = 5, 75
 SIGNATURE, CHECKED, MIN_AGREE = 64, 256, 156
 TREES, DRAWN, DEPTH = 7, 2 / 0.75, 5
 NODE_ROWS, GROUP_ROWS, PIVOTS, CHUNK = 4096, 1024, 16, 64
 
-_KEEP_WORDS = 300_000
+_KEEP_WORDS = 150_000
 _U = np.uint64
 _SEEDS = np.random.default_rng(20180409).integers(1, 1 << 63, size=CHECKED, dtype=np.uint64) * _U(2) + _U(1)
 _PLACES = np.arange(SIGNATURE, dtype=np.uint64) << _U(32)
@@ -165,7 +165,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             checks.append(check)
         schema = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "digest": pa.binary(), "sig": pa.binary(), "chk": pa.binary()}
         yield _batch(schema, batch.column(0), sizes, digests, sigs, checks)
-    _hashes.clear()  # workers go on to other tasks
+    _hashes.clear()
+    give_back()
 
 
 _ROW = {"node": pa.int64(), "cls": pa.int64(), "mask": pa.int64()}
@@ -239,6 +240,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = batch.take(pa.array(keep, type=pa.int64()))
         yield _batch(_SET, kept.column(0), kept.column(1), kept.column(2), [signature(items[k])[1] for k in keep], [items[k].tobytes() for k in keep])
     _hashes.clear()
+    give_back()
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import gapless, materialize
+from .shared import gapless, give_back, materialize
 
 #: Longest sequence, and the id put at the end of each document.
 LIMIT, END_ID = 1024, 0
@@ -58,6 +58,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: i
                         column.append(value)
                     at += length
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, kinds, strict=True)], names=names)
+            give_back()
 
     rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string"))
     return rows.mapInArrow(cut, _SCHEMA + (", ids binary" if with_ids else ""))

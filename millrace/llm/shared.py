@@ -67,6 +67,18 @@ def in_bits(df: DataFrame, key: str, wanted: DataFrame, bits: int = BITS) -> Dat
     return asked.filter(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (bit % 8 + 1).cast("int"))) > 0).select(*df.columns)
 
 
+def give_back() -> None:
+    """Return a task's freed memory to the system: workers stay and go on to other tasks beside a full JVM."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a folder URI, usable in tasks and on the driver."""
     return pafs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of units that a worker keeps, bytes that a unit takes beside its own and its ids', units encoded together.
-KEEP_BYTES, UNIT_BYTES, TOGETHER = 96 << 20, 200, 256
+#: Bytes of units that a worker keeps, bytes that a unit takes beside its own and its ids', units of a text that are encoded
+#: together, and texts of a call.
+KEEP_BYTES, UNIT_BYTES, TOGETHER, AT_ONCE = 48 << 20, 200, 256, 32
 
 _OTHER = "[\x00\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]"
 _RUNS = r"[ \n]{2}|[\t\r\v\f]|^[ \n]|[ \n]\z"
@@ -97,8 +98,10 @@ class Encoder:
         self.store = _Store()
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=np.uint32) for e in found]
+        out: list[np.ndarray] = []
+        for at in range(0, len(texts), AT_ONCE):  # encodings take far more than their ids
+            out += [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts[at : at + AT_ONCE], add_special_tokens=False)]
+        return out
 
     def _one_by_one(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.whole([u[1:] if u[:1] == _AS_IS else u if u[:1] == "\n" else " " + u for u in units])
@@ -208,7 +211,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def in_pieces(batch: pa.RecordBatch, column: int, piece_bytes: int = 4 << 20) -> Iterable[pa.RecordBatch]:
+def in_pieces(batch: pa.RecordBatch, column: int, piece_bytes: int = 2 << 20) -> Iterable[pa.RecordBatch]:
     """A batch in slices with about ``piece_bytes`` of a text column, a longer text in a slice of its own."""
     at, ends = 0, np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)), dtype=np.int64)
     while at < batch.num_rows:
