@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lm, merkle, mixing, neardup, oracles, packing, quality, sharding, tokenfile, topk, warc
+from . import chat, lm, merkle, mixing, neardup, oracles, packing, prefixes, quality, sharding, tokenfile, topk, warc
 
 BYTE_BPE, WORD_BPE, RANKS = "byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
@@ -57,14 +57,20 @@ def op10_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op12_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
 def op13_merkle_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_manifest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ring_shards, op2_norm_sorted_topk, op3_attention_lm, op4_chosen_path, op5_role_repair, op6_binary_packing, op7_rule_cascade, op8_weighted_mix, op9_warc_ranges, op10_repair_tokens,
-              op13_merkle_descent)
+    for f in (
+        op1_ring_shards, op2_norm_sorted_topk, op3_attention_lm, op4_chosen_path, op5_role_repair, op6_binary_packing,
+        op7_rule_cascade, op8_weighted_mix, op9_warc_ranges, op10_repair_tokens, op12_prefix_counts, op13_merkle_descent,
+    )
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
