@@ -10,8 +10,9 @@ def low(column: str) -> str:
 
 
 def crc32(text: str) -> str:
-    """Unsigned crc32 of an ASCII text, bit by bit: 8 steps a byte, the first of which takes the byte in."""
-    bits = f"list_transform(range(8 * length({text})), lambda i: CAST(CASE WHEN i % 8 = 0 THEN ord({text}[i // 8 + 1]) ELSE 0 END AS BIGINT))"
+    """Unsigned crc32 of the UTF-8 bytes of a text of code points below U+0800, bit by bit: 8 steps a byte, the first of which takes the byte in."""
+    letters = f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 + ord(c) // 64, 128 + ord(c) % 64] END))"
+    bits = f"flatten(list_transform({letters}, lambda b: CAST([b, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])))"
     step = "lambda a, v: xor(xor(a, v) >> 1, 3988292384 * (xor(a, v) & 1))"
     return f"xor(list_reduce({bits}, {step}, CAST(4294967295 AS BIGINT)), 4294967295)"
 
@@ -41,3 +42,18 @@ MERKLE = f"""
     q AS (SELECT id, sha256(string_agg(lft || rgt, '' ORDER BY k)) AS proof FROM p GROUP BY id)
     SELECT l.doc_id, l.leaf, r.subroot, t.digest AS root, coalesce(q.proof, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = t.digest AS verified
     FROM l JOIN r ON r.g = l.g JOIN e ON e.id = l.id JOIN t ON t.n = 1 LEFT JOIN q ON q.id = l.id"""
+
+VARIANTS = f"""
+    WITH RECURSIVE r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({low('text')}, '[a-z\u00C0-\u00FF]{{6,}}')) AS run FROM documents),
+    c AS MATERIALIZED (SELECT run, n, {crc32("id || ':' || run")} AS h FROM (SELECT id, run, count(*) AS n FROM r GROUP BY 1, 2)),
+    w AS (SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM c),
+    v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+    i AS (SELECT word, n, unnest(range(length(word))) AS i FROM v),
+    o AS MATERIALIZED (SELECT DISTINCT word, n, word[:i] || '_' || word[i + 2:] AS hole, word[:i] || word[i + 2:] AS less FROM i),
+    p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM o a JOIN o b ON a.hole = b.hole AND a.word <> b.word
+          UNION SELECT o.word, v.word, v.n FROM o JOIN v ON o.less = v.word UNION SELECT v.word, o.word, o.n FROM o JOIN v ON o.less = v.word),
+    b AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS k FROM p),
+    f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form, CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n
+          FROM v LEFT JOIN b ON b.word = v.word AND b.k = 1),
+    t AS (SELECT word, word AS root, form AS up FROM f UNION ALL SELECT t.word, f.word, f.form FROM t JOIN f ON f.word = t.up)
+    SELECT f.word, f.form, t.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM f JOIN t ON t.word = f.word AND t.up IS NULL"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lm, merkle, mixing, neardup, oracles, packing, prefixes, quality, sharding, tokenfile, topk, warc
+from . import chat, lm, merkle, mixing, neardup, oracles, packing, prefixes, quality, sharding, tokenfile, topk, variants, warc
 
 BYTE_BPE, WORD_BPE, RANKS = "byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
@@ -57,6 +57,10 @@ def op10_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op11_search_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_forms(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -69,13 +73,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ring_shards, op2_norm_sorted_topk, op3_attention_lm, op4_chosen_path, op5_role_repair, op6_binary_packing,
-        op7_rule_cascade, op8_weighted_mix, op9_warc_ranges, op10_repair_tokens, op12_prefix_counts, op13_merkle_descent,
+        op7_rule_cascade, op8_weighted_mix, op9_warc_ranges, op10_repair_tokens, op11_search_schemes, op12_prefix_counts,
+        op13_merkle_descent,
     )
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_search_schemes": oracles.VARIANTS,
     "op13_merkle_descent": oracles.MERKLE,
     "op2_norm_sorted_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
