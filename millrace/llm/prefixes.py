@@ -18,7 +18,7 @@ from __future__ import annotations
 import json
 from array import array
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -34,8 +34,11 @@ from .shared import give_back, store
 LIMIT, MARK = 1024, 1024
 
 #: Bytes of units and of pieces, each, that a worker keeps, bytes that one takes beside its text and counts, pairs whose
-#: standing it remembers, bytes above which a piece isn't kept, and units of a text that are joined at once.
-KEEP_BYTES, UNIT_BYTES, KEEP_PAIRS, LONG, AT_ONCE = 64 << 20, 150, 1 << 19, 4096, 1 << 16
+#: standing it remembers, code points from which a unit is long and not kept, and units of a text that are joined at once.
+KEEP_BYTES, UNIT_BYTES, KEEP_PAIRS, SMALL, AT_ONCE = 64 << 20, 200, 1 << 18, 64, 1 << 16
+
+#: Counts by code points: bytes where the text has fewer than 256 bytes, else numbers.
+Counts = bytes | np.ndarray
 
 _SPACE = r"\p{White_Space}"
 _UNITS = regex.compile(rf"{_SPACE}*[^{_SPACE}]+|{_SPACE}+")
@@ -45,9 +48,17 @@ _PIECES = regex.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPA
 #: A contraction that isn't complete yet is two pieces: its apostrophe and a letter.
 _BEGUN = ("'r", "'v", "'l")
 
+#: Which bytes begin a code point, and small counts that are raised by some number.
+_LEADS = bytes(b & 0xC0 != 0x80 for b in range(256))
+_RAISED = [bytes((b + more) & 255 for b in range(256)) for more in range(256)]
+
 _counters: dict[str, "Counter"] = {}
 
 
+def _wide(counts: Counts, more: int) -> np.ndarray:
+    return (np.frombuffer(counts, dtype=np.uint8) if isinstance(counts, bytes) else counts).astype(np.int32) + np.int32(more)
+
+
 def _byte_letters() -> dict[str, int]:
     """The letter that byte-level vocabularies write for each byte: printable bytes as they are, others from U+0100 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -88,7 +99,7 @@ class Counter:
             self.ends.add_word("".join(chr(letters[c]) for c in name), (k, len(name)))
         self.ends.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.pieces: dict[str, np.ndarray] = {}
+        self.pieces: dict[str, bytes] = {}
         self.piece_bytes = 0
         self.clear()
 
@@ -96,7 +107,7 @@ class Counter:
         """Forget the kept units."""
         self.slots: dict[str, int] = {}
         self.bytes, self.n, self.size = 0, 0, 0
-        self.start, self.pool = np.zeros(1024, np.int64), np.zeros(1 << 14, np.int32)
+        self.start, self.pool = np.zeros(1024, np.int64), np.zeros(1 << 14, np.uint8)
 
     def stands(self, a: int, b: int) -> bool:
         """Whether token b may follow token a: taking the two apart, latest merge first, no merge across comes too early."""
@@ -112,14 +123,15 @@ class Counter:
             else:
                 limit, a = a, parts[a][1]
 
-    def piece(self, text: str) -> np.ndarray:
+    def piece(self, text: str) -> Counts:
         """Tokens of each prefix of a piece, by code points from 1 on."""
         kept = self.pieces.get(text)
         if kept is not None:
             return kept
         data = text.encode()
         n, pairs, stands = len(data), self.pairs, self.stands
-        last, count = ([0] * (n + 1), [0] * (n + 1)) if n <= LONG else (array("i", bytes(4 * n + 4)), array("i", bytes(4 * n + 4)))
+        small = n < 256
+        last, count = ([0] * (n + 1), bytearray(n + 1)) if small else (array("i", bytes(4 * n + 4)), array("i", bytes(4 * n + 4)))
         done = -1
         for end, (token, length) in self.ends.iter(data.decode("latin-1")):
             if end == done:
@@ -135,19 +147,18 @@ class Counter:
                 if not fits:
                     continue
             last[end + 1], count[end + 1], done = token, count[begin] + 1, end
-        counts = np.array(count, dtype=np.int32)
-        if n != len(text):  # code points end where the next byte isn't a continuation
-            counts = counts[np.flatnonzero((np.frombuffer(data + b"a", dtype=np.uint8)[1:] & 0xC0) != 0x80) + 1]
-        else:
-            counts = counts[1:]
-        if n <= LONG:
+        counts = bytes(count[1:]) if small else np.frombuffer(count, dtype=np.int32)[1:]
+        if n != len(text):
+            whole = (data[1:] + b"a").translate(_LEADS)  # a code point ends where the next byte begins another
+            counts = bytes(compress(counts, whole)) if small else counts[np.frombuffer(whole, dtype=np.uint8) > 0]
+        if small:
             if self.piece_bytes > KEEP_BYTES:
                 self.pieces, self.piece_bytes = {}, 0
             self.pieces[text] = counts
-            self.piece_bytes += UNIT_BYTES + n + counts.nbytes
+            self.piece_bytes += UNIT_BYTES + 2 * n
         return counts
 
-    def unit(self, text: str) -> np.ndarray:
+    def unit(self, text: str) -> Counts:
         """Tokens of each prefix of a unit, by code points from 1 on.
 
         While only white space has come, it is one piece; with a word after it, its last character is a piece of its own,
@@ -155,6 +166,7 @@ class Counter:
         """
         if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
             return self.piece(text)
+        small = len(text) < SMALL
         gap = _GAP.match(text)[0]
         word = text[len(gap) :]
         out, total = [], 0
@@ -162,36 +174,38 @@ class Counter:
             ahead = self.piece(gap)
             if not word:
                 return ahead
-            out.append(ahead)
+            out.append(ahead if small else _wide(ahead, 0))
             total = int(ahead[-2]) if len(gap) > 1 else 0
             if gap[-1] == " ":
                 word = " " + word
             else:
                 total += int(self.piece(gap[-1])[-1])
-        led = bool(gap) and gap[-1] == " "
-        for found in _PIECES.finditer(word):
-            piece = found[0]
+        led = word[0] == " "
+        for piece in _PIECES.findall(word):
             counts = self.piece(piece)
             if len(piece) == 3 and piece[:2] in _BEGUN:
-                counts = np.array([counts[0], counts[0] + self.piece(piece[1])[0], counts[2]], dtype=np.int32)
-            out.append(counts[1 if led else 0 :] + total)
+                counts = bytes([counts[0], counts[0] + self.piece(piece[1])[0], counts[2]])
+            own = counts[1:] if led else counts
+            out.append((own.translate(_RAISED[total]) if total else own) if small else _wide(own, total))
             led = False
             total += int(counts[-1])
-        return np.concatenate(out)
-
-    def _learn(self, units: list[str]) -> None:
-        for text in units:
-            counts = self.unit(text)
-            n, size = self.n + 1, self.size + counts.size
-            if n >= self.start.size:
-                self.start = np.concatenate([self.start, np.zeros(self.start.size, np.int64)])
-            if size > self.pool.size:
-                self.pool = np.concatenate([self.pool, np.zeros(max(size, self.pool.size), np.int32)])
-            self.pool[self.size : size] = counts
-            self.slots[text] = self.n
-            self.start[n] = size
-            self.n, self.size = n, size
-            self.bytes += UNIT_BYTES + len(text) + counts.nbytes
+        return b"".join(out) if small else np.concatenate(out)
+
+    def _learn(self, units: list[str]) -> list[Counts]:
+        """Keep the units' counts; those of long ones are returned, and not kept."""
+        found = [(u, self.unit(u)) for u in units if len(u) < SMALL]
+        sizes = np.fromiter((len(c) for _, c in found), np.int64, len(found))
+        n, size = self.n + len(found), self.size + int(sizes.sum())
+        if n >= self.start.size:
+            self.start = np.concatenate([self.start, np.zeros(max(n, self.start.size), np.int64)])
+        if size > self.pool.size:
+            self.pool = np.concatenate([self.pool, np.zeros(max(size, self.pool.size), np.uint8)])
+        self.pool[self.size : size] = np.frombuffer(b"".join([c for _, c in found]), dtype=np.uint8)
+        self.start[self.n + 1 : n + 1] = self.size + np.cumsum(sizes)
+        self.slots.update(zip((u for u, _ in found), range(self.n, n), strict=True))
+        self.bytes += UNIT_BYTES * len(found) + 2 * (size - self.size)
+        self.n, self.size = n, size
+        return [self.unit(u) for u in units if len(u) >= SMALL]
 
     def _section(self, texts: list[str]) -> list[np.ndarray]:
         """Tokens of each prefix of texts without added tokens, by code points from 1 on."""
@@ -202,23 +216,37 @@ class Counter:
         distinct = coded.dictionary.to_pylist()
         slots = np.fromiter(map(self.slots.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
         missing = np.flatnonzero(slots < 0).tolist()
-        if missing:
-            self._learn([distinct[k] for k in missing])
-            slots[missing] = [self.slots[distinct[k]] for k in missing]
+        long = self._learn([distinct[k] for k in missing]) if missing else []
+        slots[missing] = [self.slots.get(distinct[k], -1) for k in missing]
+        slots[slots < 0] = -1 - np.arange(len(long))
         slots = slots[np.asarray(coded.indices)] if distinct else np.empty(0, np.int64)
         first = np.concatenate(([0], np.cumsum(lengths))).tolist()
-        return [self._joined(slots[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-
-    def _joined(self, slots: np.ndarray) -> np.ndarray:
-        """The counts of kept units, each raised by the tokens before it; a part of the units at a time."""
+        return [self._joined(slots[a:b], long) for a, b in zip(first[:-1], first[1:], strict=True)]
+
+    def _joined(self, slots: np.ndarray, long: list[Counts]) -> np.ndarray:
+        """The counts of units, each raised by the tokens before it; a negative slot is a long unit's number less one, negated."""
+        apart = np.flatnonzero(slots < 0).tolist()
+        if not apart:
+            return self._gathered(slots)
+        parts, at, total = [], 0, 0
+        for k in [*apart, slots.size]:
+            for more in (self._gathered(slots[at:k]), *([_wide(long[-1 - int(slots[k])], 0)] if k < slots.size else ())):
+                if more.size:
+                    parts.append(more + np.int32(total))
+                    total += int(more[-1])
+            at = k + 1
+        return np.concatenate(parts)
+
+    def _gathered(self, slots: np.ndarray) -> np.ndarray:
+        """The same for kept units, a part of them at a time."""
         start, end = self.start[slots], self.start[slots + 1]
         out, at, total = np.empty(int((end - start).sum()), np.int32), 0, 0
         for k in range(0, slots.size, AT_ONCE):
             begin, stop = start[k : k + AT_ONCE], end[k : k + AT_ONCE]
-            sizes, own = stop - begin, self.pool[stop - 1]
+            sizes, own = stop - begin, self.pool[stop - 1].astype(np.int64)
             ends = np.cumsum(sizes)
             n = int(ends[-1])
-            part = self.pool[np.repeat(begin - ends + sizes, sizes) + np.arange(n)]
+            part = self.pool[np.repeat(begin - ends + sizes, sizes) + np.arange(n)].astype(np.int32)
             part += np.repeat((np.cumsum(own) - own + total).astype(np.int32), sizes)
             out[at : at + n] = part
             at, total = at + n, total + int(own.sum())
