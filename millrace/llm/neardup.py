@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from ..operators.graph import connected_components
 from .shared import bounded, give_back, in_bits, store
 
 WIDTH, PERCENT = 5, 75

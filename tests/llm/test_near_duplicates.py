@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import components, neardup
+from millrace.llm import neardup
+from millrace.operators import graph as components
 
 from .helpers import DOCS, documents
 
@@ -159,3 +160,13 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(find(x) == got.get(x, x) for x in up)
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).filter(F.lit(True)).count() == 0
+
+
+def test_a_chain_of_drifting_versions_is_one_component(spark):
+    """1,000 versions, each linked with the ones before and after it only, under ids in no order."""
+    rng, n = random.Random(14), 1000
+    words = [f"w{rng.randrange(1 << 40)}" for _ in range(6 * n + 60)]
+    ids = rng.sample(range(10, 10 + n), n)
+    rows = [(i, " ".join(words[6 * k : 6 * k + 60])) for k, i in enumerate(ids)] + [(1, " ".join(words[:50])), (2, "another text of some words")]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: 1 for i in [1, *ids]} | {2: 2}
