@@ -1,4 +1,4 @@
-"""Splits, model zoos, cross-validation, tuning, saved models, and neighbours, on Spark ML."""
+"""Splits, model zoos, cross-validation, tuning, saved models and mean shift, on Spark ML."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ import logging
 import random
 import time
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import clustering as K
@@ -180,105 +178,6 @@ def feature_pipeline(features: list[str], label: str, estimator, statements: lis
     return Pipeline(stages=[*steps, SQLTransformer(statement=f"SELECT *, CAST({label} AS DOUBLE) AS label FROM __THIS__"), VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), estimator])
 
 
-def nearest(queries: DataFrame, points: DataFrame, key: str, vector: str, k: int = 5, block: int = 256) -> DataFrame:
-    """Exact k nearest points of each query: key, rank, near_key, distance (ties to the smaller key).
-
-    A block of queries and a share of the points meet in one task, which keeps k a query; so no pairs are shuffled, and
-    there are as many tasks as the size of both asks for. Null vectors take no part.
-    """
-    spark = queries.sparkSession
-    n_asked, n_points = queries.count(), points.count()
-    blocks = max(1, -(-n_asked // block))
-    shares = max(1, min(-(-n_points // 4096), 4 * spark.sparkContext.defaultParallelism, 1 + n_points * n_asked // 20_000_000))
-    kind = dict(queries.dtypes)[key]
-    asked = queries.filter(F.col(vector).isNotNull()).select(F.col(key).alias("q"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
-    asked = asked.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    own = points.filter(F.col(vector).isNotNull()).select(F.col(key).alias("p"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(shares)).cast("int").alias("s"))
-    own = own.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def best(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        if not len(one) or not len(two):
-            return pd.DataFrame({"q": [], "p": [], "distance": []})
-        two = two.sort_values("p", kind="stable")
-        a, b, names = np.stack(one["v"].to_numpy()), np.stack(two["v"].to_numpy()), two["p"].to_numpy()
-        parts = []
-        for q, v in zip(one["q"].to_numpy(), a, strict=True):
-            d = ((b - v) ** 2).sum(1)
-            d[names == q] = np.inf
-            # Ties at the k-th distance go to the smaller key: points are in key order and the sort is stable.
-            near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]) if len(d) > k else np.arange(len(d))
-            near = near[np.argsort(d[near], kind="stable")][:k]
-            near = near[np.isfinite(d[near])]
-            parts.append(pd.DataFrame({"q": q, "p": names[near], "distance": np.sqrt(d[near])}))
-        return pd.concat(parts, ignore_index=True)
-
-    found = asked.groupBy("b", "s").cogroup(own.groupBy("b", "s")).applyInPandas(best, f"q {kind}, p {kind}, distance double")
-    rank = Window.partitionBy("q").orderBy("distance", "p")
-    return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select(F.col("q").alias(key), "rank", F.col("p").alias("near_key"), "distance")
-
-
-def nearest_vote(queries: DataFrame, train: DataFrame, key: str, vector: str, label: str, k: int = 5) -> DataFrame:
-    """key and prediction: the most frequent label of the k nearest train rows (ties to the smaller label)."""
-    near = nearest(queries, train, key, vector, k).join(train.select(F.col(key).alias("near_key"), F.col(label).alias("_label")), "near_key")
-    votes = near.groupBy(key, "_label").agg(F.count(F.lit(1)).alias("_n"))
-    return votes.groupBy(key).agg(F.min_by("_label", F.struct(-F.col("_n"), F.col("_label"))).alias("prediction"))
-
-
-def nearest_mean(queries: DataFrame, train: DataFrame, key: str, vector: str, label: str, k: int = 5) -> DataFrame:
-    """key and prediction: the mean label of the k nearest train rows."""
-    near = nearest(queries, train, key, vector, k).join(train.select(F.col(key).alias("near_key"), F.col(label).alias("_label")), "near_key")
-    return near.groupBy(key).agg(F.avg("_label").alias("prediction"))
-
-
-def epsilon_pairs(df: DataFrame, key: str, columns: list[str], eps: float = 0.5) -> DataFrame:
-    """Pairs (a, b), a < b, of points within ``eps`` in up to 3 dimensions, by an equi-join on neighbouring grid cells."""
-    if len(columns) > 3:
-        raise ValueError("the grid join is for up to 3 dimensions")
-    point = df.select(F.col(key).alias("k"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
-    cell = F.transform("v", lambda x: F.floor(x / eps))
-
-    def beside(cells, i: int):
-        """The cells, one place longer by each of the three neighbouring coordinates."""
-        return F.flatten(F.transform(cells, lambda p: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o: F.concat(p, F.array(cell[i] + o)))))
-
-    near = F.array(F.array().cast("array<bigint>"))
-    for i in range(len(columns)):
-        near = beside(near, i)
-    left = point.select(F.col("k").alias("a"), F.col("v").alias("av"), cell.alias("c"))
-    right = point.select(F.col("k").alias("b"), F.col("v").alias("bv"), F.explode(near).alias("c"))
-    return left.join(right, "c").filter((F.col("a") < F.col("b")) & (distance2(F.col("av"), F.col("bv")) <= eps * eps)).select("a", "b")
-
-
-def dbscan(df: DataFrame, key: str, columns: list[str], eps: float = 0.5, least: int = 5) -> DataFrame:
-    """key and cluster (the smallest core key; null for noise): cores have ``least`` points within ``eps``, themselves included.
-
-    Rounds of smallest labels with pointer jumping go on until nothing changes; their number is logarithmic in a path's
-    length. A border point goes to the smallest label near it.
-    """
-    scratch_dir(df.sparkSession)
-
-    def keep(d: DataFrame) -> DataFrame:
-        return d.checkpoint(eager=True)
-
-    pairs = epsilon_pairs(df, key, columns, eps)
-    both = keep(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    cores = keep(both.groupBy("a").agg((F.count(F.lit(1)) + 1).alias("n")).filter(F.col("n") >= least).select(F.col("a").alias("core")))
-    if least <= 1:
-        cores = df.select(F.col(key).alias("core"))
-    links = keep(both.join(cores, F.col("a") == F.col("core"), "left_semi").join(cores, F.col("b") == F.col("core"), "left_semi"))
-    labels, changed = cores.select("core", F.col("core").alias("label")), True
-    while changed:
-        low = links.join(labels, F.col("b") == F.col("core")).groupBy("a").agg(F.min("label").alias("m"))
-        new = labels.join(low, F.col("core") == F.col("a"), "left").select("core", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
-        jumped = new.join(new.select(F.col("core").alias("_c"), F.col("label").alias("_l")), F.col("label") == F.col("_c")).select("core", F.col("_l").alias("label"), (F.col("_l") < F.col("old")).alias("moved"))
-        jumped = keep(jumped)
-        changed = not jumped.filter("moved").isEmpty()
-        labels = jumped.select("core", "label")
-    border = both.join(labels, F.col("b") == F.col("core")).groupBy("a").agg(F.min("label").alias("_near"))
-    out = df.select(F.col(key)).join(labels, F.col(key) == F.col("core"), "left").join(border, F.col(key) == F.col("a"), "left")
-    return out.select(key, F.coalesce("label", "_near").alias("cluster"))
-
-
 def mean_shift(df: DataFrame, key: str, columns: list[str], bandwidth: float, rounds: int = 100) -> DataFrame:
     """key and cluster (from 0, by descending support) of a flat-kernel mean shift whose seeds are the occupied grid cells.
 

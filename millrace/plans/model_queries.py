@@ -7,7 +7,7 @@ import uuid
 from pyspark.ml import regression
 from pyspark.sql import functions as F
 
-from ..operators import clean, features, metrics, models
+from ..operators import clean, features, metrics, models, neighbours
 from ..sources import tables
 from .queries import fraction, query, rounded, t
 
@@ -111,13 +111,13 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY d, near_key
 @query(f"WITH {_NEAR}, v AS (SELECT vec_id, label, count(*) AS n FROM r WHERE rank <= 5 GROUP BY 1, 2) SELECT vec_id, label AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, label) AS k FROM v) WHERE k = 1")
 def nearest_vote(spark, sf_dir):
     e = t(spark, sf_dir, "embeddings")
-    return models.nearest_vote(e.filter("vec_id % 20 = 0"), e.filter("vec_id % 20 <> 0"), "vec_id", "embedding", "label")
+    return neighbours.nearest_vote(e.filter("vec_id % 20 = 0"), e.filter("vec_id % 20 <> 0"), "vec_id", "embedding", "label")
 
 
 @query(f"WITH {_NEAR} SELECT vec_id, round(avg(label), 4) AS prediction FROM r WHERE rank <= 5 GROUP BY 1")
 def nearest_mean(spark, sf_dir):
     e = t(spark, sf_dir, "embeddings")
-    return rounded(models.nearest_mean(e.filter("vec_id % 20 = 0"), e.filter("vec_id % 20 <> 0"), "vec_id", "embedding", "label"))
+    return rounded(neighbours.nearest_mean(e.filter("vec_id % 20 = 0"), e.filter("vec_id % 20 <> 0"), "vec_id", "embedding", "label"))
 
 
 def _spots(spark, sf_dir):
@@ -128,7 +128,7 @@ def _spots(spark, sf_dir):
 c AS (SELECT a FROM e GROUP BY a HAVING count(*) >= 4), l AS (SELECT e.a, e.b FROM e JOIN c ON c.a = e.a JOIN c d ON d.a = e.b), r AS (SELECT a AS k, a AS c FROM c UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.k),
 g AS (SELECT k, min(c) AS c FROM r GROUP BY k), n AS (SELECT e.a AS k, min(g.c) AS c FROM e JOIN g ON g.k = e.b GROUP BY 1) SELECT p.k AS s_suppkey, coalesce(g.c, n.c) AS cluster FROM p LEFT JOIN g ON g.k = p.k LEFT JOIN n ON n.k = p.k""")
 def density_clusters(spark, sf_dir):
-    return models.dbscan(_spots(spark, sf_dir), "s_suppkey", ["x", "y"], 0.5, 5)
+    return neighbours.dbscan(_spots(spark, sf_dir), "s_suppkey", ["x", "y"], 0.5, 5)
 
 
 _PLACES = "(SELECT o_orderkey, o_orderkey % 3 AS g, (o_orderkey % 3) * 10 + (o_orderkey % 97) / 97.0::DOUBLE AS x, (o_orderkey % 3) * -10 + (o_orderkey % 89) / 89.0::DOUBLE AS y FROM orders)"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import SHAPES
-from ..operators import clean, encode, features, metrics, models, monitor, profile
+from ..operators import clean, encode, features, metrics, models, monitor, neighbours, profile
 from ..sources import tables
 from ..streaming import events as streams
 
@@ -507,13 +507,13 @@ def windowed_counts(spark, sf_dir):
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY d, near_key) AS INT) AS rank FROM d) SELECT vec_id, rank, near_key, round(d, 4) AS distance FROM r WHERE rank <= 5""")
 def nearest_neighbours(spark, sf_dir):
     e = t(spark, sf_dir, "embeddings")
-    return models.nearest(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding").withColumn("distance", F.round("distance", 4))
+    return neighbours.nearest(e.filter("vec_id % 20 = 0"), e, "vec_id", "embedding").withColumn("distance", F.round("distance", 4))
 
 
 @query("""WITH p AS (SELECT s_suppkey AS k, s_acctbal / 1000 AS x, s_nationkey / 5.0::DOUBLE AS y FROM supplier) SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON a.k < b.k AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 0.25""")
 def epsilon_pairs(spark, sf_dir):
     p = t(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), (F.col("s_nationkey") / 5.0).alias("y"))
-    return models.epsilon_pairs(p, "s_suppkey", ["x", "y"], 0.5)
+    return neighbours.epsilon_pairs(p, "s_suppkey", ["x", "y"], 0.5)
 
 
 @query()

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import ranks, stats
-from millrace.operators import clean, encode, features, metrics, models, monitor, profile, schema
+from millrace.operators import clean, encode, features, metrics, models, monitor, neighbours, profile, schema
 from millrace.sources import tables
 from millrace.streaming import events as streams
 
@@ -252,16 +252,16 @@ def test_neighbours_vote_and_ties(spark):
     rows = [(i, [float(rng.randint(0, 4)), float(rng.randint(0, 4))], i % 3) for i in range(200)] + [(500, None, 1)]
     df = spark.createDataFrame(rows, "k long, v array<double>, y long")
     got = {}
-    for r in models.nearest(df.filter("k % 20 = 0"), df, "k", "v", 7, block=4).collect():
+    for r in neighbours.nearest(df.filter("k % 20 = 0"), df, "k", "v", 7, block=4).collect():
         got.setdefault(r["k"], []).append((r["distance"], r["near_key"]))
     known = [r for r in rows if r[1] is not None]
     near = {q: sorted((math.dist(v, w), p) for p, w, _ in known if p != q)[:7] for q, v, _ in known if q % 20 == 0}
     assert {q: sorted(x) for q, x in got.items()} == near
     label = {k: y for k, _, y in rows}
-    for q, p in ((r["k"], r["prediction"]) for r in models.nearest_vote(df.filter("k % 20 = 0"), df, "k", "v", "y", 7).collect()):
+    for q, p in ((r["k"], r["prediction"]) for r in neighbours.nearest_vote(df.filter("k % 20 = 0"), df, "k", "v", "y", 7).collect()):
         votes = [label[n] for _, n in near[q]]
         assert p == min(set(votes), key=lambda y: (-votes.count(y), y))
-    for q, p in ((r["k"], r["prediction"]) for r in models.nearest_mean(df.filter("k % 20 = 0"), df, "k", "v", "y", 7).collect()):
+    for q, p in ((r["k"], r["prediction"]) for r in neighbours.nearest_mean(df.filter("k % 20 = 0"), df, "k", "v", "y", 7).collect()):
         assert p == pytest.approx(sum(label[n] for _, n in near[q]) / 7)
 
 
@@ -353,14 +353,14 @@ def test_splits_and_neighbours(spark):
     counts = models.stratified_folds(df, "id", "y", parts=4).filter("y = 1").groupBy("fold").count().collect()
     assert len(counts) == 5 and max(r["count"] for r in counts) - min(r["count"] for r in counts) <= 4
     points = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(30)], "k long, v array<double>")
-    near = models.nearest(points.filter("k = 10"), points, "k", "v", 2).orderBy("rank").collect()
+    near = neighbours.nearest(points.filter("k = 10"), points, "k", "v", 2).orderBy("rank").collect()
     assert [(r["near_key"], r["distance"]) for r in near] == [(9, 1.0), (11, 1.0)]
 
 
 def test_dbscan(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     rows = [(i, 0.1 * i, 0.0) for i in range(10)] + [(100 + i, 10 + 0.1 * i, 5.0) for i in range(10)] + [(500, 50.0, 50.0)]
-    got = {r["k"]: r["cluster"] for r in models.dbscan(spark.createDataFrame(rows, "k long, x double, y double"), "k", ["x", "y"], 0.25, 3).collect()}
+    got = {r["k"]: r["cluster"] for r in neighbours.dbscan(spark.createDataFrame(rows, "k long, x double, y double"), "k", ["x", "y"], 0.25, 3).collect()}
     assert got[500] is None and {got[i] for i in range(10)} == {got[0]} and {got[100 + i] for i in range(10)} == {got[100]} and got[0] != got[100]
 
 
