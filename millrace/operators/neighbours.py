@@ -66,7 +66,7 @@ def nearest(queries: DataFrame, points: DataFrame, key: str, vector: str, k: int
     kind = dict(queries.dtypes)[key]
     own, asked = store(_vectors(points, key, vector, "p")), store(_vectors(queries, key, vector, "q"))
     n = own.count()
-    most = pivots or max(1, min(PIVOTS, math.isqrt(n)))
+    most = pivots or (1 if n <= block else min(PIVOTS, math.isqrt(n)))
     drawn = own.orderBy(F.xxhash64("p"), "p").limit(most).select("v").collect()  # a pivot a row, PIVOTS at most
     centres = np.array([r["v"] for r in drawn]) if drawn else np.zeros((1, 1))
     room = _SLACK * (1.0 + float(np.abs(centres).max()))
@@ -146,15 +146,20 @@ def nearest(queries: DataFrame, points: DataFrame, key: str, vector: str, k: int
     before = Window.partitionBy("q").orderBy("gap", "block").rowsBetween(Window.unboundedPreceding, -1)  # the blocks of a query's own cell
     met = met.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("_before") < k + 1)
     found = _meet(met.select("block", "q", "v", "away", "bound"), blocks, "q", visit, schema)
+    rank = Window.partitionBy("q").orderBy("distance", "p")  # at most k a block
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select(F.col("q").alias(key), "rank", F.col("p").alias("near_key"), "distance")
+
+    if log is None and summary.count() <= 1:  # there is nothing else to ask
+        return ranked(found)
     kth = found.groupBy(F.col("q").alias("_q")).agg(F.get(F.array_sort(F.collect_list("distance")), F.lit(k - 1)).alias("_kth"))
     bound = first.join(store(kth), F.col("q") == F.col("_q"), "left").select("q", "v", F.least("bound", F.coalesce("_kth", F.lit(float("inf")))).alias("bound"))
     second = (bound.mapInArrow(others, rows) if known else first).join(bounded(summary, 48), F.col("cell") == F.col("_cell"))
     second = store(second.filter(gap <= F.col("bound") * (1 + _SLACK) + room).select("block", "q", "v", "away", "bound", "n"))
     if log is not None:
         log |= {"compared": second.agg(F.sum("n")).first()[0] or 0, "pairs": n * asked.count()}
-    found = _meet(second.drop("n"), blocks, "q", visit, schema)
-    rank = Window.partitionBy("q").orderBy("distance", "p")  # at most k a block
-    return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select(F.col("q").alias(key), "rank", F.col("p").alias("near_key"), "distance")
+    return ranked(_meet(second.drop("n"), blocks, "q", visit, schema))
 
 
 def nearest_vote(queries: DataFrame, train: DataFrame, key: str, vector: str, label: str, k: int = 5) -> DataFrame:

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..functions import stats
 from ..functions.ranks import exact_quantiles
+from .wide import correlation_matrix
 
 #: Names that mark a column as an id. Fixed values.
 ID_NAMES = {"id", "index", "uuid", "rowid", "customer_id", "user_id"}
 
+#: Most columns whose pairs are expressions of one aggregation.
+NARROW = 16
+
 #: Rank error of an approximate quantile is a row in this many.
 APPROX_ACCURACY = 10_000
 
@@ -124,8 +128,13 @@ def cardinality(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """feature_1, feature_2, r of each pair in column order, over rows where both are known; one aggregation."""
+    """feature_1, feature_2, place, r of each pair in column order, over rows where both are known.
+
+    A few columns take one aggregation with an expression a pair; more go through ``wide.correlation_matrix``.
+    """
     columns = columns or X.numeric_columns(df)
+    if len(columns) > NARROW:
+        return correlation_matrix(df, columns).select("feature_1", "feature_2", "place", "r")
     clean = X.missing_free(df.select(*columns)).select(*[F.col(c).cast("double").alias(c) for c in columns])
     pairs = [F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.lit(i).alias("place"), F.corr(a, b).alias("r")) for i, (a, b) in enumerate(combinations(columns, 2))]
     if not pairs:
