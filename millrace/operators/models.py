@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..sources.tables import scratch_dir
+from . import kernels, neighbours
 from .metrics import distance2, regression_metrics, weighted_metrics
 
 
@@ -48,6 +49,8 @@ def classifiers(n: int, seed: int = 42, classes: int = 2) -> dict[str, object]:
         "RandomForest": C.RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed),
         "GradientBoosting": C.GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed),
         "LinearSVM": C.LinearSVC(maxIter=100, regParam=1.0 / max(1, n)),
+        "SVM": kernels.RbfClassifier(seed=seed),
+        "KNN": kernels.Neighbours(5),
     }
     if classes > 2:
         zoo |= {k: C.OneVsRest(classifier=zoo[k]) for k in ("GradientBoosting", "LinearSVM")}
@@ -60,11 +63,22 @@ def regressors(n: int, seed: int = 42) -> dict[str, object]:
         "Lasso": R.LinearRegression(regParam=0.1, elasticNetParam=1.0, standardization=False), "ElasticNet": R.LinearRegression(regParam=0.1, elasticNetParam=0.5, standardization=False),
         "DecisionTree": R.DecisionTreeRegressor(maxDepth=5, seed=seed), "RandomForest": R.RandomForestRegressor(numTrees=100, maxDepth=10, seed=seed),
         "GradientBoosting": R.GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed), "Huber": R.LinearRegression(loss="huber"),
+        "SVR": kernels.RbfRegressor(seed=seed), "KNN": kernels.Neighbours(5, vote=False),
     }
 
 
 def clusterers(k: int = 3, seed: int = 42) -> dict[str, object]:
-    return {"KMeans": K.KMeans(k=k, seed=seed), "Bisecting": K.BisectingKMeans(k=k, seed=seed)}
+    """DBSCAN has a radius of 0.5 and cores of 5 points; mean shift, for up to 3 dimensions, a bandwidth of 1."""
+    return {
+        "KMeans": K.KMeans(k=k, seed=seed), "Bisecting": K.BisectingKMeans(k=k, seed=seed), "Hierarchical": kernels.Agglomerative(k, seed=seed),
+        "DBSCAN": kernels.Clustering(lambda rows, key, v: neighbours.dbscan(rows, key, v, 0.5, 5)), "MeanShift": kernels.Clustering(lambda rows, key, v: shifted(rows, key, v, 1.0)),
+    }
+
+
+def shifted(rows: DataFrame, key: str, vector: str, bandwidth: float) -> DataFrame:
+    """Mean shift of a column of vectors."""
+    d = rows.agg(F.max(F.size(vector))).first()[0] or 1
+    return mean_shift(rows.select(key, *[F.get(vector, F.lit(i)).alias(f"x{i}") for i in range(d)]), key, [f"x{i}" for i in range(d)], bandwidth)
 
 
 def best_kmeans(df: DataFrame, k: int = 3, starts: int = 10, seed: int = 42):

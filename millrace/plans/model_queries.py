@@ -11,7 +11,7 @@ from ..operators import clean, features, metrics, models, neighbours
 from ..sources import tables
 from .queries import fraction, query, rounded, t
 
-_CLASSIFIERS = ["LogisticRegression", "GaussianNB", "DecisionTree", "RandomForest", "GradientBoosting", "LinearSVM"]
+_CLASSIFIERS = ["LogisticRegression", "GaussianNB", "DecisionTree", "RandomForest", "GradientBoosting", "LinearSVM", "SVM", "KNN"]
 
 
 def _separable(spark, sf_dir):
