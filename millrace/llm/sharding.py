@@ -3,7 +3,11 @@
 Each shard owns ``virtual`` points of a 64-bit ring; a key belongs to the first point at or after its hash. A shard that
 is over its bound keeps its share of each of its arcs, and the rest of each arc continues clockwise to shards with room.
 Only counts per arc reach the driver (shards times points, whatever the number of keys). It returns, for each arc, runs
-of ranks and the shard each run goes to; rows find their rank within the arc, in parts, and their run by a small join.
+of ranks and the shard each run goes to; rows find their rank within the arc and their run by a small join.
+
+Ranks go by hashes of id and text, in cells: totals of cells first, then inside each. Equal rows are counted before they
+are ranked (in each part of the input apart) and numbered after, so the shards don't depend on the partitioning and no
+task ranks or numbers a whole group of them.
 """
 
 from __future__ import annotations
@@ -17,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .shared import materialize
 
-#: Points of a shard on the ring, and most parts (those of the input) in which the rows of an arc are ranked.
-VIRTUAL, PARTS = 128, 1 << 16
+#: Points of a shard on the ring, and cells in which the rows of an arc are ranked.
+VIRTUAL, CELLS = 128, 64
 
 
 def ring(shards: int, virtual: int = VIRTUAL, seed: int = 0) -> tuple[list[int], list[int]]:
@@ -82,8 +86,9 @@ def assign_shards(docs: DataFrame, shards: int = 24, key: str = "doc_id", text:
 
     Returns doc_id, size (UTF-8 bytes of the text plus 8), text_crc32, law ("rows"), shard, slot (gapless from 0 in each
     shard), grown_shard (null, as other rows have a say in a row's place). A null text has no bytes and the crc of an
-    empty one. Rows with one id, null included, share an arc and are spread clockwise once shards are full. Equal rows
-    are interchangeable. An empty table gives an empty result; further columns are left out.
+    empty one. Rows with one id, null included, share an arc and are spread clockwise once shards are full. Ties in an arc
+    go by the hash of id and text; equal rows are interchangeable. A very long text is only measured and hashed, where it
+    is read. An empty table gives an empty result; further columns are left out.
     """
     spark = docs.sparkSession
     points, owner = ring(shards, virtual, seed)
@@ -96,19 +101,22 @@ def assign_shards(docs: DataFrame, shards: int = 24, key: str = "doc_id", text:
 
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("doc_id"), (F.octet_length(whole) + 8).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"),
-                       F.xxhash64(F.lit(seed), F.col(key)).alias("_hash"), F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("_part"))
-    rows = materialize(rows.withColumn("_arc", arc_of("_hash")).drop("_hash"))
+                       F.xxhash64(F.lit(seed), F.col(key)).alias("_hash"), F.xxhash64(F.col(key), whole).alias("_content"), F.spark_partition_id().alias("_part"))
+    content = ["_content", "doc_id", "size", "text_crc32"]
+    rows = rows.withColumn("_arc", arc_of("_hash")).groupBy("_arc", *content, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    rows = materialize(rows.withColumn("_cell", F.pmod("_content", F.lit(CELLS))))
 
-    parts = rows.groupBy("_arc", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    by_arc = {r["_arc"]: r["n"] for r in parts.groupBy("_arc").agg(F.sum("_n").alias("n")).collect()}
+    cells = rows.groupBy("_arc", "_cell").agg(F.sum("_n").alias("_n"))
+    by_arc = {r["_arc"]: r["n"] for r in cells.groupBy("_arc").agg(F.sum("_n").alias("n")).collect()}
     runs = bounded_runs([by_arc.get(a, 0) for a in range(len(owner))], owner, shards)
     plan = spark.createDataFrame(runs or [(-1, 0, 0, 0, 0)], "_run_arc int, _from long, _to long, shard int, _slot long")
 
-    before = Window.partitionBy("_arc").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select(F.col("_arc").alias("_a"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    order = Window.partitionBy("_arc", "_part").orderBy("doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("_rank", F.row_number().over(order) - 1)
-    ranked = ranked.join(starts, (F.col("_arc") == F.col("_a")) & (F.col("_part") == F.col("_p"))).withColumn("_rank", F.col("_rank") + F.col("_start"))
+    before = Window.partitionBy("_arc").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.select(F.col("_arc").alias("_a"), F.col("_cell").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_arc", "_cell").orderBy(*content, "_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.withColumn("_rank", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(starts, (F.col("_arc") == F.col("_a")) & (F.col("_cell") == F.col("_c")))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
+    ranked = ranked.select("_arc", "doc_id", "size", "text_crc32", (F.col("_start") + F.col("_rank")).alias("_rank"), each.alias("_copy")).withColumn("_rank", F.col("_rank") + F.col("_copy"))
     # The plan has at most two rows for each arc and one for each shard: its size follows the ring, not the data.
     placed = ranked.join(F.broadcast(plan), (F.col("_arc") == F.col("_run_arc")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
