@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import bounded, store
+
 #: Rows meant for a cell, and the most cells of a group; beyond, cells grow.
 CELL_ROWS, MAX_CELLS = 200_000, 1_000
 
@@ -79,3 +81,21 @@ def prefix_sums(counts: DataFrame, by: list[str], value: str, sums: list[str], n
     inside = Window.partitionBy(*by, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     out = joined.withColumns({f"before_{s}": F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"_b_{s}") for s in sums})
     return out.select(*counts.columns, *[f"before_{s}" for s in sums])
+
+
+def running_sums(rows: DataFrame, group: list[str], order: list[str], weight: str, name: str = "before") -> DataFrame:
+    """The rows with ``name``: the sum of ``weight`` over the rows before each in its group (non-null), in full ``order``.
+
+    Rows are dealt by ranges of group and order, so that a group may span many tasks; a range starts at the sums of those
+    before it.
+    """
+    at = rows.withColumn("_at", F.monotonically_increasing_id())
+    placed = at.repartitionByRange(*group, *order, "_at").sortWithinPartitions(*group, *order, "_at").drop("_at")
+    placed = store(placed.withColumn("_place", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_place", 33))
+    totals = placed.groupBy(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_part").alias("_p")).agg(F.sum(weight).alias("_t"))
+    ahead = Window.partitionBy(*[f"_g_{c}" for c in group]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = store(totals.withColumn("_start", F.coalesce(F.sum("_t").over(ahead), F.lit(0))).drop("_t"))
+    inside = Window.partitionBy(*group, "_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumn("_own", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    met = summed.join(bounded(starts, 64), [F.col(c) == F.col(f"_g_{c}") for c in group] + [F.col("_part") == F.col("_p")])
+    return met.select(*rows.columns, (F.col("_own") + F.col("_start")).alias(name))

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 
 def gamma_upper(a: float, x: float) -> float:
     """Regularized upper incomplete gamma function Q(a, x)."""
@@ -74,3 +76,15 @@ def ks_tail(statistic: float, n: float, m: float) -> float:
         return 1.0
     total = sum((-1) ** (k - 1) * math.exp(-2 * (k * x) ** 2) for k in range(1, 101))
     return min(1.0, max(0.0, 2 * total))
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    """The digamma function of positive numbers: recurrence up to 10, then its asymptotic series."""
+    x = np.array(x, dtype=float)
+    out = np.zeros_like(x)
+    while (x < 10).any():
+        low = x < 10
+        out[low] -= 1 / x[low]
+        x[low] += 1
+    y = 1 / (x * x)
+    return out + np.log(x) - 1 / (2 * x) - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -12,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import stats
-from ..functions.ranks import exact_quantiles
+from ..functions.ranks import exact_quantiles, running_sums
+from ..sources.stored import store
 
 
 def log_features(df: DataFrame, threshold: float = 1.0, columns: list[str] | None = None) -> DataFrame:
@@ -80,6 +84,63 @@ def mutual_information(df: DataFrame, features: list[str], label: str, bins: int
     return joint.groupBy("feature", "place").agg(F.sum(F.col("n") / F.col("na") * F.log(F.col("n") * F.col("na") / (F.col("nx") * F.col("ny")))).alias("mi"))
 
 
+def _last_nearer(v: np.ndarray, r: np.ndarray, side: int) -> np.ndarray:
+    """The furthest numbers on a side of v whose difference to it, as it rounds, is below r; by halving."""
+    near, far = v.copy(), v + 2 * side * r
+    for _ in range(130):
+        middle = (near + far) / 2
+        nearer = np.abs(middle - v) < r
+        near, far = np.where(nearer, middle, near), np.where(nearer, far, middle)
+    return near
+
+
+def neighbour_information(df: DataFrame, features: list[str], label: str, k: int = 3, cell_rows: int = 50_000) -> DataFrame:
+    """feature, place, mi in nats between each continuous feature and the classes, by nearest neighbours (Ross 2014).
+
+    A row's radius is the distance to its k-th neighbour of its own class (fewer, if the class is smaller); it counts the
+    rows of all classes that are nearer. Then mi is digamma(n) plus the means of digamma(k), less those of digamma of the
+    class size and of the count, 0 at least. Neighbours are found in ordered cells of a class that overlap by k rows, and
+    counts are differences of ranks. Rows with null or non-finite values take no part, nor do classes of one row.
+    """
+    rows = _sums(df, features, label).filter(~F.isnan("v") & (F.abs("v") != float("inf")))
+    rows = running_sums(rows.withColumn("one", F.lit(1)), ["place", "_y"], ["v"], "one", "rank")
+    own = rows.select("place", "feature", "_y", "v", "rank").withColumn("cells", F.array_distinct(F.transform(F.array(*map(F.lit, (-k, 0, k))), lambda o: F.floor((F.col("rank") + o) / cell_rows))))
+    cells = own.select("place", "feature", "_y", "v", "rank", F.explode("cells").alias("cell")).filter("cell >= 0")
+    kind = dict(cells.dtypes)["_y"]
+
+    def radii(table: pa.Table) -> pa.Table:
+        """The bounds of a cell's own rows: the least and the greatest values nearer than the k-th neighbour of the class."""
+        rank = table.column("rank").to_numpy()
+        order = np.argsort(rank)
+        v, home = table.column("v").to_numpy()[order], rank[order] // cell_rows == table.column("cell")[0].as_py()
+        most = min(k, len(v) - 1)
+        if most == 0:
+            return table.slice(0, 0).select(["place", "feature", "_y"]).append_column("v", pa.array([], pa.float64())).append_column("low", pa.array([], pa.float64())).append_column("high", pa.array([], pa.float64())).append_column("k", pa.array([], pa.int32()))
+        padded = np.concatenate((np.full(most, -np.inf), v, np.full(most, np.inf)))
+        away = np.stack([np.abs(padded[most + s : most + s + len(v)] - v) for s in [*range(-most, 0), *range(1, most + 1)]])
+        r = np.sort(away, axis=0)[most - 1]
+        low, high = (np.where(r > 0, _last_nearer(v, r, side), v) for side in (-1, 1))
+        at = np.flatnonzero(home)
+        head = table.take(pa.array(order[at])).select(["place", "feature", "_y"])
+        return head.append_column("v", pa.array(v[at])).append_column("low", pa.array(low[at])).append_column("high", pa.array(high[at])).append_column("k", pa.array(np.full(len(at), most, np.int32)))
+
+    found = store(cells.groupBy("place", "_y", "cell").applyInArrow(radii, f"place int, feature string, _y {kind}, v double, low double, high double, k int"))
+    found = found.withColumn("id", F.monotonically_increasing_id())
+    # Values, lower bounds before equal values and upper ones after them, in one order: a bound's rank is its count of values.
+    line = found.select("place", F.col("v").alias("x"), F.lit(1).alias("turn"), F.lit(1).alias("weight"), F.lit(None).cast("long").alias("id"))
+    for turn, bound in ((0, "low"), (2, "high")):
+        line = line.unionByName(found.select("place", F.col(bound).alias("x"), F.lit(turn).alias("turn"), F.lit(0).alias("weight"), "id"))
+    ranks = running_sums(line, ["place"], ["x", "turn"], "weight").filter("turn <> 1")
+    count = ranks.groupBy("id").agg(F.sum(F.when(F.col("turn") == 2, F.col("before")).otherwise(-F.col("before"))).alias("m"))
+    sizes = found.groupBy(F.col("place").alias("_p"), F.col("_y").alias("_l")).agg(F.count(F.lit(1)).alias("size"), F.first("feature").alias("feature"), F.first("k").alias("k"))
+    of = F.pandas_udf(lambda x: pd.Series(stats.digamma(x.to_numpy())), "double")
+    near = found.select("id", "place").join(count, "id").groupBy(F.col("place").alias("_q")).agg(F.avg(of(F.col("m").cast("double"))).alias("near"))
+    size = F.col("size")
+    by = store(sizes).groupBy("_p", "feature").agg(F.sum("size").alias("n"), (F.sum(size * of(F.col("k").cast("double"))) / F.sum(size)).alias("psi_k"), (F.sum(size * of(size.cast("double"))) / F.sum(size)).alias("psi_size"))
+    mi = of(F.col("n").cast("double")) + F.col("psi_k") - F.col("psi_size") - F.col("near")
+    return by.join(near, F.col("_p") == F.col("_q")).select("feature", F.col("_p").alias("place"), F.greatest(mi, F.lit(0.0)).alias("mi"))
+
+
 def variance_filter(df: DataFrame, features: list[str], threshold: float = 0.0) -> DataFrame:
     """feature, place, variance, keep: population variance above the threshold (and not all one value)."""
     by = X.long_form(X.missing_free(df), features).filter("value IS NOT NULL").groupBy("column").agg(F.var_pop("value").alias("variance"), (F.max("value") - F.min("value")).alias("range"))
