@@ -155,6 +155,9 @@ def top_k(scores: DataFrame, score: str, k: int) -> list[str]:
 
 
 def select_top_k(df: DataFrame, features: list[str], label: str, k: int = 4, method: str = "anova", task: str = "classification") -> list[str]:
+    """By ``method``: anova (F scores), mutual_info (of quantile bins) or neighbour_info (of nearest neighbours, for classes)."""
+    if method == "neighbour_info":
+        return top_k(neighbour_information(df, features, label), "mi", k)
     if method == "mutual_info":
         return top_k(mutual_information(df, features, label), "mi", k)
     return top_k(anova_f(df, features, label) if task == "classification" else f_regression(df, features, label), "f", k)
