@@ -9,23 +9,40 @@ from pyspark.sql import functions as F
 TARGET_NAMES = ["target", "label", "churn", "y", "class", "status", "price", "is_churn", "fraud"]
 
 
+def target_candidates(columns: list[str], requested: str | None = None) -> list[tuple[str, str, float]]:
+    """(column, method, confidence) of every column that may be the target, the likeliest first.
+
+    The requested column, then columns of its name in another case, then known names by their priority (a later column
+    before an earlier one of the same name), then the last column. A column is listed once, where it ranks highest.
+    """
+    asked = [c for c in columns if requested and c.lower() == requested.lower()]
+    found = [(c, "explicit", 1.0) for c in asked if c == requested] + [(c, "explicit", 0.98) for c in asked if c != requested]
+    for name in TARGET_NAMES:
+        found += [(c, "common_name", 0.90) for c in reversed(columns) if c.lower() == name]
+    found += [(c, "last_column", 0.60) for c in columns[-1:]]
+    firsts: dict[str, tuple[str, str, float]] = {}
+    for candidate in found:
+        firsts.setdefault(candidate[0], candidate)
+    return list(firsts.values())
+
+
 def resolve_target(columns: list[str], requested: str | None = None) -> tuple[str | None, str, float]:
-    """(column, method, confidence) of the best-ranked candidate: the requested column, one that differs from it by case
-    alone, a known name, the last column."""
-    candidates: list[tuple[int, int, str | None, str, float]] = [(9, 0, None, "none", 0.0)]
-    for place, column in enumerate(columns):
-        low = column.lower()
-        if requested and low == requested.lower():
-            same = column == requested
-            candidates.append((0, place, column, "explicit", 1.0) if same else (1, place, column, "explicit", 0.98))
-        if low in TARGET_NAMES:
-            candidates.append((2, TARGET_NAMES.index(low) * len(columns) - place, column, "common_name", 0.90))
-        candidates.append((3, -place, column, "last_column", 0.60))
-    return min(candidates, key=lambda c: c[:2])[2:]
+    """The likeliest target (column, method, confidence); none for a table without columns."""
+    return next(iter(target_candidates(columns, requested)), (None, "none", 0.0))
 
 
 def target_report(df: DataFrame, requested: str | None = None) -> DataFrame:
-    return df.sparkSession.createDataFrame([resolve_target(df.columns, requested)], "column string, method string, confidence double")
+    """rank, column, method, confidence of all candidates, with what the table says of them: n_values and null_share.
+
+    One pass over the candidates' columns. A candidate of one value, or of as many as rows, is unlikely to be a target.
+    """
+    spark, found = df.sparkSession, target_candidates(df.columns, requested)
+    names = spark.createDataFrame([(k + 1, *c) for k, c in enumerate(found)], "rank int, column string, method string, confidence double")
+    if not found:
+        return names.withColumns({"n_values": F.lit(0).cast("long"), "null_share": F.lit(0.0)})
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.xxhash64(F.col(f"`{c}`")).alias("h"), F.col(f"`{c}`").isNull().alias("null")) for c, _, _ in found]))
+    by = df.select(cells.alias("_x")).select("_x.*").groupBy("_c").agg(F.count_distinct(F.when(~F.col("null"), F.col("h"))).alias("n_values"), F.avg(F.col("null").cast("double")).alias("null_share"))
+    return names.join(by, F.col("column") == F.col("_c"), "left").select("rank", "column", "method", "confidence", F.coalesce("n_values", F.lit(0)).cast("long").alias("n_values"), F.coalesce("null_share", F.lit(0.0)).alias("null_share"))
 
 
 def extract_schema(df: DataFrame) -> DataFrame:

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import model_queries, table_queries
+from . import model_queries, scale_queries, table_queries
 from . import queries as registered
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The modules add their queries to one table when they are imported."""
-    assert model_queries and table_queries
+    assert model_queries and scale_queries and table_queries
     return dict(registered.QUERIES)
 
 

@@ -136,7 +136,7 @@ def column_kinds(spark, sf_dir):
 @query("""SELECT * FROM (VALUES ('embeddings', 'label', 'common_name', 0.9::DOUBLE), ('customer', 'c_name', 'explicit', 0.98::DOUBLE), ('orders', 'o_custkey', 'explicit', 1.0::DOUBLE), ('orders', 'o_orderpriority', 'last_column', 0.6::DOUBLE)) v(name, "column", method, confidence)""")
 def resolved_targets(spark, sf_dir):
     asked = [("embeddings", None), ("customer", "C_NAME"), ("orders", "o_custkey"), ("orders", None)]
-    parts = [schema.target_report(t(spark, sf_dir, name), wanted).withColumn("name", F.lit(name)) for name, wanted in asked]
+    parts = [schema.target_report(t(spark, sf_dir, name), wanted).filter("rank = 1").select("column", "method", "confidence", F.lit(name).alias("name")) for name, wanted in asked]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
