@@ -108,13 +108,14 @@ def mix_plan(rows: DataFrame) -> DataFrame:
         ends = chosen.select("_end", F.lit(0.0).alias("_before"), "_rest", (F.col("_low") + F.col("_chosen") * F.col("_wide")).alias("_low"), (F.col("_wide") / CELLS).alias("_wide"))
         if chosen.filter(F.col("_n") > END_ROWS).isEmpty():
             break
+    # Equal rows are counted before any is ordered; how many of them the rest of the budget takes is a division.
     order = Window.partitionBy("_source").orderBy("_key", "_id")
-    last = inside.join(bounded(ends, 80), F.col("_source").eqNullSafe(F.col("_end")))
-    before = F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
-    last = last.withColumn("_in", before + F.col("_size") / 2.0 <= F.col("_rest"))
+    last = inside.join(bounded(ends, 80), F.col("_source").eqNullSafe(F.col("_end"))).groupBy("_source", "_key", "_id", "_rest").agg(F.max("_size").alias("_size"), F.count(F.lit(1)).alias("tied"))
+    before = F.coalesce(F.sum(F.col("_size") * F.col("tied")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fit = F.when(F.col("_size") > 0, F.floor((F.col("_rest") - before - F.col("_size") / 2.0) / F.col("_size")) + 1).otherwise(F.when(before <= F.col("_rest"), F.col("tied")).otherwise(0))
     # Nulls come first, as in the order above.
     place = F.struct("_key", F.col("_id").isNotNull().alias("_known"), "_id")
-    tied = last.groupBy("_source", place.alias("_at")).agg(F.count_if("_in").alias("ties"), F.count(F.lit(1)).alias("tied"))
+    tied = last.select("_source", place.alias("_at"), F.least(F.greatest(fit, F.lit(0)), F.col("tied")).cast("long").alias("ties"), "tied")
     cut = tied.groupBy(F.col("_source").alias("_cut")).agg(F.max(F.when(F.col("ties") > 0, F.struct("_at", "ties", "tied"))).alias("_some"), F.min("_at").alias("_none"))
     at = F.coalesce("_some._at", "_none")
     cut = cut.select("_cut", at["_key"].alias("cut_key"), at["_id"].alias("cut_id"), F.col("_some").isNotNull().alias("cut_in"), F.coalesce("_some.ties", F.lit(0)).alias("ties"), F.coalesce("_some.tied", F.lit(0)).alias("tied"), F.lit(True).alias("_found"))

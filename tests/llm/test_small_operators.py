@@ -238,3 +238,24 @@ def test_few_rows_move_when_shards_or_rows_are_added(spark):
     shifted = sum(before[k] != more[k] for k in before) / len(before)
     assert shifted < 0.1, shifted
     print(f"moved {moved:.3f} of the rows to 25 shards, {shifted:.3f} for a hundredth more rows")
+
+
+def test_cheap_rules_go_before_dear_ones_of_the_same_rejection(spark):
+    """A rule that does the same a hundred times over is told apart, whichever way round they are given."""
+    df = spark.createDataFrame([(i, "some words of a text " * 40) for i in range(300)], "doc_id long, text string")
+    cheap = quality.Rule("cheap", lambda t: F.char_length(t) < 100 * F.pmod(F.xxhash64(t), F.lit(20)))
+    dear = quality.Rule("dear", lambda t: F.aggregate(F.sequence(F.lit(1), F.lit(300)), F.lit(0), lambda s, i: s + F.size(F.split(F.concat(t, i.cast("string")), " "))) < 0)
+    for rules in ([cheap, dear], [dear, cheap]):
+        assert [r.name for r in quality.plan_cascade(df, rules)] == ["cheap", "dear"]
+
+
+def test_a_document_repeated_very_often_is_mixed_by_counting(spark):
+    """Equal rows are one row of the plan; what is taken is what taking them one by one would."""
+    rows = [(None, "same words here", "a")] * 3000 + [(i, f"w{i} x y z", "a") for i in range(200)] + [(i, "other", "b") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    found = mixing.mix_report(df).collect()
+    assert len(found) == len(rows)
+    for source_size in {r["source_size"] for r in found}:
+        own = [r for r in found if r["source_size"] == source_size]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 4
+    assert sorted(map(str, found)) == sorted(map(str, mixing.mix_report(df.coalesce(1)).collect()))
