@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from ..sources.stored import bounded, store
 #: Rows meant for a cell, and the most cells of a group; beyond, cells grow.
 CELL_ROWS, MAX_CELLS = 200_000, 1_000
 
+#: Cells of equal width that a pass for quantiles counts.
+FINE = 4096
+
 #: A column of at most this many rows is sorted by one aggregation.
 SMALL_ROWS = 2_000_000
 
@@ -33,29 +38,55 @@ def below(edges: Column, value: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e < value))
 
 
+def _cells(rows: DataFrame, group: str, value: str, windows: DataFrame) -> DataFrame:
+    """_w (window), _cell, _n, _min, _max, _before, _all: the rows of each window counted by ``FINE`` equal cells of its span.
+
+    A cell's number rises with the value. Values beyond the window's finite ends are in cells of their own.
+    """
+    v, low, high = F.col(value), F.col("_low"), F.col("_high")
+    inside = F.when(high > low, F.least(F.lit(FINE - 1), F.floor((v / 2 - low / 2) / (high / 2 - low / 2) * FINE))).otherwise(F.lit(0))
+    cell = F.when(v < low, -1).when(v > high, FINE).otherwise(inside).cast("int")
+    met = rows.join(F.broadcast(windows), (F.col(group).eqNullSafe(F.col("_g"))) & (v >= F.col("_from")) & (v <= F.col("_to")))
+    return met.groupBy("_w", "_g", "_before", "_all", cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"), F.min(v).alias("_min"), F.max(v).alias("_max"))
+
+
 def exact_quantiles(rows: DataFrame, points: list[float], group: str = "column", value: str = "value", n: int | None = None) -> DataFrame:
     """group and q: interpolated quantiles, exact, of each group's non-null values.
 
-    Tables of up to ``SMALL_ROWS`` rows take one aggregation. Beyond, rows are counted by ordered cell; the ranks that a
-    quantile lies between fall into one or two cells, whose values alone are counted and walked.
+    Tables of up to ``SMALL_ROWS`` rows take one aggregation. Beyond, rows are counted by cells of equal width between the
+    least and the greatest value. The ranks that a quantile lies between fall into one or two cells; a cell with more than
+    ``CELL_ROWS`` rows is counted again by cells of its own span, until the values of what is left are counted and walked.
+    A pass is one aggregation, whose groups are cells.
     """
     rows = rows.filter(F.col(value).isNotNull()).select(group, value)
     n = rows.count() if n is None else n
     if n <= SMALL_ROWS:
         return rows.groupBy(group).agg(F.percentile(value, points).alias("q"))
-    cells = placed(rows, [group], value, edges_of(rows, [group], value, n))
-    counts = cells.groupBy(group, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # a row a cell
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(group)))
-    # Ranks from 0 that are asked for: the two around p (n - 1) of each point p.
-    asked = F.explode(F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("_all") - 1) * p), F.ceil((F.col("_all") - 1) * p)) for p in points]))))
-    wanted = counts.select(group, "_cell", "_before", "_n", "_all", asked.alias("_rank")).filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
-    wanted = wanted.select(F.col(group).alias("_g"), F.col("_cell").alias("_c"), "_before", "_all", "_rank")
-    hit = wanted.select("_g", "_c", "_before").distinct()  # at most two cells a point
-    inner = cells.join(F.broadcast(hit), (F.col(group) == F.col("_g")) & (F.col("_cell") == F.col("_c"))).groupBy("_g", "_c", "_before", value).agg(F.count(F.lit(1)).alias("_k"))
-    last = F.sum("_k").over(Window.partitionBy("_g", "_c").orderBy(value)) + F.col("_before")
-    inner = inner.withColumn("_last", last).select("_g", "_c", value, (F.col("_last") - F.col("_k")).alias("_from"), "_last")
-    ranks = inner.withColumnsRenamed({"_g": "_g2", "_c": "_c2"}).join(F.broadcast(wanted), (F.col("_g") == F.col("_g2")) & (F.col("_c") == F.col("_c2")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_last")))
+    spark, kind = rows.sparkSession, dict(rows.dtypes)[group]
+    finite = (F.abs(value) < float("inf")) & ~F.isnan(value)
+    ends = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(finite, F.col(value))).alias("low"), F.max(F.when(finite, F.col(value))).alias("high"), F.min(value).alias("from"), F.max(value).alias("to"))
+    # A row a group, then a few a point and group: what is walked on the driver are cells, not values.
+    windows = [(k, r[group], r["low"] if r["low"] is not None else 0.0, r["high"] if r["high"] is not None else 0.0, r["from"], r["to"], 0, r["n"]) for k, r in enumerate(ends.collect())]
+    schema = f"_w int, _g {kind}, _low double, _high double, _from double, _to double, _before long, _all long"
+    asked = lambda all_: sorted({r for p in points for r in (math.floor((all_ - 1) * p), math.ceil((all_ - 1) * p))})
+    done: list[tuple] = []
+    while windows:
+        frame = spark.createDataFrame(windows, schema)
+        running = Window.partitionBy("_w").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # a row a cell
+        counts = _cells(rows, group, value, frame).withColumn("_at", F.col("_before") + F.coalesce(F.sum("_n").over(running), F.lit(0)))
+        ranks = F.array(*[F.lit(p) for p in points])
+        hit = F.exists(ranks, lambda p: ((F.floor((F.col("_all") - 1) * p) < F.col("_at") + F.col("_n")) & (F.ceil((F.col("_all") - 1) * p) >= F.col("_at"))))
+        found, windows = counts.filter(hit).collect(), []
+        for r in found:
+            own = (r["_g"], r["_min"], r["_max"], r["_min"], r["_max"], r["_at"], r["_all"])
+            again = r["_n"] > CELL_ROWS and r["_min"] < r["_max"] and math.isfinite(r["_min"]) and math.isfinite(r["_max"])
+            (windows if again else done).append((len(windows if again else done), *own))
+    wanted = spark.createDataFrame([(d[0], d[1], d[4], d[5], d[6], d[7], [r for r in asked(d[7])]) for d in done], f"_w int, _g {kind}, _from double, _to double, _before long, _all long, _ranks array<long>")
+    inner = rows.join(F.broadcast(wanted.drop("_ranks")), F.col(group).eqNullSafe(F.col("_g")) & (F.col(value) >= F.col("_from")) & (F.col(value) <= F.col("_to"))).groupBy("_w", "_before", value).agg(F.count(F.lit(1)).alias("_k"))
+    last = F.sum("_k").over(Window.partitionBy("_w").orderBy(value)) + F.col("_before")
+    inner = inner.withColumn("_last", last).select(F.col("_w").alias("_w2"), value, (F.col("_last") - F.col("_k")).alias("_first"), "_last")
+    each = wanted.select("_w", "_g", "_all", F.explode("_ranks").alias("_rank"))
+    ranks = inner.join(F.broadcast(each), (F.col("_w") == F.col("_w2")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_last")))
     at = ranks.groupBy(F.col("_g").alias(group), F.col("_all").alias("_all")).agg(F.map_from_entries(F.collect_list(F.struct("_rank", value))).alias("_at"))  # two a point
 
     def point(p: float) -> Column:

@@ -49,3 +49,26 @@ def test_running_sums(spark):
         ties = sum(1 for x in rows if x == (r["g"], r["v"], r["w"]))
         assert sum(before) <= r["before"] <= sum(before) + (ties - 1) * r["w"]
     assert len({(r["g"], r["before"], r["v"], r["w"]) for r in found if r["w"]}) == sum(1 for x in rows if x[2])
+
+
+def test_quantiles_by_cells_of_any_distribution(spark, monkeypatch):
+    """Far outliers, one value, ties, infinities and several counts of a crowded cell give the exact quantiles."""
+    monkeypatch.setattr(ranks, "SMALL_ROWS", 0)
+    monkeypatch.setattr(ranks, "CELL_ROWS", 40)
+    monkeypatch.setattr(ranks, "FINE", 8)
+    rng = np.random.default_rng(4)
+    columns = {
+        "crowded": np.concatenate([rng.normal(size=900), [1e300, -1e300, 1e9]]), "one": np.full(200, 3.25), "tied": np.round(rng.normal(size=500), 1),
+        "infinite": np.concatenate([rng.normal(size=100), [np.inf] * 60, [-np.inf] * 3]), "two": np.array([1.0, 2.0]), "single": np.array([7.0]),
+    }
+    rows = [(c, float(v)) for c, x in columns.items() for v in x] + [("none", None), (None, 5.0), (None, 6.0)]
+    points = [0.0, 0.25, 0.5, 0.77, 1.0]
+    found = {r["column"]: r["q"] for r in ranks.exact_quantiles(spark.createDataFrame(rows, "column string, value double").repartition(3), points).collect()}
+    assert set(found) == {*columns, None} and found[None] == [5.0, 5.25, 5.5, 5.77, 6.0]
+    for c, x in columns.items():
+        x = np.sort(x)
+        for p, q in zip(points, found[c], strict=True):
+            low, high = x[math.floor((len(x) - 1) * p)], x[math.ceil((len(x) - 1) * p)]
+            exact = (len(x) - 1) * p
+            expected = low if low == high else low + (high - low) * (exact - math.floor(exact))
+            assert q == pytest.approx(expected, nan_ok=True) or (math.isinf(low) and math.isnan(q)), (c, p)
