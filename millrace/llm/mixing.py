@@ -151,6 +151,7 @@ def mix_report(docs: DataFrame, source: str = "source", text: str = "text", key:
     Null and empty texts have size 0. A null source is a source of its own, the last. Repeated rows are separate
     documents. A null ``doc_id`` is sampled by its text. An empty table gives an empty result; further columns, whatever
     their names, are left out.
+    A very long text is only counted, where it is read. Ties of keys go by the smaller id.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
     narrow = materialize(keyed(rows).select("doc_id", "_source", "_size", "_key", "_id"))

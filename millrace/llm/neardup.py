@@ -398,6 +398,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     document without words has no shingles and is linked with nothing; a null id takes no part (component_id null, kept).
     Rows with one id are one document, linked by any of their texts. Equal texts are linked. An empty table gives an empty
     result; other columns are left out.
+    A very long text is made into a set where it is read, in memory in proportion to it. Ties between equal sets go to the
+    smallest id, then to the first row.
     """
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketches = base.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, sig binary, chk binary")

@@ -69,6 +69,8 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = END_
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id (gapless from 0, shorter lengths first), offset
     and, if asked for, ids. Repeated rows and null ids are packed like others. An empty table gives an empty result.
+    A very long text is encoded in one go where it is read; pieces of one length are numbered by id, start and checksum, and
+    equal ones in any order.
     """
     pieces = materialize(cut_documents(docs, tokenizer, limit, end_id, key, text, with_ids))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one a power of two

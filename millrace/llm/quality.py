@@ -176,6 +176,7 @@ def quality_report(docs: DataFrame, rules: list[Rule] | None = None, text: str =
 
     A null or empty text has no words and fails the base rule; repeated rows are judged one by one; other columns, such
     as one named n_words, don't matter; an empty table gives an empty result.
+    A very long text is judged whole, where it is read. Rules that tie keep the given order.
     """
     extra = plan_cascade(docs, rules or further_rules(), text)
     counts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"), F.struct(

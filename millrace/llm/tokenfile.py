@@ -304,6 +304,7 @@ def token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_
 
     Null and empty texts are their end id alone. Null ids come first. Repeated rows and rows with one id stay separate
     documents, next to each other. An empty table writes no shard and gives an empty result; other columns are left out.
+    A very long text is encoded in one go where it is read. Pairs of ids that tie are replaced in the order of their ids.
     """
     folder = folder or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     return read_shards(shard_starts(write_shards(docs, tokenizer, folder, end_id, key, text)), folder)

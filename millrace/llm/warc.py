@@ -271,6 +271,7 @@ def warc_round_trip(pages: DataFrame, folder: str | None = None, key: str = "pag
     A null html is an empty payload. A page without an id is a response and nothing refers to it. Rows repeated with the
     smallest id of their payload are all responses. A null url is left out of the record. An empty table writes nothing
     and gives an empty result; other columns are left out.
+    Ties of payloads go to the smallest id. A very long page is one record, written and read in one task.
     """
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     return read_warc(write_warc(pages, folder, key, url, html), folder)
