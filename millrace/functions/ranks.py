@@ -104,6 +104,7 @@ def prefix_sums(counts: DataFrame, by: list[str], value: str, sums: list[str], n
     the number of rows asks for; cell totals are summed up first, and rows only within their cell, so no task sorts a
     whole group.
     """
+    counts = store(counts)  # it is read for its size, its edges, its totals and its rows
     own = placed(counts, by, value, edges_of(counts, by, value, counts.count() if n is None else n))
     total = own.groupBy(*by, "_cell").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # a row a cell

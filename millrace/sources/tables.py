@@ -6,6 +6,7 @@ import hashlib
 import math
 import os
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
@@ -162,22 +163,33 @@ def skip_done(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return items.join(done.select(key).distinct(), key, "left_anti")
 
 
-def collect_new(items: DataFrame, done: DataFrame, fetch: Callable[[dict], dict], key: str, schema: str) -> DataFrame:
+def collect_new(items: DataFrame, done: DataFrame, fetch: Callable[[dict], dict], key: str, schema: str, retries: int = 0, pause: float = 1.0, per_second: float | None = None) -> DataFrame:
     """Fetch the items whose key isn't done yet; a failing item becomes a row with its error in ``_error``.
 
-    Append the result to the table that ``done`` is read from to make a run resumable.
+    An item is tried ``retries`` times more before that, after pauses that double. A task makes ``per_second`` calls a
+    second at most, tries included; the whole rate is that times the tasks that run at once. Append the result to the table
+    that ``done`` is read from to make a run resumable.
     """
     todo = skip_done(items, done, key)
     names = [f.name for f in T._parse_datatype_string(schema).fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        free_at = 0.0
         for batch in batches:
             out = []
             for item in batch.to_dict("records"):
-                try:
-                    out.append({**dict.fromkeys(names), **fetch(item), key: item[key], "_error": None})
-                except Exception as e:  # noqa: BLE001 an item's failure is data
-                    out.append({**dict.fromkeys(names), key: item[key], "_error": f"{type(e).__name__}: {e}"})
+                for attempt in range(retries + 1):
+                    if per_second:
+                        time.sleep(max(0.0, free_at - time.monotonic()))
+                        free_at = max(free_at, time.monotonic()) + 1.0 / per_second
+                    try:
+                        out.append({**dict.fromkeys(names), **fetch(item), key: item[key], "_error": None})
+                        break
+                    except Exception as e:  # noqa: BLE001 an item's failure is data
+                        if attempt == retries:
+                            out.append({**dict.fromkeys(names), key: item[key], "_error": f"{type(e).__name__}: {e}"})
+                        else:
+                            time.sleep(pause * 2**attempt)
             yield pd.DataFrame(out, columns=[*names, "_error"])
 
     return todo.mapInPandas(run, f"{schema}, _error string")

@@ -84,3 +84,23 @@ def test_files_are_hashed_in_chunks(spark, tmp_path):
     rows = [(found["a.bin"]["path"], found["a.bin"]["sha256"]), (found["b.bin"]["path"], "0"), ("file:/gone", "1")]
     audit = {r["path"].rpartition("/")[2]: r["status"] for r in tables.audit_files(spark, str(tmp_path / "f"), spark.createDataFrame(rows, "path string, sha256 string")).collect()}
     assert audit == {"a.bin": "ok", "b.bin": "mismatch", "c.gz": "unlisted", "gone": "missing"}
+
+
+def test_failing_items_are_tried_again_at_a_bounded_rate(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def fetch(item):
+        import os
+
+        tries = f"{folder}/{item['k']}"
+        with open(tries, "a") as f:
+            f.write("x")
+        if os.path.getsize(tries) <= item["k"]:
+            raise OSError("not yet")
+        return {"v": os.path.getsize(tries)}
+
+    items = spark.createDataFrame([(0,), (1,), (2,), (5,)], "k long").coalesce(1)
+    began = dt.datetime.now()
+    rows = tables.collect_new(items, items.limit(0), fetch, "k", "k long, v long", retries=2, pause=0.01, per_second=20).collect()
+    assert {(r["k"], r["v"], r["_error"]) for r in rows} == {(0, 1, None), (1, 2, None), (2, 3, None), (5, None, "OSError: not yet")}
+    assert (dt.datetime.now() - began).total_seconds() > 8 / 20  # nine calls
