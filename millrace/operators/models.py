@@ -192,7 +192,7 @@ def feature_pipeline(features: list[str], label: str, estimator, statements: lis
     return Pipeline(stages=[*steps, SQLTransformer(statement=f"SELECT *, CAST({label} AS DOUBLE) AS label FROM __THIS__"), VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), estimator])
 
 
-def mean_shift(df: DataFrame, key: str, columns: list[str], bandwidth: float, rounds: int = 100) -> DataFrame:
+def mean_shift(df: DataFrame, key: str, columns: list[str], bandwidth: float) -> DataFrame:
     """key and cluster (from 0, by descending support) of a flat-kernel mean shift whose seeds are the occupied grid cells.
 
     Points are summed up by cell once (count and sums); in a round each seed takes the mean of the cells' points whose
@@ -212,7 +212,7 @@ def mean_shift(df: DataFrame, key: str, columns: list[str], bandwidth: float, ro
     bins = bins.select("n", *xs, *[cell(x).alias(f"c{i}") for i, x in enumerate(xs)]).checkpoint(eager=True)
     seeds = point.groupBy(*[cell(x).alias(f"c{i}") for i, x in enumerate(xs)]).agg(*[F.avg(x).alias(f"s{i}") for i, x in enumerate(xs)]).select(*[f"s{i}" for i in range(n)])
     seeds = seeds.distinct().checkpoint(eager=True)
-    for _ in range(rounds):
+    while True:  # each move raises the number of points near a seed or ends it
         around = seeds
         for i in range(n):
             around = around.withColumn(f"c{i}", F.explode(F.array(*[F.floor(F.col(f"s{i}") / bandwidth) + o for o in (-1, 0, 1)])))
