@@ -250,52 +250,100 @@ def _span2(a_low: Column, a_high: Column, b_low: Column, b_high: Column) -> Colu
     return F.aggregate(apart, F.lit(0.0), lambda s, x: s + x * x)
 
 
-def _blocks(points: DataFrame, side: float, block: int) -> DataFrame:
-    """Blocks of the points (cell, n, k, v) of each cell: block, cell, n, members, low, high; large cells by finer cells first."""
+def _blocks(rows: DataFrame, side: float, block: int) -> DataFrame:
+    """Blocks of the points (cell, band, n, k, v, tag) of each cell and band with n points: block, cell, band, n, members, low, high.
+
+    Where there are more points than a block takes, finer cells come first.
+    """
     fine = F.when(F.col("n") > block, F.transform("v", lambda x: F.floor(4 * x / side)))
-    rows = points.select("cell", "k", "v", fine.alias("fine"))
-    full = rows.filter("fine IS NOT NULL").groupBy(F.col("cell").alias("_c"), F.col("fine").alias("_f")).agg(F.ceil(F.count(F.lit(1)) / block).alias("_parts")).filter("_parts > 1")
-    rows = rows.join(bounded(store(full), 64), (F.col("cell") == F.col("_c")) & (F.col("fine") == F.col("_f")), "left")
+    rows = rows.withColumn("fine", fine)
+    by = ["cell", "band", "fine"]
+    full = rows.filter("fine IS NOT NULL").groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.ceil(F.count(F.lit(1)) / block).alias("_parts")).filter("_parts > 1")
+    rows = rows.join(bounded(store(full), 96), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left")
     part = F.pmod(F.xxhash64("k"), F.coalesce("_parts", F.lit(1)))
-    made = rows.groupBy("cell", "fine", part.alias("part")).agg(F.collect_list(F.struct("k", "v")).alias("members"))
+    made = rows.groupBy(*by, part.alias("part")).agg(F.collect_list(F.struct("k", "v", "tag")).alias("members")).select("cell", "band", "members")
 
     def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            members = batch.column(1)
+            members = batch.column(2)
             found = [_matrix(members[i].values.field("v")) for i in range(len(members))]
             low, high = ([f(x, axis=0).tolist() for x in found] for f in (np.min, np.max))
-            yield pa.RecordBatch.from_arrays([batch.column(0), members, pa.array([len(x) for x in found], type=pa.int64()), pa.array(low, type=pa.list_(pa.float64())), pa.array(high, type=pa.list_(pa.float64()))], names=["cell", "members", "n", "low", "high"])
+            boxed = [pa.array([len(x) for x in found], type=pa.int64()), pa.array(low, type=pa.list_(pa.float64())), pa.array(high, type=pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *boxed], names=["cell", "band", "members", "n", "low", "high"])
 
-    kinds = dict(made.dtypes)
-    boxed = made.select("cell", "members").mapInArrow(boxes, f"cell {kinds['cell']}, members {kinds['members']}, n long, low array<double>, high array<double>")
-    return store(boxed.withColumn("block", F.monotonically_increasing_id()))
+    kinds = ", ".join(f"{c} {kind}" for c, kind in made.dtypes)
+    return store(made.mapInArrow(boxes, f"{kinds}, n long, low array<double>, high array<double>").withColumn("block", F.monotonically_increasing_id()))
 
 
-def _within(eps: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """k, block and c: how many points of the block are within ``eps`` of an asking point, if any."""
+def _near(eps: float, make: Callable[[pa.Table], tuple[Callable[[int, np.ndarray, list], None], list[list], pa.Schema]]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """An answer made of each asking row's number, the block's members within ``eps`` of it, and the members' tags."""
 
-    def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind = left.schema.field("k").type
-        names, counts = [], []
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        take, out, schema = make(left)
         if left.num_rows and right.num_rows:
-            x = _matrix(_column(right, "members").flatten().field("v"))
-            for k, v in zip(left.column("k").to_pylist(), _matrix(_column(left, "v")), strict=True):
-                c = int((((x - v) ** 2).sum(1) <= eps * eps).sum())
-                if c:
-                    names.append(k)
-                    counts.append(c)
-        block = left.column("block")[0].as_py() if left.num_rows else 0
-        return pa.table([pa.array(names, type=kind), pa.array([block] * len(names), type=pa.int64()), pa.array(counts, type=pa.int64())], names=["k", "block", "c"])
+            members = _column(right, "members").flatten()
+            x, tags = _matrix(members.field("v")), members.field("tag").to_pylist()
+            for i, v in enumerate(_matrix(_column(left, "v"))):
+                near = np.flatnonzero(((x - v) ** 2).sum(1) <= eps * eps)
+                if near.size:
+                    take(i, near, tags)
+        return pa.table([pa.array(c, type=t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
+
+    return answer
+
+
+def _counts(left: pa.Table):
+    """k and c: how many members are near."""
+    names, out = left.column("k").to_pylist(), [[], []]
+
+    def take(i: int, near: np.ndarray, tags: list) -> None:
+        out[0].append(names[i])
+        out[1].append(len(near))
+
+    return take, out, pa.schema([("k", left.schema.field("k").type), ("c", pa.int64())])
+
+
+def _links(left: pa.Table):
+    """Pairs (a, b) of cells: of those that an asking row's cell is linked with, as many as join what isn't joined yet here."""
+    cells, out, up = left.column("cell").to_pylist(), [[], []], {}
 
-    return count
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def take(i: int, near: np.ndarray, tags: list) -> None:
+        for tag in {tags[j] for j in near}:
+            one, two = top(cells[i]), top(tag)
+            if one != two:
+                up[one] = two
+                out[0].append(cells[i])
+                out[1].append(tag)
+
+    kind = left.schema.field("cell").type
+    return take, out, pa.schema([("a", kind), ("b", kind)])
+
+
+def _tags(left: pa.Table):
+    """k and cell: the cells of the members that are near."""
+    names, out = left.column("k").to_pylist(), [[], []]
+
+    def take(i: int, near: np.ndarray, tags: list) -> None:
+        found = {tags[j] for j in near}
+        out[0].extend([names[i]] * len(found))
+        out[1].extend(found)
+
+    kind = left.schema.field("k").type
+    return take, out, pa.schema([("k", kind), ("cell", kind)])
 
 
 def dbscan(df: DataFrame, key: str, columns: str | list[str], eps: float = 0.5, least: int = 5, block: int = BLOCK, log: dict | None = None) -> DataFrame:
     """key and cluster (the smallest core key; null for noise): cores have ``least`` points within ``eps``, themselves included.
 
-    Cells are so small that their points are all within ``eps`` of each other: a cell of ``least`` points has only cores, and
-    the cores of a cell are one cluster, so no pair in it is looked at. Points of smaller cells ask the blocks of cells near
-    them. Cells whose boxes or first cores are near enough are joined first; only cells near each other that aren't connected
+    Cells are so small that their points are all within ``eps`` of each other: a cell of ``least`` points is dense. It has
+    only cores, which are one cluster, so no pair in it is looked at. Points of other cells ask the blocks near them: of
+    dense cells, and of the points of many small cells together. A small cell's cores link it to what they find near. Dense
+    cells are joined where their boxes or first points are near enough; only those near each other that aren't connected
     by then compare points, block by block. A border point goes to the smallest label near it.
 
     ``columns`` are numeric ones, or one column of vectors, of any dimension. Rows with null or non-finite components are
@@ -306,79 +354,75 @@ def dbscan(df: DataFrame, key: str, columns: str | list[str], eps: float = 0.5,
     kind = dict(point.dtypes)["k"]
     side, near2 = eps / math.sqrt(d) * (1 - _SLACK), eps * eps
     at = F.transform("v", lambda x: F.floor(x / side))
-    cells = store(point.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("cell")))
-    named = cells.select(F.col("at").alias("_at"), "n", "cell")
-    points = store(point.withColumn("_here", at).join(bounded(named, 16 * d + 64), F.col("_here") == F.col("_at")).select("cell", "n", "k", "v"))
-
-    # Pairs of cells with at most eps between their boxes. Centres are then at most 2 eps apart.
-    low, high = F.transform("at", lambda x: x * side), F.transform("at", lambda x: (x + 1) * side)
-    placed = cells.select("cell", "n", low.alias("low"), high.alias("high"), _bands(F.transform("at", lambda x: (x + 0.5) * side), d, 2 * eps * (1 + _SLACK)).alias("band"))
-    placed = store(placed)
-    other = placed.select(F.col("cell").alias("near"), F.col("n").alias("near_n"), F.col("low").alias("_low"), F.col("high").alias("_high"), F.explode(_beside(F.col("band"), min(d, 3))).alias("_band"))
-    gap = _gap2(F.col("low"), F.col("high"), F.col("_low"), F.col("_high"))
-    pairs = placed.join(other, F.col("band") == F.col("_band")).filter((F.col("cell") != F.col("near")) & (gap <= near2 * (1 + 1e-6))).select("cell", "n", "near", "near_n")
-    pairs = store(pairs)
-
-    # Points of small cells count who is near; in their own cell, everyone is.
-    blocks = _blocks(points, side, block)
-    boxes = blocks.select("block", F.col("cell").alias("_cell"), F.col("n").alias("_n"), "low", "high")
+    # Centres of cells with points within eps of each other are at most 2 eps apart.
+    band = _bands(F.transform("at", lambda x: (x + 0.5) * side), d, 2 * eps * (1 + _SLACK))
+    cells = store(point.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("cell")).withColumn("band", band))
+    named = cells.select(F.col("at").alias("_at"), "n", "cell", "band")
+    points = store(point.withColumn("_here", at).join(bounded(named, 16 * d + 96), F.col("_here") == F.col("_at")).select("cell", "band", "n", "k", "v"))
     small = points.filter(F.col("n") < least)
 
-    def asks(rows: DataFrame, boxes: DataFrame) -> DataFrame:
-        """Each point with the blocks of neighbouring cells that are near it."""
-        by = rows.join(pairs.select(F.col("cell").alias("_c"), "near"), F.col("cell") == F.col("_c")).join(boxes, F.col("near") == F.col("_cell"))
+    def together(rows: DataFrame) -> DataFrame:
+        """Blocks of the points of small cells, by bands; their numbers are negative."""
+        sizes = store(rows.groupBy(F.col("band").alias("_band")).agg(F.count(F.lit(1)).alias("_n")))
+        own = rows.join(bounded(sizes, 64), F.col("band") == F.col("_band"))
+        made = _blocks(own.select(F.lit(None).cast(kind).alias("cell"), "band", F.col("_n").alias("n"), "k", "v", F.col("cell").alias("tag")), side, block)
+        return made.withColumn("block", -1 - F.col("block"))
+
+    def asks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+        """Each point with the blocks near it."""
+        boxes = blocks.select("block", F.col("band").alias("_band"), F.col("n").alias("_n"), "low", "high")
+        by = rows.withColumn("_beside", F.explode(_beside(F.col("band"), min(d, 3)))).join(boxes, F.col("_beside") == F.col("_band"))
         return by.filter(_gap2(F.col("v"), F.col("v"), F.col("low"), F.col("high")) <= near2 * (1 + _SLACK))
 
-    asked = store(asks(small, boxes).select("k", "v", "block", "_n", (_span2(F.col("v"), F.col("v"), F.col("low"), F.col("high")) <= near2 * (1 - _SLACK)).alias("all")))
-    found = _meet(asked.filter("NOT all").select("block", "k", "v"), blocks, "k", _within(eps), f"k {kind}, block long, c long")
-    sums = found.select("k", "c").unionByName(asked.filter("all").select("k", F.col("_n").alias("c"))).groupBy(F.col("k").alias("_k")).agg(F.sum("c").alias("c"))
-    judged = small.join(store(sums), F.col("k") == F.col("_k"), "left").select("cell", "n", "k", "v", (F.col("n") + F.coalesce("c", F.lit(0)) >= least).alias("core"))
-    judged = store(judged)
-
-    # Blocks of cores, with their first one, and each cell's smallest core key.
-    dense = blocks.join(bounded(store(cells.filter(F.col("n") >= least).select(F.col("cell").alias("_d"))), 24), F.col("cell") == F.col("_d"), "left_semi")
-    whole = store(dense.select("block", "cell", "members", "low", "high").unionByName(
-        _blocks(judged.filter("core"), side, block).select((-1 - F.col("block")).alias("block"), "cell", "members", "low", "high")))
-    homes = store(whole.groupBy("cell").agg(F.min(F.array_min(F.transform("members", lambda m: m["k"]))).alias("first")))
-    boxes = store(whole.select("block", F.col("cell").alias("_cell"), "low", "high", F.get("members", F.lit(0))["v"].alias("one")))
-
-    ours = boxes.select(F.col("block").alias("a_block"), F.col("_cell").alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high"), F.col("one").alias("a_one"))
-    theirs = boxes.select(F.col("block").alias("b_block"), F.col("_cell").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high"), F.col("one").alias("b_one"))
-    met = pairs.filter(F.col("cell") < F.col("near")).select("cell", "near").join(ours, F.col("cell") == F.col("a")).join(theirs, F.col("near") == F.col("b"))
+    dense = _blocks(points.filter(F.col("n") >= least).select("cell", "band", "n", "k", "v", F.col("cell").alias("tag")), side, block)
+    blocks = dense.unionByName(together(small))
+    asked = store(asks(small, blocks).select("k", "v", "block", "_n", (_span2(F.col("v"), F.col("v"), F.col("low"), F.col("high")) <= near2 * (1 - _SLACK)).alias("all")))
+    found = _meet(asked.filter("NOT all").select("block", "k", "v"), blocks, "k", _near(eps, _counts), f"k {kind}, c long")
+    sums = found.unionByName(asked.filter("all").select("k", F.col("_n").alias("c"))).groupBy(F.col("k").alias("_k")).agg(F.sum("c").alias("c"))
+    judged = store(small.join(store(sums), F.col("k") == F.col("_k"), "left").select("cell", "band", "k", "v", (F.coalesce("c", F.lit(0)) >= least).alias("core")))
+    cores, edge = judged.filter("core"), judged.filter("NOT core")
+    whole = dense.unionByName(together(cores))
+
+    # Links of small cells' cores, and of dense cells that are surely near each other.
+    links = _meet(asks(cores, whole).select("block", "k", "v", "cell"), whole, "k", _near(eps, _links), f"a {kind}, b {kind}").filter("a <> b")
+    boxes = store(dense.select("block", F.col("cell").alias("_cell"), "band", "low", "high", F.get("members", F.lit(0))["v"].alias("one")))
+    ours = boxes.select(F.col("block").alias("a_block"), F.col("_cell").alias("a"), F.explode(_beside(F.col("band"), min(d, 3))).alias("_beside"), F.col("low").alias("a_low"), F.col("high").alias("a_high"), F.col("one").alias("a_one"))
+    theirs = boxes.select(F.col("block").alias("b_block"), F.col("_cell").alias("b"), F.col("band").alias("_band"), F.col("low").alias("b_low"), F.col("high").alias("b_high"), F.col("one").alias("b_one"))
     sides = [F.col(c) for c in ("a_low", "a_high", "b_low", "b_high")]
+    met = ours.join(theirs, F.col("_beside") == F.col("_band")).filter((F.col("a") < F.col("b")) & (_gap2(*sides) <= near2 * (1 + _SLACK)))
     sure = (_span2(*sides) <= near2 * (1 - _SLACK)) | (distance2(F.col("a_one"), F.col("b_one")) <= near2)
-    met = store(met.filter(_gap2(*sides) <= near2 * (1 + _SLACK)).select("a", "b", "a_block", "b_block", sure.alias("sure")))
-    links = store(met.filter("sure").select("a", "b").distinct())
+    met = store(met.select("a", "b", "a_block", "b_block", sure.alias("sure")))
+    links = store(links.unionByName(met.filter("sure").select("a", "b")).distinct())
+
+    # Dense cells near each other that aren't connected yet compare points.
     groups = connected_components(links)
     one, two = (groups.select(F.col("node").alias(f"_{x}"), F.col("component").alias(f"_{x}c")) for x in "ab")
     open_ = met.join(bounded(one, 64), F.col("a") == F.col("_a"), "left").join(bounded(two, 64), F.col("b") == F.col("_b"), "left")
-    open_ = store(open_.filter(F.coalesce(F.coalesce("_ac", "a") != F.coalesce("_bc", "b"), F.lit(True))).select("a", "b", "a_block", "b_block"))
-    data = whole.select(F.col("block").alias("_block"), F.transform("members", lambda m: m["v"]).alias("v"))
+    open_ = store(open_.filter(F.coalesce("_ac", "a") != F.coalesce("_bc", "b")).select("a", "b", "a_block", "b_block"))
+    data = dense.select(F.col("block").alias("_block"), F.transform("members", lambda m: m["v"]).alias("v"))
     both = open_.join(data.withColumnsRenamed({"_block": "_one", "v": "left"}), F.col("a_block") == F.col("_one"))
     both = both.join(data.withColumnsRenamed({"_block": "_two", "v": "right"}), F.col("b_block") == F.col("_two")).select("a", "b", "left", "right")
 
     def touching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = [touch(_matrix(batch.column(2)[i].values), _matrix(batch.column(3)[i].values), eps) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit, type=pa.bool_())), batch.column(1).filter(pa.array(hit, type=pa.bool_()))], names=["a", "b"])
+            hit = pa.array([touch(_matrix(batch.column(2)[i].values), _matrix(batch.column(3)[i].values), eps) for i in range(batch.num_rows)], type=pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], names=["a", "b"])
 
-    links = store(links.unionByName(both.mapInArrow(touching, f"a {kind}, b {kind}").distinct()))
+    links = store(links.unionByName(both.mapInArrow(touching, f"a {kind}, b {kind}")).distinct())
     groups = connected_components(links)
-    labels = homes.join(bounded(groups, 64), F.col("cell") == F.col("node"), "left").select("cell", "first", F.coalesce("component", "cell").alias("group"))
-    labels = store(labels)
-    names = labels.groupBy(F.col("group").alias("_g")).agg(F.min("first").alias("cluster"))
-    labels = store(labels.join(bounded(store(names), 64), F.col("group") == F.col("_g")).select(F.col("cell").alias("_home"), "cluster"))
-    label = bounded(labels, 64)
 
-    cores = points.filter(F.col("n") >= least).select("cell", "k").unionByName(judged.filter("core").select("cell", "k"))
-    cores = cores.join(label, F.col("cell") == F.col("_home")).select("k", "cluster")
-    edge = judged.filter("NOT core")
-    asked = asks(edge, boxes).select("block", "k", "v")
+    # The smallest core key of each cell (a dense cell's name is its smallest key), and of each cluster.
+    homes = cells.filter(F.col("n") >= least).select("cell", F.col("cell").alias("first")).unionByName(cores.groupBy("cell").agg(F.min("k").alias("first")))
+    labels = store(homes.join(bounded(groups, 64), F.col("cell") == F.col("node"), "left").select("cell", "first", F.coalesce("component", "cell").alias("group")))
+    names = labels.groupBy(F.col("group").alias("_g")).agg(F.min("first").alias("cluster"))
+    label = bounded(store(labels.join(bounded(store(names), 64), F.col("group") == F.col("_g")).select(F.col("cell").alias("_home"), "cluster")), 64)
+    inner = points.filter(F.col("n") >= least).select("cell", "k").unionByName(cores.select("cell", "k"))
+    inner = inner.join(label, F.col("cell") == F.col("_home")).select("k", "cluster")
+    asked = asks(edge, whole).select("block", "k", "v")
     if log is not None:
         asked = store(asked)
         log |= {"asked": small.count(), "asked_again": asked.count(), "compared": open_.count()}
-    reached = _meet(asked, whole, "k", _within(eps), f"k {kind}, block long, c long")
-    reached = reached.join(bounded(boxes.select(F.col("block").alias("_b"), "_cell"), 32), F.col("block") == F.col("_b")).select("k", F.col("_cell").alias("cell"))
-    at_edge = reached.unionByName(edge.select("k", "cell")).join(label, F.col("cell") == F.col("_home")).groupBy("k").agg(F.min("cluster").alias("cluster"))
-    found = cores.unionByName(at_edge).withColumnRenamed("k", "_k")
+    reached = _meet(asked, whole, "k", _near(eps, _tags), f"k {kind}, cell {kind}")
+    outer = reached.join(label, F.col("cell") == F.col("_home")).groupBy("k").agg(F.min("cluster").alias("cluster"))
+    found = inner.unionByName(outer).withColumnRenamed("k", "_k")
     return df.select(F.col(key)).join(found, F.col(key) == F.col("_k"), "left").select(key, "cluster")
