@@ -37,46 +37,59 @@ SHARD_IDS, TASK_BYTES, LEAST_TASK_BYTES = 2_000_000, 256 << 20, 8 << 20
 LEAST, SHARE, TABLE_BITS, STEP = 2, 4, 18, 1024
 
 
-def pair_cells(symbols: np.ndarray) -> np.ndarray:
+def pair_cells(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """A cell of the counting table for each pair of neighbours."""
-    mixed = (symbols[:-1] * np.uint32(0x9E3779B1)) ^ (symbols[1:] * np.uint32(0x85EBCA77))
+    mixed = (left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))
     return (mixed * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - TABLE_BITS)
 
 
-def frequent_pairs(symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The frequent pairs of neighbours, most frequent first, as keys left << 32 | right; their places and ranks there.
+def run_seconds(symbols: np.ndarray) -> np.ndarray:
+    """Places inside runs of one symbol where no pair starts: pairs start at every second place of a run."""
+    twins = np.flatnonzero(symbols[:-1] == symbols[1:])
+    begins = np.diff(twins, prepend=-2) != 1
+    first = twins[begins][np.cumsum(begins) - 1] if twins.size else twins
+    return twins[(twins - first) % 2 == 1]
+
+
+def frequent_pairs(symbols: np.ndarray, least: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The frequent pairs of neighbours, most frequent first, as keys left << 32 | right; their places and ranks there; the
+    least count of a frequent pair.
 
     These are the pairs that occur ``least`` times without overlap, and 1 / ``SHARE`` as often as the most frequent pair or more.
-    Pairs are counted by cell first; only those in the fuller cells are counted one by one.
+    Pairs are counted by cell first; only those in the fuller cells are counted one by one. ``among`` are the places that
+    have all pairs that occur ``least`` times.
     """
-    # Of a run of one symbol, pairs start at every second place.
-    twin = symbols[:-1] == symbols[1:]
-    starts = np.arange(twin.size)
-    begin = np.maximum.accumulate(np.where(twin, 0, starts + 1))
-    places = np.flatnonzero(~twin | ((starts - begin) % 2 == 0))
-    cells = pair_cells(symbols)[places]
+    starts = np.zeros(symbols.size, dtype=bool)
+    starts[slice(0, -1) if among is None else among] = True
+    starts[-1:] = False
+    starts[run_seconds(symbols)] = False
+    places = np.flatnonzero(starts)
+    left, right = symbols[places], symbols[places + 1]
+    cells = pair_cells(left, right)
     table = np.bincount(cells, minlength=1 << TABLE_BITS)
     # A cell holds several pairs at times, so the fullest cell may promise too much; then the bound is lowered.
     floor = max(least, int(table.max(initial=0)) // SHARE)
     while True:
-        at = places[(table >= floor)[cells]]
-        keys = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
-        found, place, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        some = np.flatnonzero((table >= floor)[cells])
+        coded = pa.array(left[some].astype(np.uint64) << np.uint64(32) | right[some]).dictionary_encode()
+        found, place = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        counts = np.bincount(place, minlength=found.size)
         top = int(counts.max(initial=0))
         bound = max(least, -(-top // SHARE))
         if floor <= bound or floor == least:
             break
         floor = bound
-    order = np.lexsort((found, -counts))
-    order = order[: int((counts >= bound).sum())]
+    often = np.flatnonzero(counts >= bound)
+    order = often[np.lexsort((found[often], -counts[often]))]
     rank = np.full(found.size, -1, dtype=np.int64)
     rank[order] = np.arange(order.size)
     rank = rank[place]
-    return found[order], at[rank >= 0], rank[rank >= 0]
+    return found[order], places[some[rank >= 0]], rank[rank >= 0], bound
 
 
-def replace_pairs(symbols: np.ndarray, pairs: np.ndarray, at: np.ndarray, rank: np.ndarray, first: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols with pairs replaced by ``first`` and up, and the pairs that are replaced ``least`` times or more.
+def replace_pairs(symbols: np.ndarray, pairs: np.ndarray, at: np.ndarray, rank: np.ndarray, first: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols with pairs replaced by ``first`` and up, the pairs that are replaced ``least`` times or more, and a mark
+    for each symbol that stays.
 
     Of pairs that overlap, the one of the lower rank is replaced, so that the first pair is replaced wherever it occurs.
     """
@@ -93,7 +106,7 @@ def replace_pairs(symbols: np.ndarray, pairs: np.ndarray, at: np.ndarray, rank:
     out[at] = (first + number[rank]).astype(np.uint32)
     keep = np.ones(symbols.size, dtype=bool)
     keep[at + 1] = False
-    return out[keep], pairs[taken]
+    return out[keep], pairs[taken], keep
 
 
 def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,12 +115,26 @@ def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarra
     In the end no pair of symbols occurs ``least`` times without overlap.
     """
     symbols, rules, n = ids.astype(np.uint32), [np.empty((0, 2), dtype=np.uint32)], 0
-    lengths = np.empty(0, dtype=np.uint64)
+    lengths, among = np.empty(0, dtype=np.uint64), None
     while symbols.size > 1:
-        pairs, at, rank = frequent_pairs(symbols, least)
+        pairs, at, rank, bound = frequent_pairs(symbols, least, among)
         if not pairs.size:
+            if among is None:
+                break
+            among = None  # the last word is that of all places
+            continue
+        before, marks = symbols.size, np.zeros(symbols.size, dtype=bool)
+        marks[at] = True
+        marks[:-1] |= symbols[:-1] == symbols[1:]  # where a run breaks, pairs start at other places of it
+        symbols, pairs, keep = replace_pairs(symbols, pairs, at, rank, first + n, least)
+        if bound == least and pairs.size:
+            # All pairs that occurred so often were taken, so others that do now have a new symbol or are left of them.
+            new = np.flatnonzero(symbols >= first + n)
+            among = np.concatenate([np.maximum(new - 1, 0), new, np.flatnonzero(marks[keep])])
+        else:
+            among = None
+        if symbols.size == before:
             break
-        symbols, pairs = replace_pairs(symbols, pairs, at, rank, first + n, least)
         new = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
         rules.append(new)
         n += len(new)

@@ -259,3 +259,14 @@ def test_a_document_repeated_very_often_is_mixed_by_counting(spark):
         own = [r for r in found if r["source_size"] == source_size]
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 4
     assert sorted(map(str, found)) == sorted(map(str, mixing.mix_report(df.coalesce(1)).collect()))
+
+
+def test_late_rounds_look_only_where_symbols_changed(monkeypatch):
+    asked, cells = [], tokenfile.pair_cells
+    monkeypatch.setattr(tokenfile, "pair_cells", lambda *pair: asked.append(len(pair[0])) or cells(*pair))
+    rng = np.random.default_rng(5)
+    ids = np.concatenate([(rng.zipf(1.3, 20_000) % 3000), np.repeat(7, 501)]).astype(np.uint32)
+    symbols, rules, _ = tokenfile.compress(ids, 3000)
+    assert (tokenfile.expand(symbols, rules, 3000) == ids).all()
+    pairs, _, _, _ = tokenfile.frequent_pairs(symbols, 2)
+    assert not pairs.size and min(asked) < symbols.size // 4
