@@ -6,10 +6,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, packing, quality, sharding, tokenfile
+from millrace.llm import mixing, packing, quality, sharding, subwords, tokenfile
 from millrace.llm.subwords import encoder
 
 from .helpers import DOCS, TEXTS, documents
@@ -270,3 +271,12 @@ def test_late_rounds_look_only_where_symbols_changed(monkeypatch):
     assert (tokenfile.expand(symbols, rules, 3000) == ids).all()
     pairs, _, _, _ = tokenfile.frequent_pairs(symbols, 2)
     assert not pairs.size and min(asked) < symbols.size // 4
+
+
+def test_units_that_come_again_are_kept_when_others_are_forgotten(monkeypatch):
+    monkeypatch.setattr(subwords, "KEEP_BYTES", 40_000)
+    own = subwords.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for k in range(6):
+        texts = [" ".join(["often", "again", *(f"once{k}x{i}" for i in range(100))]), None, ""]
+        assert [x.tolist() for x in own.ids(pa.array(texts))] == [x.tolist() for x in own.whole([t or "" for t in texts])]
+    assert "again" in own.store.slots and not any("once0x" in u for u in own.store.slots)
