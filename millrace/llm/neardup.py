@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .shared import bounded, give_back, in_bits, store
+from .shared import bounded, give_back, in_bits, make_room, store
 
 WIDTH, PERCENT = 5, 75
 SIGNATURE, CHECKED, MIN_AGREE = 64, 256, 156
@@ -135,6 +135,11 @@ def _checks(parts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(parts), dtype=np.uint8).reshape(len(parts), CHECKED)
 
 
+def _one_by_one(column: pa.Array) -> Iterator[list]:
+    """The rows of a column of lists, of which only one at a time is there as Python objects."""
+    return (x.as_py() for x in column)
+
+
 def _agree(checks: np.ndarray, one: np.ndarray) -> np.ndarray:
     """On how many places each row agrees with one row, or with its own row of another table."""
     return np.count_nonzero(checks == one, axis=1)
@@ -154,6 +159,7 @@ def set_digest(items: np.ndarray) -> bytes | None:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    make_room()
     for batch in batches:
         sizes, digests, sigs, checks = [], [], [], []
         for text in batch.column(1):
@@ -174,6 +180,7 @@ _ROW = {"node": pa.int64(), "cls": pa.int64(), "mask": pa.int64()}
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """First children of (cls, sig) in every tree."""
+    make_room()
     for batch in batches:
         if batch.num_rows:
             classes, sigs = batch.column(0).to_numpy(), _signatures(batch.column(1))
@@ -184,6 +191,7 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Children of (node, cls, mask, sig)."""
+    make_room()
     for batch in batches:
         if batch.num_rows:
             node, classes, mask = (batch.column(k).to_numpy() for k in range(3))
@@ -197,6 +205,7 @@ _EDGES = "a long, b long"
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (cls, pivot, and the checks of both) whose checks agree enough."""
+    make_room()
     for batch in batches:
         if batch.num_rows:
             agree = _agree(_checks(batch.column(2).to_pylist()), _checks(batch.column(3).to_pylist())) >= MIN_AGREE
@@ -209,9 +218,10 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Members with one label are connected already. ``side`` is null, or says which of two blocks a member is from; then only
     pairs of different blocks count.
     """
+    make_room()
     for batch in batches:
         a, b = [], []
-        for members in batch.column(0).to_pylist():
+        for members in _one_by_one(batch.column(0)):
             members = sorted({m["cls"]: m for m in members}.values(), key=lambda m: m["cls"])
             checks = _checks([m["chk"] for m in members])
             side = np.array([-1 if m["side"] is None else m["side"] for m in members])
@@ -234,6 +244,7 @@ _SET = {"grp": pa.int64(), "n": pa.int64(), "cls": pa.int64(), "chk": pa.binary(
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets of (grp, n, cls, digest, text), of those texts of a document whose set is that of its class."""
+    make_room()
     for batch in batches:
         items = [shingles(t.as_py()) for t in batch.column(4)]
         keep = [k for k, x in enumerate(items) if set_digest(x) == batch.column(3)[k].as_py()]
@@ -245,9 +256,10 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members (array of cls, chk, items) of whole candidate groups to (a, b), a confirmed link to the least of a component."""
+    make_room()
     for batch in batches:
         a, b = [], []
-        for members in batch.column(0).to_pylist():
+        for members in _one_by_one(batch.column(0)):
             members = sorted({m["cls"]: m for m in members}.values(), key=lambda m: m["cls"])
             checks = _checks([m["chk"] for m in members])
             sets = [np.frombuffer(m["items"], dtype=np.uint64) for m in members]
@@ -269,9 +281,10 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunk (cls, chk, items), its labels (cls, label; may be null) and asked rows (cls, chk, items, label) to the
     confirmed links between them that join different labels."""
+    make_room()
     for batch in batches:
         a, b = [], []
-        for members, labels, asked in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for members, labels, asked in zip(*map(_one_by_one, batch.columns), strict=True):
             label_of = {x["cls"]: x["label"] for x in labels or []}
             checks = _checks([m["chk"] for m in asked])
             sets = [np.frombuffer(m["items"], dtype=np.uint64) for m in asked]

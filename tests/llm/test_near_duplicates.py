@@ -2,10 +2,12 @@
 
 import random
 
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import neardup
+from millrace.llm import neardup, shared, subwords
 from millrace.operators import graph as components
 
 from .helpers import DOCS, documents
@@ -170,3 +172,23 @@ def test_a_chain_of_drifting_versions_is_one_component(spark):
     rows = [(i, " ".join(words[6 * k : 6 * k + 60])) for k, i in enumerate(ids)] + [(1, " ".join(words[:50])), (2, "another text of some words")]
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == {i: 1 for i in [1, *ids]} | {2: 2}
+
+
+def test_tasks_drop_what_other_operators_kept_in_the_worker():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    subwords.encoder(path)
+    for task in (neardup._sketch, neardup._roots, neardup._children, neardup._agreeing, neardup._forest, neardup._full_sets, neardup._confirm, neardup._against):
+        subwords._encoders["left"] = subwords.encoder(path)
+        assert list(task(iter([]))) == [] and not subwords._encoders
+
+
+def test_workers_get_batches_of_bounded_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    df = spark.range(4000, numPartitions=1).select(F.repeat(F.lit("some words "), 1000).alias("text"))
+    for compute in (shared.store, shared.materialize):
+        found = [r["n"] for r in compute(df.mapInArrow(sizes, "n long")).collect()]
+        assert max(found) < 2 * shared.BATCH_BYTES and sum(found) > 4000 * 11_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
