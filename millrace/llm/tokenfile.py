@@ -1,8 +1,10 @@
 """Token ids in binary shards, compressed by a Re-Pair grammar (Larsson and Moffat 1999).
 
 A shard holds the ids of whole documents in ascending order of doc_id. Rounds replace frequent pairs of neighbours by
-nonterminals until no pair occurs twice; a round takes the pairs that occur a quarter as often as the most frequent one or
-more, the more frequent first where they overlap, and later rounds may pair nonterminals. The file keeps
+nonterminals until no pair occurs twice. A round takes all pairs that occur as often as a bound says or more, the more
+frequent first where they overlap; rounds of one bound after its first look only where symbols changed, and later rounds may
+pair nonterminals. The bound begins at half the count of the most frequent pair and is halved when little is left above it.
+The file keeps
 the symbols, the rules, each rule's expansion length and the expanded length before every ``STEP`` symbols, so that any
 range of ids is decoded from the symbols around it alone.
 
@@ -32,15 +34,15 @@ END_ID = 1
 #: that would leave cores idle.
 SHARD_IDS, TASK_BYTES, LEAST_TASK_BYTES = 2_000_000, 256 << 20, 8 << 20
 
-#: Least count of a pair, how much rarer than the first pair a round's pairs may be, log2 of the counting table, symbols
-#: between marks.
-LEAST, SHARE, TABLE_BITS, STEP = 2, 4, 18, 1024
+#: Least count of a pair, how much a bound falls, the share of symbols that a round replaces if its bound stays, most log2 of
+#: the counting table, symbols between marks, bytes of units that the encoder keeps.
+LEAST, SHARE, SETTLED, TABLE_BITS, STEP, KEEP_BYTES = 2, 2, 64, 22, 1024, 160 << 20
 
 
-def pair_cells(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A cell of the counting table for each pair of neighbours."""
+def pair_cells(left: np.ndarray, right: np.ndarray, bits: int = TABLE_BITS) -> np.ndarray:
+    """A cell of the counting table (of ``bits`` bits) for each pair of neighbours."""
     mixed = (left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))
-    return (mixed * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - TABLE_BITS)
+    return (mixed * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - bits)
 
 
 def run_seconds(symbols: np.ndarray) -> np.ndarray:
@@ -51,13 +53,12 @@ def run_seconds(symbols: np.ndarray) -> np.ndarray:
     return twins[(twins - first) % 2 == 1]
 
 
-def frequent_pairs(symbols: np.ndarray, least: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The frequent pairs of neighbours, most frequent first, as keys left << 32 | right; their places and ranks there; the
-    least count of a frequent pair.
+def frequent_pairs(symbols: np.ndarray, least: int, among: np.ndarray | None = None, bound: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The pairs of neighbours that occur ``bound`` times without overlap, most frequent first, as keys left << 32 | right; their
+    places and ranks there; the bound.
 
-    These are the pairs that occur ``least`` times without overlap, and 1 / ``SHARE`` as often as the most frequent pair or more.
-    Pairs are counted by cell first; only those in the fuller cells are counted one by one. ``among`` are the places that
-    have all pairs that occur ``least`` times.
+    Without a bound it is 1 / ``SHARE`` of the count of the most frequent pair, ``least`` at least. Pairs are counted by cell
+    first; only those in the fuller cells are counted one by one. ``among`` are the places that have all pairs that occur so often.
     """
     starts = np.zeros(symbols.size, dtype=bool)
     starts[slice(0, -1) if among is None else among] = True
@@ -65,26 +66,28 @@ def frequent_pairs(symbols: np.ndarray, least: int, among: np.ndarray | None = N
     starts[run_seconds(symbols)] = False
     places = np.flatnonzero(starts)
     left, right = symbols[places], symbols[places + 1]
-    cells = pair_cells(left, right)
-    table = np.bincount(cells, minlength=1 << TABLE_BITS)
-    # A cell holds several pairs at times, so the fullest cell may promise too much; then the bound is lowered.
-    floor = max(least, int(table.max(initial=0)) // SHARE)
+    # So many cells that one is seldom full by rarer pairs alone.
+    bits = min(TABLE_BITS, max(8, (places.size // (bound or 64)).bit_length() + 2))
+    cells = pair_cells(left, right, bits)
+    table = np.bincount(cells, minlength=1 << bits)
+    # A cell holds several pairs at times, so the fullest cell may promise too much; then the floor is lowered.
+    floor = bound or max(least, int(table.max(initial=0)) // SHARE)
     while True:
         some = np.flatnonzero((table >= floor)[cells])
         coded = pa.array(left[some].astype(np.uint64) << np.uint64(32) | right[some]).dictionary_encode()
         found, place = coded.dictionary.to_numpy(), coded.indices.to_numpy()
         counts = np.bincount(place, minlength=found.size)
-        top = int(counts.max(initial=0))
-        bound = max(least, -(-top // SHARE))
-        if floor <= bound or floor == least:
+        low = bound or max(least, -(-int(counts.max(initial=0)) // SHARE))
+        if floor <= low or floor == least:
             break
-        floor = bound
-    often = np.flatnonzero(counts >= bound)
+        floor = low
+    often = np.flatnonzero(counts >= low)
     order = often[np.lexsort((found[often], -counts[often]))]
     rank = np.full(found.size, -1, dtype=np.int64)
     rank[order] = np.arange(order.size)
     rank = rank[place]
-    return found[order], places[some[rank >= 0]], rank[rank >= 0], bound
+    hit = rank >= 0
+    return found[order], places[some[hit]], rank[hit], low
 
 
 def replace_pairs(symbols: np.ndarray, pairs: np.ndarray, at: np.ndarray, rank: np.ndarray, first: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,26 +118,26 @@ def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarra
     In the end no pair of symbols occurs ``least`` times without overlap.
     """
     symbols, rules, n = ids.astype(np.uint32), [np.empty((0, 2), dtype=np.uint32)], 0
-    lengths, among = np.empty(0, dtype=np.uint64), None
+    lengths, among, bound = np.empty(0, dtype=np.uint64), None, None
     while symbols.size > 1:
-        pairs, at, rank, bound = frequent_pairs(symbols, least, among)
+        pairs, at, rank, bound = frequent_pairs(symbols, least, among, bound)
         if not pairs.size:
-            if among is None:
+            if among is None and bound == least:
                 break
-            among = None  # the last word is that of all places
+            among, bound = None, max(least, bound // SHARE)  # the last word is that of all places
             continue
         before, marks = symbols.size, np.zeros(symbols.size, dtype=bool)
         marks[at] = True
         marks[:-1] |= symbols[:-1] == symbols[1:]  # where a run breaks, pairs start at other places of it
         symbols, pairs, keep = replace_pairs(symbols, pairs, at, rank, first + n, least)
-        if bound == least and pairs.size:
+        if symbols.size == before:
+            break
+        if bound > least and (before - symbols.size) * SETTLED < before:
+            among, bound = None, max(least, bound // SHARE)
+        else:
             # All pairs that occurred so often were taken, so others that do now have a new symbol or are left of them.
             new = np.flatnonzero(symbols >= first + n)
             among = np.concatenate([np.maximum(new - 1, 0), new, np.flatnonzero(marks[keep])])
-        else:
-            among = None
-        if symbols.size == before:
-            break
         new = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
         rules.append(new)
         n += len(new)
@@ -150,19 +153,26 @@ def expansion(symbols: np.ndarray, first: int, lengths: np.ndarray) -> np.ndarra
     return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """The ids that the symbols stand for."""
-    while True:
+def expand(symbols: np.ndarray, rules: np.ndarray, first: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The ids that the symbols stand for; ``lengths`` are the rules' expansion lengths, if known.
+
+    Each round writes the ids among the symbols to their places and goes on with the two symbols of each rule.
+    """
+    if lengths is None:
+        known = [1] * first
+        for left, right in rules.tolist():  # rules name earlier ones only
+            known.append(known[left] + known[right])
+        lengths = np.array(known[first:], dtype=np.uint64)
+    width = expansion(symbols, first, lengths).astype(np.int64)
+    out, at = np.empty(int(width.sum()), dtype=np.uint32), np.cumsum(width) - width
+    while symbols.size:
         rule = symbols >= first
-        if not rule.any():
-            return symbols
-        width = rule.astype(np.int64) + 1
-        ends = np.cumsum(width)
-        out = np.empty(int(ends[-1]), dtype=np.uint32)
-        out[ends - width] = np.where(rule, 0, symbols)
-        picked = rules[symbols[rule].astype(np.int64) - first]
-        out[(ends - 2)[rule]], out[(ends - 1)[rule]] = picked[:, 0], picked[:, 1]
-        symbols = out
+        out[at[~rule]] = symbols[~rule]
+        at, pair = at[rule], rules[symbols[rule].astype(np.int64) - first]
+        left, right = pair[:, 0], pair[:, 1]
+        symbols = np.concatenate([left, right])
+        at = np.concatenate([at, at + expansion(left, first, lengths).astype(np.int64)])
+    return out
 
 
 def packed(values: np.ndarray, bits: int) -> bytes:
@@ -235,7 +245,7 @@ class Shard:
         low = int(np.searchsorted(self.marks, start, side="right")) - 1
         high = int(np.searchsorted(self.marks, stop, side="left"))
         base = int(self.marks[low])
-        return expand(self.symbols(low * STEP, high * STEP), self.rules, self.first)[start - base : stop - base]
+        return expand(self.symbols(low * STEP, high * STEP), self.rules, self.first, self.lengths)[start - base : stop - base]
 
     def document(self, k: int) -> np.ndarray:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
@@ -260,7 +270,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
 
         from .subwords import encoder, in_pieces
 
-        ids_of, end = encoder(tokenizer).ids, end_id.to_bytes(4, "little")
+        ids_of, end = encoder(tokenizer, KEEP_BYTES).ids, end_id.to_bytes(4, "little")
         task, part = TaskContext.get().partitionId(), 0
         fs, root = open_fs(folder)
         doc_ids: list[int | None] = []

@@ -280,3 +280,13 @@ def test_units_that_come_again_are_kept_when_others_are_forgotten(monkeypatch):
         texts = [" ".join(["often", "again", *(f"once{k}x{i}" for i in range(100))]), None, ""]
         assert [x.tolist() for x in own.ids(pa.array(texts))] == [x.tolist() for x in own.whole([t or "" for t in texts])]
     assert "again" in own.store.slots and not any("once0x" in u for u in own.store.slots)
+
+
+def test_rounds_of_one_bound_look_only_where_symbols_changed(monkeypatch):
+    asked, cells = [], tokenfile.pair_cells
+    monkeypatch.setattr(tokenfile, "pair_cells", lambda *pair: asked.append(len(pair[0])) or cells(*pair))
+    rng = np.random.default_rng(6)
+    ids = rng.integers(0, 5000, (400, 12))[rng.zipf(1.2, 9000) % 400].ravel().astype(np.uint32)
+    symbols, rules, _ = tokenfile.compress(ids, 5000)
+    assert (tokenfile.expand(symbols, rules, 5000) == ids).all()
+    assert sum(asked) < 9 * ids.size  # 7; if nearly all rounds look at all places, 12
