@@ -3,9 +3,8 @@
 A shard holds the ids of whole documents in ascending order of doc_id. Rounds replace frequent pairs of neighbours by
 nonterminals until no pair occurs twice. A round takes all pairs that occur as often as a bound says or more, the more
 frequent first where they overlap; rounds of one bound after its first look only where symbols changed, and later rounds may
-pair nonterminals. The bound begins at half the count of the most frequent pair and is halved when little is left above it.
-The file keeps
-the symbols, the rules, each rule's expansion length and the expanded length before every ``STEP`` symbols, so that any
+pair nonterminals. The bound begins at a sixteenth of the count of the most frequent pair and is halved when little is left above it.
+The file keeps the symbols, the rules, each rule's expansion length and the expanded length before every ``STEP`` symbols, so that any
 range of ids is decoded from the symbols around it alone.
 
 File format, little-endian: the magic ``MRTK0002``; 64-bit counts of documents, symbols, rules, marks, ids and the first
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, open_fs, shared_dir
+from .shared import give_back, materialize, open_fs, shared_dir
 
 MAGIC = b"MRTK0002"
 END_ID = 1
@@ -34,9 +33,10 @@ END_ID = 1
 #: that would leave cores idle.
 SHARD_IDS, TASK_BYTES, LEAST_TASK_BYTES = 2_000_000, 256 << 20, 8 << 20
 
-#: Least count of a pair, how much a bound falls, the share of symbols that a round replaces if its bound stays, most log2 of
-#: the counting table, symbols between marks, bytes of units that the encoder keeps.
-LEAST, SHARE, SETTLED, TABLE_BITS, STEP, KEEP_BYTES = 2, 2, 64, 22, 1024, 160 << 20
+#: Least count of a pair, how far the first bound is below the count of the most frequent pair, how much a bound falls, the
+#: share of symbols that a round replaces if its bound stays, most log2 of the counting table, symbols between marks, bytes
+#: of units that the encoder keeps, and text bytes that it takes at once.
+LEAST, FIRST_SHARE, SHARE, SETTLED, TABLE_BITS, STEP, KEEP_BYTES, PIECE_BYTES = 2, 16, 2, 8, 22, 1024, 160 << 20, 4 << 20
 
 
 def pair_cells(left: np.ndarray, right: np.ndarray, bits: int = TABLE_BITS) -> np.ndarray:
@@ -57,37 +57,56 @@ def frequent_pairs(symbols: np.ndarray, least: int, among: np.ndarray | None = N
     """The pairs of neighbours that occur ``bound`` times without overlap, most frequent first, as keys left << 32 | right; their
     places and ranks there; the bound.
 
-    Without a bound it is 1 / ``SHARE`` of the count of the most frequent pair, ``least`` at least. Pairs are counted by cell
+    Without a bound it is 1 / ``FIRST_SHARE`` of the count of the most frequent pair, ``least`` at least. Pairs are counted by cell
     first; only those in the fuller cells are counted one by one. ``among`` are the places that have all pairs that occur so often.
     """
-    starts = np.zeros(symbols.size, dtype=bool)
-    starts[slice(0, -1) if among is None else among] = True
-    starts[-1:] = False
-    starts[run_seconds(symbols)] = False
-    places = np.flatnonzero(starts)
-    left, right = symbols[places], symbols[places + 1]
+    seconds = run_seconds(symbols)
+    if among is None:  # all places but these, whose pairs are read in turn
+        places, left, right = None, symbols[:-1], symbols[1:]
+    else:
+        starts = np.zeros(symbols.size, dtype=bool)
+        starts[among] = True
+        starts[-1:] = False
+        starts[seconds] = False
+        places, seconds = np.flatnonzero(starts), seconds[:0]
+        left, right = symbols[places], symbols[places + 1]
     # So many cells that one is seldom full by rarer pairs alone.
-    bits = min(TABLE_BITS, max(8, (places.size // (bound or 64)).bit_length() + 2))
+    bits = min(TABLE_BITS, max(8, (left.size // (bound or 64)).bit_length() + 2))
     cells = pair_cells(left, right, bits)
     table = np.bincount(cells, minlength=1 << bits)
+    if seconds.size:
+        table -= np.bincount(cells[seconds], minlength=1 << bits)
     # A cell holds several pairs at times, so the fullest cell may promise too much; then the floor is lowered.
-    floor = bound or max(least, int(table.max(initial=0)) // SHARE)
+    floor = bound or max(least, int(table.max(initial=0)) // FIRST_SHARE)
     while True:
-        some = np.flatnonzero((table >= floor)[cells])
+        full = (table >= floor)[cells]
+        full[seconds] = False
+        some = np.flatnonzero(full)
         coded = pa.array(left[some].astype(np.uint64) << np.uint64(32) | right[some]).dictionary_encode()
         found, place = coded.dictionary.to_numpy(), coded.indices.to_numpy()
         counts = np.bincount(place, minlength=found.size)
-        low = bound or max(least, -(-int(counts.max(initial=0)) // SHARE))
+        low = bound or max(least, -(-int(counts.max(initial=0)) // FIRST_SHARE))
         if floor <= low or floor == least:
             break
         floor = low
     often = np.flatnonzero(counts >= low)
-    order = often[np.lexsort((found[often], -counts[often]))]
+    order = often[by_count(found[often], counts[often], int(symbols.max(initial=0)).bit_length())]
     rank = np.full(found.size, -1, dtype=np.int64)
     rank[order] = np.arange(order.size)
     rank = rank[place]
     hit = rank >= 0
-    return found[order], places[some[hit]], rank[hit], low
+    some = some[hit]
+    return found[order], some if places is None else places[some], rank[hit], low
+
+
+def by_count(pairs: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
+    """Order of pairs of symbols of so many bits: the most frequent first, those that tie by their symbols."""
+    room = int(counts.max(initial=0))
+    if 2 * bits + room.bit_length() > 64:
+        return np.lexsort((pairs, -counts))
+    # Count and symbols in one number are sorted at once.
+    short = (pairs >> np.uint64(32)) << np.uint64(bits) | pairs & np.uint64(0xFFFFFFFF)
+    return np.argsort((room - counts).astype(np.uint64) << np.uint64(2 * bits) | short)
 
 
 def replace_pairs(symbols: np.ndarray, pairs: np.ndarray, at: np.ndarray, rank: np.ndarray, first: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,13 +184,14 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first: int, lengths: np.ndarr
         lengths = np.array(known[first:], dtype=np.uint64)
     width = expansion(symbols, first, lengths).astype(np.int64)
     out, at = np.empty(int(width.sum()), dtype=np.uint32), np.cumsum(width) - width
+    left, right = np.ascontiguousarray(rules[:, 0]), np.ascontiguousarray(rules[:, 1])
+    step = expansion(left, first, lengths).astype(np.int64)  # from a rule's left symbol to its right one
     while symbols.size:
         rule = symbols >= first
-        out[at[~rule]] = symbols[~rule]
-        at, pair = at[rule], rules[symbols[rule].astype(np.int64) - first]
-        left, right = pair[:, 0], pair[:, 1]
-        symbols = np.concatenate([left, right])
-        at = np.concatenate([at, at + expansion(left, first, lengths).astype(np.int64)])
+        plain, rule = np.flatnonzero(~rule), np.flatnonzero(rule)
+        out[at.take(plain)] = symbols.take(plain)
+        at, rule = at.take(rule), symbols.take(rule).astype(np.int64) - first
+        symbols, at = np.concatenate([left.take(rule), right.take(rule)]), np.concatenate([at, at + step.take(rule)])
     return out
 
 
@@ -286,7 +306,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
             values = ([task], [part], [name], [len(doc_ids)], [total])
             return pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["task", "part", "path", "docs", "ids"])
 
-        for part_of in (p for batch in batches for p in in_pieces(batch, 1)):
+        for part_of in (p for batch in batches for p in in_pieces(batch, 1, PIECE_BYTES)):
             for doc_id, found in zip(part_of.column(0).to_pylist(), ids_of(part_of.column(1)), strict=True):
                 doc_ids.append(doc_id)
                 ids.append(found.tobytes() + end)
@@ -296,6 +316,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
                     doc_ids, ids, total, part = [], [], 0, part + 1
         if doc_ids:
             yield flush()
+        del doc_ids, ids
+        give_back()
 
     open_fs(folder)[0].create_dir(open_fs(folder)[1], recursive=True)
     return materialize(rows.select("doc_id", "text").mapInArrow(write, "task long, part long, path string, docs long, ids long"))

@@ -290,3 +290,38 @@ def test_rounds_of_one_bound_look_only_where_symbols_changed(monkeypatch):
     symbols, rules, _ = tokenfile.compress(ids, 5000)
     assert (tokenfile.expand(symbols, rules, 5000) == ids).all()
     assert sum(asked) < 9 * ids.size  # 7; if nearly all rounds look at all places, 12
+
+
+def test_whole_shards_are_counted_without_lists_of_places(monkeypatch):
+    """Few rounds look at all places, and they don't say which."""
+    asked, find = [], tokenfile.frequent_pairs
+    monkeypatch.setattr(tokenfile, "frequent_pairs", lambda s, least, among=None, bound=None: asked.append((s.size, among is None)) or find(s, least, among, bound))
+    rng = np.random.default_rng(4)
+    ids = np.minimum(rng.zipf(1.3, 40_000), 3000).astype(np.uint32)
+    ids[5000:9000] = 7  # a long run
+    symbols, rules, lengths = tokenfile.compress(ids, 4000)
+    assert (tokenfile.expand(symbols, rules, 4000, lengths) == ids).all()
+    most = np.unique(ids[:-1].astype(np.int64) << 32 | ids[1:], return_counts=True)[1].max()
+    assert sum(whole for _, whole in asked) <= int(most).bit_length() - 1
+    pairs, at, rank, _ = tokenfile.frequent_pairs(ids, 2, None, 2)
+    every, places, ranks, _ = tokenfile.frequent_pairs(ids, 2, np.arange(ids.size), 2)
+    assert (pairs == every).all() and (at == places).all() and (rank == ranks).all()
+
+
+def test_pairs_are_ordered_by_count_and_then_by_symbols():
+    rng = np.random.default_rng(6)
+    for top in (50, 1 << 31):  # in one number, and in two
+        pairs = np.unique(rng.integers(0, top, 500, dtype=np.uint64) << np.uint64(32) | rng.integers(0, top, 500, dtype=np.uint64))
+        counts = rng.integers(2, 9, pairs.size)
+        assert (tokenfile.by_count(pairs, counts, (top - 1).bit_length()) == np.lexsort((pairs, -counts))).all()
+
+
+def test_units_are_looked_up_once_and_once_more_where_they_are_new(monkeypatch):
+    asked, find = Counter(), subwords._Store.find
+    monkeypatch.setattr(subwords._Store, "find", lambda self, units: asked.update(units) or find(self, units))
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        coder, texts = subwords.Encoder(public_tokenizers.path(name)), ["word word, word. other! (odd) ...", "word? été, 'tis <b> été", ""]
+        asked.clear()
+        expected = coder.tokenizer.encode_batch(texts, add_special_tokens=False)
+        assert [x.tolist() for x in coder.ids(pa.array(texts))] == [e.ids for e in expected]
+        assert max(asked.values()) <= 2 and asked.get("word,", 1) == 1, asked  # as a unit, and as what is before a mark
