@@ -208,6 +208,22 @@ def test_every_training_id_is_a_target_once(spark, monkeypatch):
     assert made == expected and len(os.listdir(folder)) == len(training)
 
 
+def test_attention_predicts_the_ids_of_words_seen_often(spark, monkeypatch):
+    """In training each id of every word is a target of the spelling, and no word is too frequent to have a spelled part."""
+    folder, windows = tempfile.mkdtemp(prefix="spark-"), lm.training_windows
+
+    def spy(ids, topic):
+        np.save(f"{folder}/{uuid.uuid4().hex}.npy", ids)
+        return windows(ids, topic)
+
+    monkeypatch.setattr(lm, "training_windows", spy)
+    df = spark.createDataFrame([(i, "the same unbelievable words") for i in range(40)], "doc_id long, text string")
+    lm.score_texts(df, RANKS)
+    ids = np.concatenate([np.load(f"{folder}/{name}") for name in os.listdir(folder)])
+    assert ids.size > 4 * 30 and (ids & lm.RARE > 0).all()
+    assert not 1 << 62 >= lm.COMMON  # so the plain computation above has a spelled part for every word
+
+
 def test_held_out_scores_beat_the_base_where_words_are_known(spark):
     """Two kinds of texts with words of their own: the ids before tell which words come."""
     rng = random.Random(8)
