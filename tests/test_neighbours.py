@@ -120,3 +120,24 @@ def test_pairs_within_a_distance(spark, d):
     x = _clouds(200, d, 9)
     found = {tuple(r) for r in neighbours.epsilon_pairs(_frame(spark, x), "k", "v", 0.8).collect()}
     assert found == {(i, j) for i in range(200) for j in range(i + 1, 200) if ((x[i] - x[j]) ** 2).sum() <= 0.64} and found
+
+
+def _places(spark, d):
+    """Points of a grid far from the origin, whose neighbours are at the distance exactly, copies, and very large vectors."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.integers(0, 3, size=(700, d)) + 1e6, np.repeat(rng.normal(size=(2, d)), 30, axis=0), rng.integers(0, 2, size=(6, d)) * 1e200])
+    return x, _frame(spark, x)
+
+
+def _within(x, reach):
+    with np.errstate(over="ignore"):
+        return [np.flatnonzero(((x - v) ** 2).sum(1) <= reach * reach) for v in x]
+
+
+def test_points_in_many_dimensions_meet_without_being_joined(spark):
+    """Pairs of points aren't rows of a join, and are those of sums of squares also where a product rounds."""
+    x, df = _places(spark, 5)
+    pairs = neighbours.epsilon_pairs(df, "k", "v", 1.0)
+    assert "Join" not in pairs._jdf.queryExecution().toString()
+    expected = {(i, j) for i, near in enumerate(_within(x, 1.0)) for j in near.tolist() if i < j}
+    assert {tuple(r) for r in pairs.collect()} == expected and len(expected) > 700
