@@ -372,6 +372,63 @@ def _tags(left: pa.Table):
     return take, out, pa.schema([("k", kind), ("cell", kind)])
 
 
+def _dbscan_blocks(point: DataFrame, d: int, kind: str, eps: float, least: int, size: int | None) -> DataFrame:
+    """_k and cluster of the points (k, v) that aren't noise: a pass over blocks near each other finds the cores, a second one
+    links them and finds the cores near other points, which are fewer than ``least`` a point."""
+    points, near = _arranged(point, d, eps, size)
+
+    def count(i: int) -> Iterator[pa.RecordBatch]:
+        mine = points.read(i)
+        x, n = allpairs.matrix(mine), np.zeros(mine.num_rows, dtype=np.int64)
+        for j in near[i]:
+            for one, _ in allpairs.near_pairs(x, allpairs.matrix(points.read(j)), eps):
+                n += np.bincount(one, minlength=len(n))
+        yield from mine.append_column("core", pa.array(n >= least)).to_batches()
+
+    judged = allpairs.kept(points.each(count, f"k {kind}, v array<double>, core boolean"))  # the blocks stay as they are
+
+    def cores(table: pa.Table) -> tuple[pa.Array, np.ndarray]:
+        table = table.filter(table.column("core"))
+        return _column(table, "k"), allpairs.matrix(table)
+
+    def link(i: int) -> Iterator[pa.RecordBatch]:
+        def batch(a: pa.Array, b: pa.Array, edge: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([a, b, pa.array(np.full(len(a), edge))], names=["a", "b", "edge"])
+
+        table = judged.read(i)
+        names, x = cores(table)
+        table = table.filter(pc.invert(table.column("core")))
+        edges, z = _column(table, "k"), allpairs.matrix(table)
+        up = np.arange(len(x))
+        for j in near[i]:
+            others, y = (names, x) if j == i else cores(judged.read(j))
+            for one, two in allpairs.near_pairs(z, y, eps):
+                yield batch(edges.take(pa.array(one)), others.take(pa.array(two)), True)
+            if j < i:
+                continue
+            if j == i:
+                for one, two in allpairs.near_pairs(x, x, eps):
+                    up = allpairs.join(up, one, two)
+                continue
+            both = np.concatenate([up, len(x) + np.arange(len(y))])
+            for one, two in allpairs.near_pairs(x, y, eps):
+                both = allpairs.join(both, one, len(x) + two)
+            up, top = both[: len(x)], both[len(x) :]  # the top of a group that has points here is one of them
+            at = np.flatnonzero(top < len(x))
+            yield batch(others.take(pa.array(at)), names.take(pa.array(top[at])), False)
+        at = np.flatnonzero(up != np.arange(len(up)))
+        yield batch(names.take(pa.array(at)), names.take(pa.array(up[at])), False)
+
+    links = store(judged.each(link, f"a {kind}, b {kind}, edge boolean"))
+    groups = connected_components(links.filter("NOT edge").select("a", "b"))
+    inner = judged.rows().filter("core").select("k").join(groups, F.col("k") == F.col("node"), "left").select("k", F.coalesce("component", "k").alias("_group"))
+    inner = store(inner)
+    names = inner.groupBy(F.col("_group").alias("_g")).agg(F.min("k").alias("cluster"))
+    inner = store(inner.join(bounded(store(names), 64), F.col("_group") == F.col("_g")).select(F.col("k").alias("_k"), "cluster"))
+    outer = links.filter("edge").select("a", "b").join(inner, F.col("b") == F.col("_k")).groupBy("a").agg(F.min("cluster").alias("cluster"))
+    return inner.unionByName(outer.select(F.col("a").alias("_k"), "cluster"))
+
+
 def dbscan(df: DataFrame, key: str, columns: str | list[str], eps: float = 0.5, least: int = 5, block: int = BLOCK, log: dict | None = None) -> DataFrame:
     """key and cluster (the smallest core key; null for noise): cores have ``least`` points within ``eps``, themselves included.
 
@@ -381,12 +438,20 @@ def dbscan(df: DataFrame, key: str, columns: str | list[str], eps: float = 0.5,
     cells are joined where their boxes or first points are near enough; only those near each other that aren't connected
     by then compare points, block by block. A border point goes to the smallest label near it.
 
+    That is how it goes up to three dimensions. Beyond, cells hold few points; blocks of points near each other meet
+    (see ``allpairs``), which compares all points where all are near each other, and stores and shuffles none of the pairs.
+
     ``columns`` are numeric ones, or one column of vectors, of any dimension. Rows with null or non-finite components are
     noise. Keys are distinct. ``log`` receives the numbers of points that asked and of blocks that were compared.
     """
     point = _vectors(df, key, columns, "k")
-    d = len(columns) if isinstance(columns, list) else _dimensions(point)[0]
+    d, shortest = (len(columns), len(columns)) if isinstance(columns, list) else _dimensions(point)
     kind = dict(point.dtypes)["k"]
+    if d > 3:
+        if shortest < d:
+            raise ValueError("vectors of several lengths")
+        found = _dbscan_blocks(point, d, kind, eps, least, None if block == BLOCK else block)
+        return df.select(F.col(key)).join(found, F.col(key) == F.col("_k"), "left").select(key, "cluster")
     side, near2 = eps / math.sqrt(d) * (1 - _SLACK), eps * eps
     at = F.transform("v", lambda x: F.floor(x / side))
     # Centres of cells with points within eps of each other are at most 2 eps apart.

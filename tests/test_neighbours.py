@@ -141,3 +141,13 @@ def test_points_in_many_dimensions_meet_without_being_joined(spark):
     assert "Join" not in pairs._jdf.queryExecution().toString()
     expected = {(i, j) for i, near in enumerate(_within(x, 1.0)) for j in near.tolist() if i < j}
     assert {tuple(r) for r in pairs.collect()} == expected and len(expected) > 700
+
+
+def test_dbscan_in_many_dimensions_copies_no_points(spark, monkeypatch):
+    """Points aren't sent to the blocks that they ask."""
+    monkeypatch.setattr(neighbours, "_meet", lambda *args: pytest.fail("points were copied"))
+    x, df = _places(spark, 5)
+    with np.errstate(over="ignore"):
+        expected = _dbscan(x, list(range(len(x))), 1.0, 9)
+    assert {r["k"]: r["cluster"] for r in neighbours.dbscan(df, "k", "v", 1.0, 9, block=100).collect()} == expected
+    assert len(set(expected.values())) > 3 and None in expected.values()
