@@ -4,11 +4,12 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import ranks, stats
-from millrace.operators import clean, encode, features, metrics, models, monitor, neighbours, profile, schema
+from millrace.operators import allpairs, clean, encode, features, metrics, models, monitor, neighbours, profile, schema
 from millrace.sources import tables
 from millrace.streaming import events as streams
 
@@ -247,6 +248,29 @@ def test_silhouette_equals_brute_force(spark):
     assert metrics.silhouette(df, "k", "v", "c").collect()[0][0] == pytest.approx(sum(means) / len(means))
 
 
+def test_silhouette_copies_no_points(spark, monkeypatch):
+    """Over many blocks and tiles: clusters that go on in the next block, single points, copies, a point without a cluster."""
+    monkeypatch.setattr(allpairs, "FEW", 300)
+    rng = np.random.default_rng(4)
+    c = np.sort(np.array(["a", "long name", "z", "ü"])[rng.integers(0, 4, 2600)].tolist() + ["s1", "s2"])
+    x = rng.normal(size=(len(c), 5)) + (c == "a")[:, None] * 2.0 + 1000
+    x[:40] = x[0]
+    away = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    means = {w: away[:, c == w].sum(1) for w in set(c)}
+    worth = 0.0
+    for i, w in enumerate(c):
+        n = (c == w).sum()
+        b = min(means[o][i] / (c == o).sum() for o in means if o != w)
+        worth += (b - means[w][i] / (n - 1)) / max(b, means[w][i] / (n - 1)) if n > 1 else 0.0
+    rows = [(i, v.tolist(), w) for i, (v, w) in enumerate(zip(x, c.tolist(), strict=True))] + [(-1, x[0].tolist(), None), (-2, None, "a")]
+    df = spark.createDataFrame(rows, "k long, v array<double>, c string").repartition(4)
+    found = metrics.silhouette(df, "k", "v", "c")
+    assert "CoGroups" not in found._jdf.queryExecution().toString()
+    assert found.collect()[0][0] == pytest.approx(worth / (len(c) + 1), abs=1e-9)
+    assert abs(metrics.silhouette(df, "k", "v", "c", sample=400).collect()[0][0] - worth / len(c)) < 0.05
+    assert metrics.silhouette(df.filter("c = 'a'"), "k", "v", "c").collect()[0][0] == 0 == metrics.silhouette(df.limit(0), "k", "v", "c").collect()[0][0]
+
+
 def test_neighbours_vote_and_ties(spark):
     rng = random.Random(6)
     rows = [(i, [float(rng.randint(0, 4)), float(rng.randint(0, 4))], i % 3) for i in range(200)] + [(500, None, 1)]
