@@ -248,6 +248,18 @@ def test_silhouette_equals_brute_force(spark):
     assert metrics.silhouette(df, "k", "v", "c").collect()[0][0] == pytest.approx(sum(means) / len(means))
 
 
+def test_cross_validation_fits_once_a_fold(spark, monkeypatch):
+    rows = [(float(i), float(i % 40 > 19), i // 4 % 3) for i in range(120)]
+    df = models.assemble(spark.createDataFrame(rows, "x double, y double, fold int"), ["x"], "y")
+    fits, tree = [], models.classifiers(120)["DecisionTree"]
+    fit = type(tree).fit
+    monkeypatch.setattr(type(tree), "fit", lambda self, data, *args: fits.append(data.count()) or fit(self, data, *args))
+    got = models.cross_validate(df, zoo={"tree": tree}, k=3).collect()[0]
+    assert sorted(fits) == [80, 80, 80] and got["mean"] > 0.8 and got["error"] is None and got["best"]
+    wrong = models.cross_validate(df.withColumn("fold", F.col("fold") + 1), zoo={"tree": tree}, k=3).collect()[0]
+    assert wrong["mean"] == 0 and "fold" in wrong["error"] and not wrong["best"] and len(fits) == 3
+
+
 def test_silhouette_copies_no_points(spark, monkeypatch):
     """Over many blocks and tiles: clusters that go on in the next block, single points, copies, a point without a cluster."""
     monkeypatch.setattr(allpairs, "FEW", 300)
