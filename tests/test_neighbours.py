@@ -151,3 +151,19 @@ def test_dbscan_in_many_dimensions_copies_no_points(spark, monkeypatch):
         expected = _dbscan(x, list(range(len(x))), 1.0, 9)
     assert {r["k"]: r["cluster"] for r in neighbours.dbscan(df, "k", "v", 1.0, 9, block=100).collect()} == expected
     assert len(set(expected.values())) > 3 and None in expected.values()
+
+
+@pytest.mark.parametrize("d", [1, 3, 12])
+def test_distances_and_bounds_of_many_rows(monkeypatch, d):
+    """Bounds come without ordering all cells, also where the nearest cells hold few points."""
+    rng = np.random.default_rng(d)
+    x, centres = rng.normal(size=(700, d)), rng.normal(size=(90, d))
+    away = neighbours._away(x, centres)
+    assert np.allclose(away, np.sqrt(((x[:, None] - centres) ** 2).sum(2)), rtol=1e-14)
+    assert neighbours._away(x[:0], centres).shape == (0, 90)
+    for sizes in (np.ones(90), rng.integers(1, 9, 90).astype(float)):
+        for n in (1, 6, 40, 90, 10_000):
+            order = np.argsort(away, axis=1, kind="stable")
+            enough = np.cumsum(sizes[order], axis=1) >= n
+            expected = [a[o[e.argmax()]] if e.any() else np.inf for a, o, e in zip(away, order, enough, strict=True)]
+            assert neighbours._reached(away, sizes, n).tolist() == expected
